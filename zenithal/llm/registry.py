@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from zenithal.llm import mixing, quality, urlfilter
+from zenithal.llm import mixing, pq, quality, simhash, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op5_pq": pq.op5_pq,
     "op6_url_filter": urlfilter.op6_url_filter,
+    "op7_simhash": simhash.op7_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {"op6_url_filter": urlfilter.ORACLE_SQL}
