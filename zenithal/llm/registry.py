@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from zenithal.llm import bpe, mixing, pfor, pq, quality, simhash, urlfilter
+from zenithal.llm import bpe, media, mixing, pfor, pq, quality, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_warc": warc.op2_warc,
     "op4_token_files": pfor.op4_token_files,
     "op5_pq": pq.op5_pq,
     "op6_url_filter": urlfilter.op6_url_filter,
     "op7_simhash": simhash.op7_simhash,
+    "op8_media": media.op8_media,
     "op9_bpe": bpe.op9_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op6_url_filter": urlfilter.ORACLE_SQL}
+ORACLES = {"op2_warc": warc.ORACLE_SQL, "op6_url_filter": urlfilter.ORACLE_SQL}
