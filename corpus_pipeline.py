@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zenithal.llm import mixing, quality
+from zenithal.llm import bpe, mixing, pii, quality, simhash
 from zenithal.session import materialize
 
 
@@ -17,14 +17,45 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model).where("score >= 0.3").select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component keep the document with the smallest id; of rows that share this id, one.
+
+    Fingerprints are over five words here."""
+    found = simhash.near_duplicates(docs, shingle=5)
+    keep = found.where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("doc_id"), "fp").distinct()
+    keep = keep.groupBy("doc_id").agg(F.min("fp").alias("_fp"))
+    # The rows of an id are those of its own texts; equal ids with different texts keep the one of the least hash.
+    rows = docs.join(keep.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
+    first = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    single = rows.join(first, "doc_id", "left_anti")
+    again = rows.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
+    return single.unionByName(again).select(*docs.columns)
+
+
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gets surrogates; ``n_chars`` follows the new texts."""
+    out = pii.replace(docs)
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring sources to their target weights: each document as often as the mix takes it."""
     return mixing.mix_documents(docs)
 
 
+def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text of every document."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", keep_quality),
+    ("simhash", drop_near_duplicates),
+    ("pii", replace_pii),
     ("mixing", mix_sources),
+    ("bpe", encode_bpe),
 ]
 
 #: No SQL can express the stages; tests compare each with a brute-force version.

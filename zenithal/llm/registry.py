@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from zenithal.llm import bpe, media, mixing, pfor, pq, quality, simhash, urlfilter, warc
+from zenithal.llm import bpe, media, mixing, pfor, pii, pq, quality, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_warc": warc.op2_warc,
+    "op3_pii": pii.op3_pii,
     "op4_token_files": pfor.op4_token_files,
     "op5_pq": pq.op5_pq,
     "op6_url_filter": urlfilter.op6_url_filter,
