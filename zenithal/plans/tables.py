@@ -39,7 +39,7 @@ PROXIES = {
         FROM {lineitem}""",
     "conjunctions": """
         SELECT o_orderkey AS conjunction_id, o_custkey AS primary_norad, (o_custkey * 7 + 11) % 1500 AS secondary_norad, o_orderdate AS tca,
-               o_totalprice / 100000 AS miss_distance_km, CAST(5 + o_orderkey % 11 AS DOUBLE) AS relative_velocity_kms,
+               o_totalprice / 100000 + 1.2345678e-8 AS miss_distance_km, CAST(5 + o_orderkey % 11 AS DOUBLE) AS relative_velocity_kms,
                CASE o_orderkey % 6 WHEN 0 THEN 2e-2 WHEN 1 THEN 1e-3 WHEN 2 THEN 5e-4 WHEN 3 THEN 1e-4 WHEN 4 THEN 1e-5 ELSE 3e-7 END AS pc,
                o_orderstatus = 'F' AS resolved, o_orderkey % 3 = 0 AS maneuver_required, o_orderpriority AS screening_org, o_orderstatus AS status
         FROM {orders}""",

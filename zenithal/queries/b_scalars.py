@@ -198,8 +198,8 @@ def _cw(t):
 
 @query("b22_cw_trajectory", f"""
 WITH c AS ({_CW_SQL.format(src='catalog')}), g AS (SELECT *, unnest(generate_series(0, 3600, 600)) AS t FROM c), a AS (SELECT *, n * t AS q, cos(n * t) AS k, sin(n * t) AS s FROM g)
-SELECT norad_id, CAST(t AS INTEGER) AS t, round((4 - 3*k)*x0 + s*vx0/n + 2*(1-k)*vy0/n, 6) AS x, round(6*(s-q)*x0 + y0 - 2*(1-k)*vx0/n + (4*s-3*q)*vy0/n, 6) AS y, round(z0*k + vz0*s/n, 6) AS z,
-  round(3*n*s*x0 + k*vx0 + 2*s*vy0, 8) AS vx, round(6*n*(k-1)*x0 - 2*s*vx0 + (4*k-3)*vy0, 8) AS vy, round(vz0*k - n*z0*s, 8) + 0e0 AS vz FROM a""")
+SELECT norad_id, CAST(t AS INTEGER) AS t, round((4 - 3*k)*x0 + s*vx0/n + 2*(1-k)*vy0/n, 6) + 0e0 AS x, round(6*(s-q)*x0 + y0 - 2*(1-k)*vx0/n + (4*s-3*q)*vy0/n, 6) + 0e0 AS y, round(z0*k + vz0*s/n, 6) + 0e0 AS z,
+  round(3*n*s*x0 + k*vx0 + 2*s*vy0, 8) + 0e0 AS vx, round(6*n*(k-1)*x0 - 2*s*vx0 + (4*k-3)*vy0, 8) + 0e0 AS vy, round(vz0*k - n*z0*s, 8) + 0e0 AS vz FROM a""")
 def b22(t):
     grid = _cw(t).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(3600), F.lit(600))))
     s = relative.propagate(_start(), F.col("n"), F.col("t"))
@@ -410,7 +410,7 @@ def b43(t):
 
 
 @query("b44_cdm_document", """
-SELECT conjunction_id, '{"MESSAGE_ID":"' || CAST(conjunction_id AS VARCHAR) || '","MISS_DISTANCE":' || CAST(CAST(round(CAST(miss_distance_km * 1000 AS DECIMAL(18, 4)), 2) AS DOUBLE) AS VARCHAR) || ',"RELATIVE_SPEED":' || CAST(round(relative_velocity_kms * 1000, 3) AS VARCHAR)
+SELECT conjunction_id, '{"MESSAGE_ID":"' || CAST(conjunction_id AS VARCHAR) || '","MISS_DISTANCE":' || CAST(round(miss_distance_km * 1000, 2) AS VARCHAR) || ',"RELATIVE_SPEED":' || CAST(round(relative_velocity_kms * 1000, 3) AS VARCHAR)
   || ',"RISK_LEVEL":"' || CASE WHEN pc >= 1e-3 THEN 'RED' WHEN pc >= 1e-4 THEN 'YELLOW' WHEN pc >= 1e-5 THEN 'GREEN' ELSE 'WHITE' END || '","OBJECT1":{"OBJECT":"OBJECT1","OBJECT_DESIGNATOR":"' || CAST(primary_norad AS VARCHAR) || '"},"OBJECT2":{"OBJECT":"OBJECT2","OBJECT_DESIGNATOR":"' || CAST(secondary_norad AS VARCHAR) || '"}}' AS cdm FROM conjunctions""")
 def b44(t):
     member = lambda i, c: F.struct(F.lit(f"OBJECT{i}").alias("OBJECT"), F.col(c).cast("string").alias("OBJECT_DESIGNATOR")).alias(f"OBJECT{i}")
@@ -429,7 +429,7 @@ def b45(t):
     return t.conjunctions.select("conjunction_id", F.round(hours, 1).alias("hours"), F.when(hours.isNull(), "MONITOR").when(hours < 6, "CRITICAL").when(hours < 24, "HIGH").otherwise("ELEVATED").alias("urgency"))
 
 
-@query("b46_summary_projection", "SELECT conjunction_id, primary_norad, secondary_norad, CAST(tca AS DATE) AS tca_day, CAST(round(CAST(miss_distance_km * 1000 AS DECIMAL(18, 4)), 1) AS DOUBLE) AS miss_m, upper(status) AS status FROM conjunctions")
+@query("b46_summary_projection", "SELECT conjunction_id, primary_norad, secondary_norad, CAST(tca AS DATE) AS tca_day, round(miss_distance_km * 1000, 1) AS miss_m, upper(status) AS status FROM conjunctions")
 def b46(t):
     return t.conjunctions.select("conjunction_id", "primary_norad", "secondary_norad", F.to_date("tca").alias("tca_day"), F.round(F.col("miss_distance_km") * 1000, 1).alias("miss_m"), F.upper("status").alias("status"))
 
