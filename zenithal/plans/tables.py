@@ -81,6 +81,19 @@ PROXIES = {
     "chunks": """
         SELECT d.doc_id AS chunk_id, d.doc_id % 97 AS doc, d.lang AS agency, d.source AS doc_type, CAST(1990 + d.doc_id % 35 AS INT) AS publication_year, d.text, d.n_chars AS text_length,
                (d.doc_id % 100) / 100e0 AS quality_score, 'section ' || CAST(d.doc_id % 5 AS VARCHAR(20)) AS section_title FROM {documents} d""",
+    "tle_bodies": """
+        SELECT s_suppkey AS set_id, s_name AS name, k,
+               '1 ' || lpad(CAST(10000 + s_suppkey AS VARCHAR(20)), 5, '0') || 'U 24' || lpad(CAST(1 + s_suppkey % 99 AS VARCHAR(20)), 3, '0') || 'A   ' || CASE WHEN s_suppkey % 9 = 0 THEN '98' ELSE '24' END || lpad(CAST(1 + (s_suppkey * 11 + k) % 365 AS VARCHAR(20)), 3, '0') || '.' || lpad(CAST((s_suppkey * 1237 + k * 31) % 1000 AS VARCHAR(20)), 3, '0') || '00000  .0000' || lpad(CAST(s_suppkey % 1000 AS VARCHAR(20)), 4, '0') || '  00000-0 ' || CASE WHEN s_suppkey % 5 = 0 THEN '-' ELSE ' ' END || lpad(CAST(10000 + (s_suppkey * 77) % 90000 AS VARCHAR(20)), 5, '0') || '-4 0 ' || lpad(CAST(s_suppkey % 1000 AS VARCHAR(20)), 4, ' ') AS body1,
+               '2 ' || lpad(CAST(CASE WHEN s_suppkey % 13 = 5 THEN 10001 ELSE 10000 END + s_suppkey AS VARCHAR(20)), 5, '0') || ' ' || lpad(CAST((s_suppkey * 7) % 190 AS VARCHAR(20)), 3, ' ') || '.5000 ' || lpad(CAST((s_suppkey * 17) % 360 AS VARCHAR(20)), 3, ' ') || '.2500 ' || lpad(CAST((s_suppkey * 3571) % 900000 AS VARCHAR(20)), 7, '0') || ' ' || lpad(CAST((s_suppkey * 29) % 360 AS VARCHAR(20)), 3, ' ') || '.1250 ' || lpad(CAST((s_suppkey * 31) % 360 AS VARCHAR(20)), 3, ' ') || '.7500 ' || lpad(CAST(1 + s_suppkey % 16 AS VARCHAR(20)), 2, ' ') || '.50000000' || lpad(CAST((s_suppkey * 13) % 99999 AS VARCHAR(20)), 5, ' ') AS body2
+        FROM {supplier} CROSS JOIN (SELECT r_regionkey AS k FROM {region}) g""",
+    "tle_sets": """
+        SELECT set_id, k, name, body1 || CAST(((1 * (length(body1) - length(replace(body1, '1', ''))) + 2 * (length(body1) - length(replace(body1, '2', ''))) + 3 * (length(body1) - length(replace(body1, '3', ''))) + 4 * (length(body1) - length(replace(body1, '4', ''))) + 5 * (length(body1) - length(replace(body1, '5', ''))) + 6 * (length(body1) - length(replace(body1, '6', ''))) + 7 * (length(body1) - length(replace(body1, '7', ''))) + 8 * (length(body1) - length(replace(body1, '8', ''))) + 9 * (length(body1) - length(replace(body1, '9', ''))) + length(body1) - length(replace(body1, '-', ''))) + CASE WHEN set_id % 7 = 3 THEN 1 ELSE 0 END) % 10 AS VARCHAR(20)) AS line1, body2 || CAST((1 * (length(body2) - length(replace(body2, '1', ''))) + 2 * (length(body2) - length(replace(body2, '2', ''))) + 3 * (length(body2) - length(replace(body2, '3', ''))) + 4 * (length(body2) - length(replace(body2, '4', ''))) + 5 * (length(body2) - length(replace(body2, '5', ''))) + 6 * (length(body2) - length(replace(body2, '6', ''))) + 7 * (length(body2) - length(replace(body2, '7', ''))) + 8 * (length(body2) - length(replace(body2, '8', ''))) + 9 * (length(body2) - length(replace(body2, '9', ''))) + length(body2) - length(replace(body2, '-', ''))) % 10 AS VARCHAR(20)) AS line2
+        FROM {tle_bodies}""",
+    "tle_lines": """
+        SELECT k AS file, set_id * 10 AS place, '# set ' || CAST(set_id AS VARCHAR(20)) AS line FROM {tle_sets} WHERE set_id % 5 = 0
+        UNION ALL SELECT k, set_id * 10 + 1, name FROM {tle_sets} WHERE set_id % 3 <> 0
+        UNION ALL SELECT k, set_id * 10 + 2, line1 FROM {tle_sets} UNION ALL SELECT k, set_id * 10 + 3, line2 FROM {tle_sets} WHERE set_id % 17 <> 4
+        UNION ALL SELECT k, set_id * 10 + 4, '' FROM {tle_sets} WHERE set_id % 4 = 0""",
 }
 
 
