@@ -114,10 +114,13 @@ def entities(text: Column, kind: str) -> Column:
 
 def expand_acronyms(text: Column, table: dict[str, str] = ACRONYMS) -> Column:
     """The first whole-word occurrence of each acronym gets its meaning in brackets; one after the other, in order."""
-    for short, meaning in table.items():
-        at = F.regexp_instr(text, F.lit(rf"\b{short}\b"))
-        text = F.when(at > 0, F.overlay(text, F.lit(f"{short} ({meaning})"), at, F.lit(len(short)))).otherwise(text)
-    return text
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in table.items()])
+
+    def step(t: Column, x: Column) -> Column:
+        at = F.regexp_instr(t, F.concat(F.lit(r"\b"), x["k"], F.lit(r"\b")))
+        return F.when(at > 0, F.overlay(t, F.concat(x["k"], F.lit(" ("), x["v"], F.lit(")")), at, F.length(x["k"]))).otherwise(t)
+
+    return F.aggregate(pairs, text, step)
 
 
 def trigrams(text: Column) -> Column:
