@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zenithal.functions.orbit import EARTH_RADIUS_KM, EARTH_ROTATION, FLATTENING
@@ -76,6 +76,22 @@ def geodetic(p: Vector, rounds: int = 3) -> dict[str, Column]:
     return {"lat_deg": F.degrees(lat), "lon_deg": F.degrees(F.atan2(y, x)), "alt_km": height}
 
 
+def add_geodetic(df: DataFrame, xyz: tuple[str, str, str], rounds: int = 3) -> DataFrame:
+    """``df`` plus lat_deg, lon_deg and alt_km of Earth-fixed columns. The same rounds as :func:`geodetic`, each a column of its
+    own, so that the expression of a round isn't repeated in the next one: for columns that are long expressions themselves."""
+    x, y, z = map(F.col, xyz)
+    flat, lat = F.col("_flat"), F.col("_lat")
+    theta = F.atan2(z * EARTH_RADIUS_KM, flat * POLAR_RADIUS_KM)
+    bulge = (EARTH_RADIUS_KM**2 - POLAR_RADIUS_KM**2) / POLAR_RADIUS_KM
+    curve = EARTH_RADIUS_KM / F.sqrt(1 - E2 * F.sin(lat) * F.sin(lat))
+    out = df.withColumn("_flat", F.sqrt(x * x + y * y)).withColumn("_theta", theta)
+    out = out.withColumn("_lat", F.atan2(z + bulge * F.pow(F.sin("_theta"), 3.0), flat - E2 * EARTH_RADIUS_KM * F.pow(F.cos("_theta"), 3.0)))
+    for _ in range(rounds):
+        out = out.withColumn("_lat", F.atan2(z + E2 * curve * F.sin(lat), flat))
+    height = F.when(F.abs(F.cos(lat)) > 1e-10, flat / F.cos(lat) - curve).otherwise(F.abs(z) / F.abs(F.sin(lat)) - curve * (1 - E2))
+    return out.withColumns({"lat_deg": F.degrees(lat), "lon_deg": F.degrees(F.atan2(y, x)), "alt_km": height}).drop("_flat", "_theta", "_lat")
+
+
 def spherical(p: Vector) -> dict[str, Column]:
     r = norm(p)
     return {"lat_deg": F.when(r > 0, F.degrees(F.asin(p[2] / r))).otherwise(0.0), "lon_deg": F.degrees(F.atan2(p[1], p[0])), "alt_km": r - EARTH_RADIUS_KM}

@@ -53,7 +53,7 @@ def errors(line1: str = "line1", line2: str = "line2") -> Column:
     """What is wrong with an element set, first things first; an empty array for a valid one."""
     a, b, f = F.trim(F.col(line1)), F.trim(F.col(line2)), fields(line1, line2)
     stored = lambda x: F.substring(x, 69, 1).try_cast("int")
-    short = (F.length(a) < 69) | (F.length(b) < 69)
+    short = F.coalesce((F.length(a) < 69) | (F.length(b) < 69), F.lit(True))  # missing lines, too
     tests = [
         ("length", short), ("line number", ~short & ~(a.startswith("1") & b.startswith("2"))),
         ("checksum 1", ~short & ~checksum(a).eqNullSafe(stored(a))), ("checksum 2", ~short & ~checksum(b).eqNullSafe(stored(b))),
