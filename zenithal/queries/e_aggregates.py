@@ -193,7 +193,7 @@ def e22(t):
 @query("e23_health_rollup", f"""
 WITH l AS (SELECT event_type, max(event_time) AS last, arg_max(value, event_time) AS value FROM orbital_events GROUP BY 1)
 SELECT CASE WHEN bool_or(event_type = 'purchase' AND value > 400) THEN 'unhealthy' WHEN bool_or(event_type <> 'purchase' AND value > 50) OR max(date_diff('minute', last, TIMESTAMP '{EVENTS_AS_OF}')) > 720 THEN 'degraded' ELSE 'healthy' END AS status,
-  array_to_string(list_sort(list(event_type) FILTER (value > 50)), ',') AS warnings FROM l""")
+  coalesce(array_to_string(list_sort(list(event_type) FILTER (value > 50)), ','), '') AS warnings FROM l""")
 def e23(t):
     """The latest state of each component, rolled up: a core one down is unhealthy, another one down or stale data degraded."""
     last = t.orbital_events.groupBy("event_type").agg(F.max("event_time").alias("last"), F.max_by("value", "event_time").alias("value"))
