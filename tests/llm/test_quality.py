@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from zenithal.llm import quality
@@ -6,23 +5,17 @@ from zenithal.llm import quality
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
-def labelled(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    return docs.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
-
-
 def test_rules_are_compiled_and_bounds_hold(spark):
     rows = [(i, ("GOOD words in a row. " * (i % 7 + 3)) if i % 2 else ("bad!! ### $$$ " * (i % 5 + 3)), i % 2) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    model = quality.fit(df, trees=4, depth=2)
+    model = quality.fit(df, df, trees=4, depth=2)
     assert model.rules
     out = quality.score(df, model).collect()
     assert all((r.score >= 0.5) == (r.label == 1) for r in out)
     assert all(0 <= r.score <= 1 for r in out)
 
 
-def test_held_out_accuracy(spark, labelled):
+def test_held_out_accuracy(spark):
     out = quality.op1_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out and quality is not null").collect()
     right = sum(r.predicted == r.quality for r in out)
     assert right >= 0.8 * len(out)
@@ -30,9 +23,11 @@ def test_held_out_accuracy(spark, labelled):
 
 def test_one_label_no_rows_and_nulls(spark):
     schema = "doc_id long, text string, label int"
-    empty = quality.fit(spark.createDataFrame([], schema))
+    none = spark.createDataFrame([], schema)
+    empty = quality.fit(none, none)
     assert not empty.rules
-    one = quality.fit(spark.createDataFrame([(1, "a", 1), (2, None, None)], schema))
+    some = spark.createDataFrame([(1, "a", 1), (2, None, None)], schema)
+    one = quality.fit(some, some)
     docs = spark.createDataFrame([(None, None, 0.5), (1, "", 0.1), (2, "x" * 100_000, 0.2)], "doc_id long, text string, score double")
     out = quality.score(docs, one)
     assert out.columns == ["doc_id", "text", "score"]

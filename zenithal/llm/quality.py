@@ -89,28 +89,33 @@ def tree_rules(root, names: list[str]) -> set[Rule]:
     return found
 
 
-def fit(labelled: DataFrame, label: str = "label", text: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, trees: int = 16, depth: int = 3, penalty: float = 0.002, seed: int = 11) -> RuleModel:
-    """Fit on at most ``sample_rows`` rows of ``labelled``; rows with a null label are ignored.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "label", text: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, trees: int = 16, depth: int = 3, penalty: float = 0.002, seed: int = 11) -> RuleModel:
+    """Fit on at most ``sample_rows`` rows of ``docs`` that have a label in ``labels`` (one row per key, joined by ``key``);
+    null labels are ignored, equal rows count as often as they are there.
 
     With no rows, or only one label, the model has no rules and scores the share of label 1 (1.0 with no rows).
     """
-    stats = statistics(F.col(text))
-    names = list(stats)
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), F.xxhash64(F.lit(seed), key, text).alias("h"), F.col(text).alias("t"))
-    sample = rows.orderBy("h").limit(sample_rows)
-    table = sample.select("y", "h", *[c.cast("double").alias(k) for k, c in statistics(F.col("t")).items()]).repartition(4, "h").sortWithinPartitions("h")
+    names = list(statistics(F.col(text)))
+    mark = F.xxhash64(F.lit(seed), key, text)
+    # The sample is chosen by hashes alone; whole texts are then read for its rows, whose number is bounded, and never shuffled.
+    rows = docs.select(F.col(key).alias("k"), mark.alias("h")).join(labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).where("y is not null"), "k")
+    chosen = rows.select("h", "y").orderBy("h", "y").limit(sample_rows).groupBy("h").agg(F.avg("y").alias("share"), F.count(F.lit(1)).cast("double").alias("copies"))
+    own = docs.select(mark.alias("h"), F.col(text).alias("t")).join(F.broadcast(chosen), "h")
+    own = own.select("h", "share", "copies", F.struct(*[c.cast("double").alias(k) for k, c in statistics(F.col("t")).items()]).alias("s"))
+    once = own.groupBy("h").agg(F.first("share").alias("share"), F.first("copies").alias("copies"), F.first("s").alias("s"))
+    table = once.select("h", "copies", (F.col("share") >= 0.5).cast("double").alias("y"), "s.*").repartition(4, "h").sortWithinPartitions("h")
     table = materialize(table, "quality-sample")
-    n, positive = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    n, positive = table.agg(F.coalesce(F.sum("copies"), F.lit(0.0)), F.coalesce(F.sum(F.col("y") * F.col("copies")), F.lit(0.0))).first()
     if positive in (0, n):
         return RuleModel((), 20.0 if positive == n else -20.0)
     vectors = VectorAssembler(inputCols=names, outputCol="x").transform(table)
     # Both labels weigh the same, or the rarer one has few splits of its own.
-    vectors = vectors.withColumn("w", F.when(F.col("y") == 1, n / (2 * positive)).otherwise(n / (2 * (n - positive))))
+    vectors = vectors.withColumn("w", F.col("copies") * F.when(F.col("y") == 1, n / (2 * positive)).otherwise(n / (2 * (n - positive))))
     forest = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, maxBins=64, seed=seed, cacheNodeIds=False).fit(vectors)
     rules = sorted(set().union(*(tree_rules(t._call_java("rootNode"), names) for t in forest.trees)), key=repr)
-    ruled = table.select("y", "h", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
+    ruled = table.select("y", "h", "copies", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     ruled = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="x").transform(ruled)
-    lasso = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(ruled)
+    lasso = LogisticRegression(featuresCol="x", labelCol="y", weightCol="copies", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(ruled)
     kept = tuple((r, float(w)) for r, w in zip(rules, lasso.coefficients, strict=True) if w)
     return RuleModel(kept, float(lasso.intercept))
 
@@ -130,7 +135,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def fit_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> RuleModel:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    return fit(docs.select("doc_id", "text").where(~held_out()).join(labels, "doc_id"))
+    return fit(docs.where(~F.coalesce(held_out(), F.lit(True))), labels)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
