@@ -54,11 +54,29 @@ def test_empty_table(spark):
     assert pfor.read_tokens(pfor.write_tokens(df, PATH, shared_dir(spark, "t"))).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from(list("aB é \n\t  　\x1c\x85​1½!'s中😀") + ["<|endoftext|>", "  "]), max_size=30).map(str) | st.text(max_size=40))
-def test_units_are_independent(text):
-    t = Tokenizer.from_file(PATH)
+PIECES = [*"aB é \n\t\u00a0\u3000\x1c\x85\u200b1½!'s中😀Ж.,", "<|endoftext|>", "  ", " word", " Ωmega", "ends.", "'s"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=30).map("".join) | st.text(max_size=40))
+def test_units_are_independent(library, text):
     found = tokens.units(text, PATH)
     assert "".join(found) == text
     ids = [int(i) for b in tokens.encode_units(PATH, found) for i in np.frombuffer(b, "<u4")]
-    assert ids == t.encode(text, add_special_tokens=False).ids
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert np.frombuffer(tokens.cache(PATH).encode(text), "<u4").tolist() == ids
+    assert set(tokens.distinct_units([text], PATH)) == set(found)
+
+
+def test_small_caches_give_the_same_ids(library):
+    text = " ".join(f"word{i % 37} and\nmore{i % 11}, x" for i in range(500))
+    small = tokens.Cache(PATH, most=20)
+    for _ in range(3):
+        assert np.frombuffer(small.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert small.encode("a  b ") == tokens.Cache(PATH).encode("a  b ")

@@ -38,6 +38,8 @@ def _pack(v: np.ndarray, width: int) -> np.ndarray:
     if not width:
         return np.zeros((len(v), 0), np.uint8)
     kind = 16 if width <= 16 else 32
+    if width == kind:  # whole bytes
+        return v.astype(f">u{kind // 8}").view(np.uint8)
     bits = np.unpackbits(v.astype(f">u{kind // 8}").view(np.uint8).reshape(-1, kind // 8), axis=1)[:, kind - width :]
     return np.packbits(bits.reshape(len(v), -1), axis=1)
 
@@ -47,6 +49,8 @@ def _unpack(data: np.ndarray, count: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros((len(data), count), np.uint32)
     kind = 16 if width <= 16 else 32
+    if width == kind:
+        return np.ascontiguousarray(data).view(f">u{kind // 8}").astype(np.uint32)
     bits = np.zeros((len(data) * count, kind), np.uint8)
     bits[:, kind - width :] = np.unpackbits(data, axis=1)[:, : count * width].reshape(-1, width)
     return np.packbits(bits, axis=1).view(f">u{kind // 8}").reshape(len(data), count).astype(np.uint32)
