@@ -2,12 +2,12 @@
 
 Encoding. Texts are split into words (units that can be encoded alone, see ``tokens``). Word by word, a corpus would be
 shuffled at several times its size, so occurrences are folded before the shuffle: documents are taken in chunks of some
-16 MB, and a chunk sends each of its distinct words once, in one row per word bucket. A bucket holds all of its words from
-all chunks: each distinct word is encoded there once, and its ids go back to the chunks that sent it. There the chunk's
-compressed texts meet them, and ids are put to each position of each text.
+8 MB, and a chunk sends each of its distinct words once, in one row per word bucket. A bucket holds all of its words from
+all chunks: each distinct word is encoded there once, and ids go back to the chunks in the order in which words were sent.
+There the chunk's compressed texts meet them, its words are found again in that order, and ids are put to each position.
 
-The words of a chunk are found twice (to send them, and to place the ids). A chunk's rows are those of an input partition,
-in its order; should a partition that is computed anew hold other rows, words that didn't come back are encoded on the spot.
+A chunk's rows are those of an input partition, in its order. Should a partition that is computed anew hold other rows, the
+digest of all words that goes with each row of ids tells, and the chunk's words are encoded on the spot.
 
 Decoding. The table id -> piece (bounded by the vocabulary) is held by every task, and ids are joined with it by position.
 """
@@ -19,6 +19,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from zenithal.llm import tokens
 from zenithal.session import ship
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def _join(parts: list[bytes]) -> bytes:
@@ -43,6 +44,10 @@ def _split(block: bytes) -> list[bytes]:
     return [data[a:b] for a, b in pairwise([4 + 4 * n, *ends.tolist()])]
 
 
+def _digest(found: list[str]) -> bytes:
+    return xxhash.xxh128_digest("\0".join(found).encode())
+
+
 def _chunks(batches, size: int):
     """(chunk, keys, texts in UTF-8) over a partition of (key, text)."""
     part, number, keys, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -73,26 +78,24 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def words(batches):
         for chunk, _, texts in _chunks(batches, chunk_bytes):
-            found: dict[str, None] = {}
-            for t in texts:
-                found.update(dict.fromkeys(tokens.units(t.decode(), tokenizer)))
+            found = tokens.distinct_units((t.decode() for t in texts), tokenizer)
             buckets: list[list[bytes]] = [[] for _ in range(n)]
             for u in found:
                 raw = u.encode()
                 buckets[zlib.crc32(raw) % n].append(raw)
             full = [(i, _join(x)) for i, x in enumerate(buckets) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([x for _, x in full], pa.binary())], ["bucket", "chunk", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([_digest(found)] * len(full), pa.binary()), pa.array([x for _, x in full], pa.binary())], ["bucket", "chunk", "digest", "words"])
 
     def assign(batches):
         bucket, table = None, {}
         for b in batches:
-            for own, chunk, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for own, chunk, digest, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if own != bucket:
                     bucket, table = own, {}
                 sent = _split(block)
                 new = [w for w in sent if w not in table]
                 table.update(zip(new, tokens.encode_units(tokenizer, (w.decode() for w in new)), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([block], pa.binary()), pa.array([_join([table[w] for w in sent])], pa.binary())], ["chunk", "words", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([own], pa.int32()), pa.array([digest], pa.binary()), pa.array([_join([table[w] for w in sent])], pa.binary())], ["chunk", "bucket", "digest", "ids"])
 
     def pack(batches):
         for chunk, keys, texts in _chunks(batches, chunk_bytes):
@@ -101,21 +104,26 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         table = tokens.Cache(tokenizer)
-        for block, ids in zip(right.column("words"), right.column("ids"), strict=True):
-            table.update(zip((w.decode() for w in _split(block.as_py())), _split(ids.as_py()), strict=True))
-        table.most = len(table) + 700_000
         keys, values, ends = [], [], [0]
-        for own, block in zip(left.column("keys"), left.column("texts"), strict=True):
+        blocks = [_split(b.as_py()) for b in left.column("texts")]
+        for texts in blocks:
+            found = tokens.distinct_units((t.decode() for t in texts), tokenizer)
+            if set(right.column("digest").to_pylist()) == {_digest(found)}:
+                ids = {b: iter(_split(x.as_py())) for b, x in zip(right.column("bucket").to_pylist(), right.column("ids"), strict=True)}
+                for u in found:
+                    table.put(u, next(ids[zlib.crc32(u.encode()) % n]))
+        table.most = len(table) + len(table.words) + 700_000
+        for own, texts in zip(left.column("keys"), blocks, strict=True):
             keys.append(own.values)
-            for t in _split(block.as_py()):
+            for t in texts:
                 values.append(table.encode(t.decode()))
                 ends.append(ends[-1] + len(values[-1]) // 4)
         ids = pa.array(np.frombuffer(b"".join(values), "<i4"))
         every = pa.concat_arrays(keys) if keys else pa.array([], left.schema.field("keys").type.value_type)
         return pa.table({"key": every, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)})
 
-    sent = rows.mapInArrow(words, "bucket int, chunk long, words binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    back = sent.mapInArrow(assign, "chunk long, words binary, ids binary")
+    sent = rows.mapInArrow(words, "bucket int, chunk long, digest binary, words binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    back = sent.mapInArrow(assign, "chunk long, bucket int, digest binary, ids binary")
     texts = rows.mapInArrow(pack, f"chunk long, keys array<{kind}>, texts binary")
     return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(place, f"key {kind}, ids array<int>")
 
