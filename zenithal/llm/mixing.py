@@ -17,13 +17,20 @@ the rows of that bin are sorted. So a source with a third of all rows is never i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zenithal.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+SEED = 7
+
+
+def row_hash(key: Column, text: Column, seed: int) -> Column:
+    """52 bits of a digest of key and text: the same in every engine and run."""
+    whole = F.concat_ws("|", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")), F.sha2(F.coalesce(text, F.lit("")), 256), text.isNull().cast("string"))
+    return F.conv(F.substring(F.sha2(whole, 256), 1, 13), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -51,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
 
 def mix(
     docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", importance: str | None = None,
-    weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, bin_rows: int = 5000,
+    weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = SEED, bin_rows: int = 5000,
 ) -> DataFrame:
     """(key, source, row_hash, size, source_size, target, copies, taken): how often the mix takes each document.
 
@@ -61,10 +68,9 @@ def mix(
     difference. Null keys are ranked by their text. Reruns give the same rows. An empty table gives an empty result.
     """
     odds = F.lit(1.0) if importance is None else F.coalesce(F.col(importance).cast("double"), F.lit(1.0))
-    row_hash = F.xxhash64(F.lit(seed), F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.col(text).isNull())
     base = materialize(
         docs.select(
-            F.col(key).alias("key"), F.col(source).alias("source"), odds.alias("odds"), row_hash.alias("row_hash"),
+            F.col(key).alias("key"), F.col(source).alias("source"), odds.alias("odds"), row_hash(F.col(key), F.col(text), seed).alias("row_hash"),
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ), "mix-sizes",
     )
@@ -72,7 +78,7 @@ def mix(
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = targets.withColumn("certain", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio))
     plan = plan.withColumn("left", F.col("target") - F.col("certain") * F.col("source_size")).withColumn("bins", F.ceil(F.col("n_docs") / F.lit(bin_rows)).cast("long"))
-    u = (F.pmod(F.col("row_hash"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    u = (F.col("row_hash").cast("double") + 0.5) / float(1 << 52)
     # One row per source; Spark broadcasts it while it is small and shuffles (splitting hot sources) when it is not.
     rows = base.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("u", u)
     q = (F.col("u") / (1 - F.col("u"))) * (1 - F.col("p")) / (F.col("p") * F.col("odds"))
@@ -97,6 +103,30 @@ def mix(
     return edge.unionByName(rest).select("key", "source", "row_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+#: The same mix over whole tables in one sort for each source.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(sha256('7|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || sha256(coalesce(text, '')) || '|' || CASE WHEN text IS NULL THEN 'true' ELSE 'false' END), 1, 13) AS BIGINT) AS h
+  FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), o AS (SELECT *, [5e0, 2e0, 1e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2e0 * source_size AS most FROM s
+), l AS (
+  SELECT *, (1.5e0 * sum(source_size) OVER () - coalesce(sum(most) OVER below, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER below, 0)) AS level FROM o
+  WINDOW below AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (SELECT level AS shared FROM l WHERE level <= most / w ORDER BY most / w, source NULLS LAST LIMIT 1
+), t AS (SELECT source, source_size, least(most, coalesce(w * (SELECT shared FROM f), most)) AS target FROM l
+), r AS (
+  SELECT d.*, t.source_size, t.target, floor(ratio) AS certain, ratio - floor(ratio) AS p, t.target - floor(ratio) * t.source_size AS remaining, (h + 0.5e0) / 4503599627370496e0 AS u
+  FROM d JOIN (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t) t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) * (1 - p) / p END AS q FROM r
+), c AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, h, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM q)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST((certain + CASE WHEN q IS NOT NULL AND (run <= remaining OR (remaining > run - size AND run - remaining <= remaining - (run - size))) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM c
+"""
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every row of ``documents``."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -106,7 +136,7 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged."""
     taken = mix(docs).where("copies > 0").select(F.col("key").alias("_k"), F.col("source").alias("_s"), F.col("row_hash").alias("_h"), F.col("copies").alias("_n"))
-    own = F.xxhash64(F.lit(7), F.col("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), F.col("text").isNull())
+    own = row_hash(F.col("doc_id"), F.col("text"), SEED)
     # Equal rows get equal shares: of r equal rows with n copies in all, the i-th has its own count.
     i = F.row_number().over(W.partitionBy("_k", "_s", "_h").orderBy(F.desc("_n")))
     j = F.row_number().over(W.partitionBy("doc_id", "source", "_own").orderBy("_own"))

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op2_warc": warc.ORACLE_SQL, "op6_url_filter": urlfilter.ORACLE_SQL}
+ORACLES = {"op2_warc": warc.ORACLE_SQL, "op6_url_filter": urlfilter.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
