@@ -51,3 +51,12 @@ def b48(t):
     states = propagation.propagate(grid, "minutes").where("state.error = 0")
     height = F.sqrt(F.col("state.x") * F.col("state.x") + F.col("state.y") * F.col("state.y") + F.col("state.z") * F.col("state.z")) - orbit.EARTH_RADIUS_KM
     return states.groupBy("set_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.min(height), 3).alias("lowest_km"), F.round(F.max(height), 3).alias("highest_km"), F.round(F.first("decay"), 9).alias("decay_km_day"))
+
+
+@query("b7_screening_elements", """
+WITH p AS (SELECT set_id, k, CAST(trim(substr(line2, 9, 8)) AS DOUBLE) AS i, CAST('0.' || trim(substr(line2, 27, 7)) AS DOUBLE) AS e, CAST(trim(substr(line2, 53, 11)) AS DOUBLE) AS n FROM tle_sets),
+a AS (SELECT *, pow(398600.4418e0 / pow(n * (2 * pi() / 86400), 2), 1e0 / 3) AS a FROM p) SELECT set_id, k, i AS inclination_deg, round(a * (1 - e) - 6378.137e0, 6) AS perigee_km, round(a * (1 + e) - 6378.137e0, 6) AS apogee_km FROM a""")
+def b7(t):
+    """What binning needs of a set, from the columns of its second line only."""
+    f = tle.fields()
+    return t.tle_sets.select("set_id", "k", "line2", F.lit("").alias("line1")).select("set_id", "k", f["inclination_deg"].alias("inclination_deg"), *[F.round(f[c], 6).alias(c) for c in ("perigee_km", "apogee_km")])
