@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zenithal.llm import bpe, mixing, pii, quality, simhash
+from zenithal.llm import bpe, jaccard, mixing, pii, quality
 from zenithal.session import materialize
 
 
@@ -18,14 +18,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component keep the document with the smallest id; of rows that share this id, one.
-
-    Fingerprints are over five words here."""
-    found = simhash.near_duplicates(docs, shingle=5)
-    keep = found.where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("doc_id"), "fp").distinct()
-    keep = keep.groupBy("doc_id").agg(F.min("fp").alias("_fp"))
+    """Of each component of texts whose five-word shingles are alike (Jaccard of at least 0.8) keep the document with the
+    smallest id; of rows that share this id, one."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = docs.select("doc_id", digest.alias("digest")).join(jaccard.components(docs), "digest")
+    keep = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     # The rows of an id are those of its own texts; equal ids with different texts keep the one of the least hash.
-    rows = docs.join(keep.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
+    rows = docs.join(keep.where("doc_id is not null"), "doc_id", "left_semi")
     first = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
     single = rows.join(first, "doc_id", "left_anti")
     again = rows.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
