@@ -18,16 +18,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts whose five-word shingles are alike (Jaccard of at least 0.8) keep the document with the
-    smallest id; of rows that share this id, one."""
+    """Of each component of texts whose five-word shingles are alike (Jaccard of at least 0.8) keep one document: that with the
+    smallest id, null after all others, and of texts that share this id the one with the smallest digest."""
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    found = docs.select("doc_id", digest.alias("digest")).join(jaccard.components(docs), "digest")
-    keep = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    # The rows of an id are those of its own texts; equal ids with different texts keep the one of the least hash.
-    rows = docs.join(keep.where("doc_id is not null"), "doc_id", "left_semi")
-    first = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
-    single = rows.join(first, "doc_id", "left_anti")
-    again = rows.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
+    found = docs.select("doc_id", digest.alias("_digest")).join(jaccard.components(docs).withColumnRenamed("digest", "_digest"), "_digest")
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_digest")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._digest").alias("_digest"))
+    ready = docs.withColumn("_digest", digest)
+    rows = ready.join(keep, (ready["_digest"] == keep["_digest"]) & ready["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    # A text has one id here; rows that repeat both are cut to the one of the least hash.
+    first = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest")
+    single = rows.join(first, "_digest", "left_anti").select(*docs.columns)
+    again = rows.join(first, "_digest", "left_semi").groupBy("_digest").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
     return single.unionByName(again).select(*docs.columns)
 
 

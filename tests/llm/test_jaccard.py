@@ -40,3 +40,12 @@ def test_stage_against_all_pairs(spark, monkeypatch, sample):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     got = {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert got == set(brute(texts))
+
+
+def test_one_row_of_each_group_stays_without_and_with_equal_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b + " more"), (5, c), (None, c), (5, d), (6, d), (7, d + " more"), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert len(got) == 5 and {(None, a), (5, c), (5, d), (8, "")} <= set(got)
+    assert sum(k is None and t.startswith(b) for k, t in got) == 1
