@@ -62,7 +62,7 @@ PATTERNS = [
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A cheap test that every text with an entity passes.
-MAYBE = r"[0-9@]|(?:" + _TITLE + r") \p{Lu}"
+MAYBE = r"[0-9@]|(?:" + _TITLE + r") \p{Lu}|(?i:password|passwd|pwd|token|secret|api[_-]?key)(?:=|: ?| = )|(?:AKIA|ASIA)[0-9A-Z]{16}|[a-f]{40}"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
