@@ -69,3 +69,16 @@ def test_secrets_of_letters_only(spark):
     new = run(spark, texts)
     assert all(a != b for a, b in zip(texts, new, strict=True))
     assert new[5] == new[0] + " in 1 text"
+
+
+def test_no_format_runs_out(spark):
+    texts = ["user 7 password: ****", "user 8 password: ----", "user 9 password: пароль", "token=" + "-" * 16, *[f"{c}@x.com" for c in "abcdefghijklmnopqrstuvwxyz"]]
+    new = run(spark, texts)
+    assert all(a != b for a, b in zip(texts, new, strict=True)) and len(set(new)) == len(new)
+    assert new[0].startswith("user 7 password: ") and re.fullmatch("user 9 password: [а-я]{6}", new[2])
+
+
+def test_many_given_names(spark):
+    names = [("given-latin-n", f"N{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "latin") for i in range(10_000)]
+    got = pii.surrogates(spark.createDataFrame(names, "kind string, value string, script string")).collect()
+    assert len(got) == len({r.surrogate for r in got}) == 10_000

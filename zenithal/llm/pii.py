@@ -12,7 +12,8 @@ their prefix, e-mails get a reserved domain. A person's family name and given na
 "Ms. Byron" stay one family; given names come from lists for the gender that a title of this name tells and its script.
 
 Collisions. Surrogates of one type that are the same, or that are a value found in the corpus, are drawn again with the next
-round number, until none is left: different entities have different surrogates, one entity has one everywhere.
+round number, until none is left: different entities have different surrogates, one entity has one everywhere. Names get more
+parts with the rounds, all else grows by one character every eight rounds, so no format can run out.
 
 Scale. Only rows with entities take part in shuffles; entities are made distinct before the shuffle, so one that is in a
 third of all rows is one row. Texts with entities are made distinct, too, and meet their replacements by a hash of the text.
@@ -20,6 +21,8 @@ third of all rows is one row. Texts with entities are made distinct, too, and me
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,6 +67,7 @@ PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A cheap test that every text with an entity passes.
 MAYBE = r"[0-9@]|(?:" + _TITLE + r") \p{Lu}|(?i:password|passwd|pwd|token|secret|api[_-]?key)(?:=|: ?| = )|(?:AKIA|ASIA)[0-9A-Z]{16}|[a-f]{40}"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 
 
 def kind_of(match: Column) -> Column:
@@ -90,7 +94,10 @@ def _stream(seed: Column, i: Column) -> Column:
 
 
 def reshape(value: Column, seed: Column) -> Column:
-    """``value`` with every digit and letter replaced by a keyed one of its class; long hexadecimal words stay hexadecimal."""
+    """``value`` with every digit and letter replaced by a keyed one of its class; long hexadecimal words stay hexadecimal.
+
+    Letters outside Latin and Cyrillic become Latin ones. In a value without letters and digits all characters become letters."""
+    bare = ~value.rlike(r"[\p{L}\p{Nd}]")
     hexed = value.rlike(r"^[0-9a-f]{16,}$") & value.rlike("[0-9]") & value.rlike("[a-f]")
     chars = F.split(value, "")
 
@@ -98,7 +105,10 @@ def reshape(value: Column, seed: Column) -> Column:
         pick = lambda letters: F.substring(F.lit(letters), (_stream(seed, i) % len(letters) + 1).cast("int"), F.lit(1))
         low = F.when(hexed, pick("0123456789abcdef")).otherwise(pick(LOWER))
         digit = F.when(hexed, pick("0123456789abcdef")).otherwise(pick("0123456789"))
-        return F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), low).when(c.rlike("[A-Z]"), pick(UPPER)).otherwise(c)
+        out = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), low).when(c.rlike("[A-Z]"), pick(UPPER))
+        out = out.when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), pick(CYRILLIC.upper())).otherwise(pick(CYRILLIC)))
+        out = out.when(c.rlike(r"\p{Nd}"), digit).when(c.rlike(r"\p{Lu}"), pick(UPPER)).when(c.rlike(r"\p{L}") | bare, low)
+        return out.otherwise(c)
 
     return F.array_join(F.transform(F.filter(chars, lambda c: c != ""), swap), "")
 
@@ -118,40 +128,58 @@ def with_check_digit(number: Column) -> Column:
     return F.concat(F.regexp_replace(number, ".$", ""), F.pmod(-total, F.lit(10)).cast("string"))
 
 
+def _tail(seed: Column, n: Column, letters: str) -> Column:
+    """``n`` keyed characters of ``letters``."""
+    put = lambda i: F.substring(F.lit(letters), (_stream(seed, -i - 2) % len(letters) + 1).cast("int"), F.lit(1))
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), put), "")).otherwise("")
+
+
+def _picker(names: list[str], seed: Column):
+    table = F.array(*[F.lit(n) for n in names])
+    return lambda i: F.element_at(table, (_stream(seed, i) % len(names) + 1).cast("int"))
+
+
 def _family(script: Column, seed: Column, round_no: Column) -> Column:
-    """An invented family name of three syllables, four from the third round on."""
+    """An invented family name of three syllables, five from the third round on, one more every eight rounds."""
     table = {s: F.array(*[F.lit(x) for x in v]) for s, v in SYLLABLES.items()}
-    part = lambda i: F.when(script == "cyrillic", F.element_at(table["cyrillic"], (_stream(seed, F.lit(i)) % 16 + 1).cast("int"))).otherwise(F.element_at(table["latin"], (_stream(seed, F.lit(i)) % 16 + 1).cast("int")))
-    tail = F.when(round_no >= 2, F.concat(part(3), part(4))).otherwise("")
+    at = lambda i: i if isinstance(i, Column) else F.lit(i)
+    part = lambda i: F.when(script == "cyrillic", F.element_at(table["cyrillic"], (_stream(seed, at(i)) % 16 + 1).cast("int"))).otherwise(F.element_at(table["latin"], (_stream(seed, at(i)) % 16 + 1).cast("int")))
+    more = F.array_join(F.transform(F.sequence(F.lit(5), F.floor(round_no / 8).cast("int") + 4), part), "")
+    tail = F.when(round_no >= 8, F.concat(part(3), part(4), more)).when(round_no >= 2, F.concat(part(3), part(4))).otherwise("")
     return F.initcap(F.concat(part(0), part(1), part(2), tail))
 
 
 def draw(kind: Column, value: Column, script: Column, round_no: Column, secret: str) -> Column:
     """The surrogate of an entity in its canonical form."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(secret), kind, value, round_no.cast("string")), 256)
+    grown = F.floor(round_no / 8).cast("int")
+    letters, numbers = _tail(seed, grown, LOWER), _tail(seed, grown, "0123456789")
     domain = F.concat(reshape(F.regexp_extract(value, r"@([^.]+)", 1), F.sha2(F.concat(F.lit(secret), F.regexp_extract(value, "@(.*)$", 1)), 256)), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), (_stream(seed, F.lit(-1)) % 3 + 1).cast("int")))
-    email = F.concat(reshape(F.regexp_extract(value, "^([^@]+)", 1), seed), F.lit("@"), domain)
+    email = F.concat(reshape(F.regexp_extract(value, "^([^@]+)", 1), seed), letters, F.lit("@"), domain)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_stream(seed, i) % 254 + 1).cast("string")), ".")
-    key = F.concat(F.substring(value, 1, 4), reshape(F.substring(value, 5, 100), seed))
+    octets = F.concat(octets, F.when(grown > 0, F.concat(F.lit("."), numbers)).otherwise(""))
+    key = F.concat(F.substring(value, 1, 4), reshape(F.substring(value, 5, 100), seed), F.upper(letters))
     phone = _digits(value, seed, F.greatest(F.length(value) - 10, F.when(F.length(value) < 10, 2).otherwise(0)))
+    phone = F.concat(phone, numbers)
     out = F.when(kind == "email", email).when(kind == "ip", octets).when(kind.isin("access_key", "iban"), key).when(kind == "phone", phone)
-    out = out.when(kind == "card", with_check_digit(_digits(value, seed, F.lit(1)))).when(kind == "ssn", _digits(value, seed, F.lit(0)))
+    out = out.when(kind == "card", with_check_digit(F.concat(_digits(value, seed, F.lit(1)), numbers))).when(kind == "ssn", F.concat(_digits(value, seed, F.lit(0)), numbers))
     given = F.lit(None).cast("string")
     for (s, g), names in GIVEN.items():
-        pick = lambda i, names=names: F.element_at(F.array(*[F.lit(n) for n in names]), (_stream(seed, F.lit(i)) % len(names) + 1).cast("int"))
-        double = F.concat_ws("-", pick(0), F.when(round_no >= 2, pick(1)), F.when(round_no >= 6, pick(2)))
-        given = F.when(kind == f"given-{s}-{g}", double).otherwise(given)
-    return out.when(kind == "family", _family(script, seed, round_no)).when(kind.startswith("given"), given).otherwise(reshape(value, seed))
+        # One part, two from the third round on, and one more every four rounds.
+        parts = F.when(round_no < 2, 0).otherwise(F.floor((round_no - 2) / 4).cast("int") + 1)
+        several = F.array_join(F.transform(F.sequence(F.lit(0), parts), _picker(names, seed)), "-")
+        given = F.when(kind == f"given-{s}-{g}", several).otherwise(given)
+    return out.when(kind == "family", _family(script, seed, round_no)).when(kind.startswith("given"), given).otherwise(F.concat(reshape(value, seed), F.when(value.rlike(r"^[0-9a-f]{16,}$"), _tail(seed, grown, "0123456789abcdef")).otherwise(letters)))
 
 
-def surrogates(entities: DataFrame, secret: str = SECRET, rounds: int = 40) -> DataFrame:
+def surrogates(entities: DataFrame, secret: str = SECRET) -> DataFrame:
     """(kind, value, surrogate) for the distinct (kind, value, script): none is drawn twice for a kind, none is a value found.
 
     Who keeps a surrogate that several drew is the one with the least value; the others draw again."""
     todo = materialize(entities.select("kind", "value", "script").distinct(), "pii-entities")
     real = todo.select("kind", F.col("value").alias("surrogate"))
     done: list[DataFrame] = []
-    for i in range(rounds):
+    for i in count():
         drawn = todo.withColumn("surrogate", draw(F.col("kind"), F.col("value"), F.col("script"), F.lit(i), secret))
         first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("value"))
         taken = real if not done else real.unionByName(done[-1].select("kind", "surrogate"))
@@ -163,8 +191,6 @@ def surrogates(entities: DataFrame, secret: str = SECRET, rounds: int = 40) -> D
         todo = free.where("not ok").select("kind", "value", "script")
         if todo.isEmpty():
             break
-    else:
-        raise ValueError("surrogates keep colliding: too few of a format for the entities that have it")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -181,7 +207,7 @@ def _write_like(match: Column, canon: Column, surrogate: Column) -> Column:
     surrogate = F.concat(F.substring(own, F.lit(1), F.length(own) - F.length(canon)), surrogate)
     chars = F.filter(F.split(match, ""), lambda c: c != "")
     place = F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, F.length(F.regexp_replace(F.substring(match, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c))
-    return F.array_join(place, "")
+    return F.concat(F.array_join(place, ""), F.substring(surrogate, F.length(own) + 1, F.length(surrogate)))
 
 
 def replace(docs: DataFrame, text: str = "text", secret: str = SECRET) -> DataFrame:
