@@ -74,3 +74,11 @@ def test_recall_at_the_threshold():
     reach = 2.0 / 8 * np.sqrt(0.2)
     met = (index.margins(a, home_a)[k, home_b] <= reach) | (index.margins(b, home_b)[k, home_a] <= reach)
     assert met.mean() >= 0.97
+
+
+def test_no_pair_of_low_rank_vectors_is_missed(spark):
+    """Vectors of four effective dimensions in 64: list borders run across the directions that pairs differ in."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(4, 64))
+    rows = [(i, [float(x) for x in v.astype(np.float32)]) for i, v in enumerate(rng.normal(size=(700, 4)) @ base + 1e-3 * rng.normal(size=(700, 64)))]
+    assert run(spark, rows) == brute(rows)

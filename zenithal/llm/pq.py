@@ -4,13 +4,12 @@ A vector is scaled to length 1, so cosine >= c means a distance of at most R = s
 a codebook for each subspace of the residuals) is fitted on a bounded sample; every vector is indexed.
 
 * Lists: a vector's home is its nearest centroid. A query probes each list c whose bisector with its own home h is near:
-  (d(q,c)^2 - d(q,h)^2) / (2 |c - h|) <= R * reach / sqrt(dimensions). A partner at most R away in a random direction gets
-  over the bisector by R / sqrt(dimensions) in one standard deviation, so a reach of 2 misses few, and a pair is found if
-  either probes the other's list: of 20,000 pairs made at the threshold itself (64 dimensions), none was missed. With a
-  reach of sqrt(dimensions) no pair can be missed.
+  (d(q,c)^2 - d(q,h)^2) / (2 |c - h|) <= R / 2. The way between the two of a pair crosses the bisector of their homes, so
+  their distances from it add up to at most R, and one of them is at most R / 2: it probes the other's list. No pair is
+  missed, whatever its direction.
 * Codes: the residual y - c is coded subspace by subspace; with its coding error e, the table-lookup distance of a query at
-  distance <= R satisfies adc^2 <= R^2 + e^2 + 2 R e cos(angle); pairs beyond an angle of ``spread`` / sqrt(dimensions) are
-  cut. What is left is decided by the exact cosine in double precision, so no pair below the threshold is ever linked.
+  distance <= R is at most R + e, whatever the angle; pairs beyond it are cut. Where many are left, the product of the unit
+  vectors cuts them further, and what is left is decided by the exact cosine in double precision.
 
 A pair is counted in one cell only (if each probes the other's list, in the smaller list), so no pairs are returned: a cell
 returns for each of its linked vectors the number of its links and the root of its local component. Equal vectors are one
@@ -33,6 +32,8 @@ from zenithal.session import materialize, ship
 #: Vectors that the model is fitted on at most.
 SAMPLE = 8192
 CELL_ROWS = 2048
+#: Share of R up to which lists are probed: the least at which one of each pair always probes the other's.
+HALF = 0.5
 #: Inverted lists at most; they are twice the square root of the number of vectors.
 MOST_LISTS = 2048
 
@@ -105,7 +106,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def linked_pairs(stored, queries, index: Index, at: int, cosine: float, reach: float, spread: float):
+def linked_pairs(stored, queries, index: Index, at: int, cosine: float):
     """Pairs (i in stored, j in queries) of one cell with cosine >= ``cosine`` that this cell is to count.
 
     Each side: (unit vectors, raw vectors, homes, dims). ``queries`` None: pairs i < j within ``stored``."""
@@ -113,10 +114,12 @@ def linked_pairs(stored, queries, index: Index, at: int, cosine: float, reach: f
     unit, raw, home, dims = stored
     q_unit, q_raw, q_home, q_dims = queries or stored
     codes, error = index.encode(unit - index.centres[at])
-    most = r * r + error**2 + 2 * r * error * min(1.0, spread / math.sqrt(unit.shape[1])) + 1e-9
+    most = (r + error) ** 2 + 1e-9
     out_i, out_j = [], []
     for a in range(0, len(q_unit), 512):
         near = index.lookup(q_unit[a : a + 512] - index.centres[at], codes) <= most[None]
+        if np.count_nonzero(near) > near.size // 50:
+            near &= q_unit[a : a + 512] @ unit.T >= cosine - 1e-9
         j, i = np.nonzero(near)
         j += a
         keep = dims[i] == q_dims[j]
@@ -134,13 +137,13 @@ def linked_pairs(stored, queries, index: Index, at: int, cosine: float, reach: f
         # The pair also meets in the query's home list if the stored vector probes it: then the smaller list counts it.
         s, at_s = np.unique(i, return_inverse=True)
         margin = index.margins(unit[s], home[s])
-        there = margin[at_s, q_home[j]] <= reach * r
+        there = margin[at_s, q_home[j]] <= HALF * r + 1e-9
         keep = ~(there & (q_home[j] < at))
         i, j = i[keep], j[keep]
     return i, j
 
 
-def similar(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, reach: float = 2.0, spread: float = 4.5, sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> DataFrame:
+def similar(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(key, n_links, component) for each row: links are pairs with a cosine of at least ``cosine``.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
@@ -161,9 +164,8 @@ def similar(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
         return rows.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
     picked = classes.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).select("v").toArrow().column(0).combine_chunks()
     index = Index(_unit(_matrix(picked, width)), max(1, min(MOST_LISTS, round(2 * math.sqrt(n)))))
-    reach = min(1.0, reach / math.sqrt(max(width, 1)))
     model = spark.sparkContext.broadcast(index)
-    limit = reach * math.sqrt(max(0.0, 2 - 2 * cosine))
+    limit = HALF * math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
 
     def place(batches):
         index = model.value
@@ -193,12 +195,12 @@ def similar(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
             unit, dims = _unit(raw), np.diff(t["v"].offsets.to_numpy())
             side = lambda m: (unit[m], raw[m], t["home"][m], dims[m])
             if kind_of == 0 and a == b:
-                i, j = linked_pairs(side(first), None, model.value, list_id, cosine, reach, spread)
+                i, j = linked_pairs(side(first), None, model.value, list_id, cosine)
                 at_i, at_j = i, j
             elif first.all() or not first.any():
                 continue
             else:
-                i, j = linked_pairs(side(first), side(~first), model.value, list_id, cosine, reach, spread)
+                i, j = linked_pairs(side(first), side(~first), model.value, list_id, cosine)
                 at_i, at_j = np.nonzero(first)[0][i], np.nonzero(~first)[0][j]
             if not len(i):
                 continue
