@@ -1,148 +1,159 @@
 """BPE encoding by a table of distinct words, and decoding by a join of ids with their pieces.
 
-Encoding. Texts are split into words (units that can be encoded alone, see ``tokens``). Word by word, a corpus would be
-shuffled at several times its size, so occurrences are folded before the shuffle: documents are taken in chunks of some
-8 MB, and a chunk sends each of its distinct words once, in one row per word bucket. A bucket holds all of its words from
-all chunks: each distinct word is encoded there once, and ids go back to the chunks in the order in which words were sent.
-There the chunk's compressed texts meet them, its words are found again in that order, and ids are put to each position.
+Encoding. Spark splits every text into words (units that can be encoded alone, see ``tokens``) and counts them; counts are
+combined before the shuffle, so a word that is everywhere is one row from each task. Words that occur more than once make
+the table: each is encoded once, where Spark has put it. The table, most frequent words first, is broadcast up to
+``table_words`` rows, which bounds it at any size of the corpus, and ids are joined back to the words at their positions.
 
-A chunk's rows are those of an input partition, in its order. Should a partition that is computed anew hold other rows, the
-digest of all words that goes with each row of ids tells, and the chunk's words are encoded on the spot.
+A word that isn't in the table is encoded at its position. For a word that occurs once that is its only encoding. Only where
+more than ``table_words`` words occur repeatedly, the rarest of them are encoded again at each position: a join of their
+positions by shuffle would move every text once more, which costs more than the encoding of some words in a hundred.
 
-Decoding. The table id -> piece (bounded by the vocabulary) is held by every task, and ids are joined with it by position.
+Decoding. The table id -> piece (bounded by the vocabulary) is broadcast, and ids are joined with it by position: an id is the
+row of its piece, so the join is a gather over whole Arrow batches.
 """
 
 from __future__ import annotations
 
-import zlib
-from itertools import pairwise
+import functools
+import re
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zenithal.llm import tokens
-from zenithal.session import ship
+from zenithal.session import materialize, ship
+
+#: Words that are broadcast at most, and words that a task turns into Python strings at once.
+TABLE_WORDS, SLICE = 1 << 20, 1 << 17
+
+
+def units(text: Column, tokenizer: str) -> Column:
+    """The words of a whole text in their order, as ``tokens.units`` has them; put together they are the text."""
+    words = lambda t: F.regexp_extract_all(t, F.lit(tokens.UNIT.pattern), F.lit(0))
+    special = tokens.special_names(tokenizer)
+    if not special:
+        return words(text)
+    pattern = "|".join(map(re.escape, special))
+    between = F.transform(F.split(text, pattern, -1), words)
+    marked = F.zip_with(between, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda u, m: F.when(m.isNull(), u).otherwise(F.concat(u, F.array(m))))
+    return F.when(functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in special]), F.flatten(marked)).otherwise(words(text))
+
+
+def word_table(docs: DataFrame, tokenizer: str, text: str = "text", table_words: int = TABLE_WORDS, encoder: Callable = tokens.encoder) -> DataFrame:
+    """(word, n, ids binary): the distinct words that occur more than once in all texts, how often, and their ids as
+    little-endian 32-bit integers. Of more than ``table_words`` such words those of the higher counts (in steps of an eighth
+    of a doubling) are taken. Null texts have no words; an empty table gives an empty result."""
+    ship(docs.sparkSession)
+    counts = docs.select(F.explode(units(F.col(f"`{text}`"), tokenizer)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = materialize(counts, "bpe-counts")
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, held = 1 << 30, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r.step):  # some hundred rows
+        held += r.words
+        if held > table_words:
+            break
+        least = r.step
+
+    def encode(batches):
+        one = encoder(tokenizer)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(one, b.column(0).to_pylist())), pa.binary())], ["word", "n", "ids"])
 
-CHUNK_BYTES = 8 << 20
+    return materialize(counts.where(step >= least).select("word", "n").mapInArrow(encode, "word string, n long, ids binary"), "bpe-words")
 
 
-def _join(parts: list[bytes]) -> bytes:
-    """Byte strings as one compressed block."""
-    head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+#: The broadcast table of this process as a dictionary, made once.
+_TABLE: dict = {}
 
 
-def _split(block: bytes) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(block)
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
-    return [data[a:b] for a, b in pairwise([4 + 4 * n, *ends.tolist()])]
+def _lookup(shared) -> dict[str, bytes]:
+    if shared.id not in _TABLE:
+        _TABLE.clear()
+        with pa.ipc.open_stream(shared.value) as stream:
+            made: dict[str, bytes] = {}
+            for b in stream:
+                made.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        _TABLE[shared.id] = made
+    return _TABLE[shared.id]
 
 
-def _digest(found: list[str]) -> bytes:
-    return xxhash.xxh128_digest("\0".join(found).encode())
+class _Shared:
+    """A broadcast and a name for it that is the same in every process."""
 
+    def __init__(self, broadcast):
+        self.broadcast, self.id = broadcast, uuid.uuid4().hex
 
-def _chunks(batches, size: int):
-    """(chunk, keys, texts in UTF-8) over a partition of (key, text)."""
-    part, number, keys, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
-    for b in batches:
-        keys.append(b.column(0))
-        at = 0
-        for i, t in enumerate(b.column(1).cast(pa.large_binary()).to_pylist()):
-            texts.append(t or b"")
-            held += len(texts[-1]) + 8
-            if held >= size:
-                keys[-1] = keys[-1].slice(0, i + 1 - at)
-                yield part << 32 | number, keys, texts
-                keys, texts, held, number, at = [b.column(0).slice(i + 1)], [], 0, number + 1, i + 1
-    if texts:
-        yield part << 32 | number, keys, texts
-
-
-def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    @property
+    def value(self) -> bytes:
+        return self.broadcast.value
+
+
+def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", table_words: int = TABLE_WORDS, encoder: Callable = tokens.encoder) -> DataFrame:
     """(key, ids array<int>): the ids of every whole text, as the tokenizer's file gives them without special tokens added.
 
-    Null texts are empty and have no ids. Keys may be null or repeat. An empty table gives an empty result.
+    Null and empty texts have no ids. Keys may be null or repeat; repeated rows give repeated rows. Other columns are not read,
+    whatever their names. Long texts are split and encoded whole. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-
-    def words(batches):
-        for chunk, _, texts in _chunks(batches, chunk_bytes):
-            found = tokens.distinct_units((t.decode() for t in texts), tokenizer)
-            buckets: list[list[bytes]] = [[] for _ in range(n)]
-            for u in found:
-                raw = u.encode()
-                buckets[zlib.crc32(raw) % n].append(raw)
-            full = [(i, _join(x)) for i, x in enumerate(buckets) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([_digest(found)] * len(full), pa.binary()), pa.array([x for _, x in full], pa.binary())], ["bucket", "chunk", "digest", "words"])
-
-    def assign(batches):
-        bucket, table = None, {}
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    table = word_table(rows, tokenizer, "text", table_words, encoder).select("word", "ids").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table, max_chunksize=1 << 16)
+    shared = _Shared(spark.sparkContext.broadcast(sink.getvalue().to_pybytes()))
+
+    def place(batches):
+        known, one = _lookup(shared), functools.lru_cache(1 << 16)(encoder(tokenizer))
         for b in batches:
-            for own, chunk, digest, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if own != bucket:
-                    bucket, table = own, {}
-                sent = _split(block)
-                new = [w for w in sent if w not in table]
-                table.update(zip(new, tokens.encode_units(tokenizer, (w.decode() for w in new)), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([own], pa.int32()), pa.array([digest], pa.binary()), pa.array([_join([table[w] for w in sent])], pa.binary())], ["chunk", "bucket", "digest", "ids"])
-
-    def pack(batches):
-        for chunk, keys, texts in _chunks(batches, chunk_bytes):
-            own = pa.concat_arrays(keys)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.ListArray.from_arrays([0, len(own)], own), pa.array([_join(texts)], pa.binary())], ["chunk", "keys", "texts"])
-
-    def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = tokens.Cache(tokenizer)
-        keys, values, ends = [], [], [0]
-        blocks = [_split(b.as_py()) for b in left.column("texts")]
-        for texts in blocks:
-            found = tokens.distinct_units((t.decode() for t in texts), tokenizer)
-            if set(right.column("digest").to_pylist()) == {_digest(found)}:
-                ids = {b: iter(_split(x.as_py())) for b, x in zip(right.column("bucket").to_pylist(), right.column("ids"), strict=True)}
-                for u in found:
-                    table.put(u, next(ids[zlib.crc32(u.encode()) % n]))
-        table.most = len(table) + len(table.words) + 700_000
-        for own, texts in zip(left.column("keys"), blocks, strict=True):
-            keys.append(own.values)
-            for t in texts:
-                values.append(table.encode(t.decode()))
-                ends.append(ends[-1] + len(values[-1]) // 4)
-        ids = pa.array(np.frombuffer(b"".join(values), "<i4"))
-        every = pa.concat_arrays(keys) if keys else pa.array([], left.schema.field("keys").type.value_type)
-        return pa.table({"key": every, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)})
-
-    sent = rows.mapInArrow(words, "bucket int, chunk long, digest binary, words binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    back = sent.mapInArrow(assign, "chunk long, bucket int, digest binary, ids binary")
-    texts = rows.mapInArrow(pack, f"chunk long, keys array<{kind}>, texts binary")
-    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(place, f"key {kind}, ids array<int>")
+            ends = b.column(1).offsets.to_numpy()
+            at = 0
+            while at < b.num_rows:
+                # As many rows as hold SLICE words, one at least.
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+                words = b.column(1).values.slice(ends[at], ends[to] - ends[at]).to_pylist()
+                ids = [one(w) if x is None else x for w, x in zip(words, map(known.get, words), strict=True)]
+                sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
+                own = sizes[ends[at : to + 1] - ends[at]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.ListArray.from_arrays(pa.array(own), pa.array(np.frombuffer(b"".join(ids), "<i4")))], ["key", "ids"])
+                at = to
+
+    return rows.select("key", units(F.col("text"), tokenizer).alias("units")).mapInArrow(place, f"key {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` plus the text of its ids (special tokens included); null ids give null.
+    """``encoded`` plus the text of its ids (special tokens included); null ids give null, no ids the empty text.
 
-    Bytes that are no UTF-8 become U+FFFD. An id outside the vocabulary is an error."""
+    Bytes that are no UTF-8 become U+FFFD. An id outside the vocabulary is an error. A column named as ``out`` is replaced."""
     ship(encoded.sparkSession)
 
     @F.arrow_udf("string")
     def join(column: pa.Array) -> pa.Array:
-        table = tokens.pieces(tokenizer)
-        offsets = column.offsets.to_numpy()
-        flat = column.values.to_numpy(zero_copy_only=False)
-        texts = [None if null else b"".join(map(table.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace") for null, (a, b) in zip(column.is_null().to_pylist(), pairwise(offsets.tolist()), strict=True)]
-        return pa.array(texts, pa.string())
-
-    return encoded.withColumn(out, join(F.col(ids)))
+        pieces = tokens.piece_table(tokenizer)
+        texts = []
+        ends = column.offsets.to_numpy()
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+            own = pieces.take(column.values.slice(ends[at], ends[to] - ends[at]))
+            lists = pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - ends[at], pa.int32()), own)
+            texts.append(pc.binary_join(lists, b""))
+            at = to
+        whole = pa.concat_arrays(texts) if texts else pa.array([], pa.binary())
+        try:
+            whole = whole.cast(pa.string())
+        except pa.ArrowInvalid:  # some ids alone are no UTF-8
+            whole = pa.array([None if x is None else x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
+        return pc.if_else(column.is_null(), pa.scalar(None, pa.string()), whole)
+
+    return encoded.withColumn(out, join(F.col(f"`{ids}`")))
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -12,8 +12,9 @@ import functools
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: The blanks of the tokenizers' patterns (Unicode White_Space).
@@ -30,9 +31,14 @@ def load(path: str) -> Tokenizer:
     return t
 
 
+def special_names(path: str) -> list[str]:
+    """Special tokens, the longest first."""
+    return sorted((t.content for t in load(path).get_added_tokens_decoder().values()), key=len, reverse=True)
+
+
 @functools.lru_cache(maxsize=4)
 def _special(path: str) -> re.Pattern | None:
-    names = sorted((t.content for t in load(path).get_added_tokens_decoder().values()), key=len, reverse=True)
+    names = special_names(path)
     return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
 
@@ -82,38 +88,10 @@ def encoder(path: str) -> Callable[[str], bytes]:
     return one
 
 
-def encode_units(path: str, wanted: Iterable[str]) -> list[bytes]:
-    """For each unit its ids as little-endian 32-bit integers."""
-    return list(map(encoder(path), wanted))
-
-
-#: A space beside another blank: then the words between single spaces are not units (with their space) one by one.
-_WIDE = re.compile(f" [{BLANK}]|[{BLANK}] | $")
 _SOME_BLANK = re.compile(f"[{BLANK}]")
 _BLANKS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{BLANK}]", c))
 
 
-def distinct_units(texts: Iterable[str], path: str) -> list[str]:
-    """The distinct units of many texts. Words between single spaces are made distinct first, which is a plain split."""
-    found: dict[str, None] = {}
-    after: dict[str, None] = {}  # no set: the order is to be the same in every process
-    special = _special(path)
-    for t in texts:
-        if _WIDE.search(t) or (special is not None and special.search(t)):
-            found.update(dict.fromkeys(units(t, path)))
-        else:
-            first, *rest = t.split(" ")
-            found.update(dict.fromkeys(UNIT.findall(first)))
-            after.update(dict.fromkeys(rest))
-    whole = _SOME_BLANK.search
-    for word in after:
-        if word.isalnum() or not whole(word):
-            found[" " + word] = None
-        else:
-            found.update(dict.fromkeys(UNIT.findall(" " + word)))
-    return list(found)
-
-
 class _Wide(Exception):
     """A text whose words between single spaces are not units one by one."""
 
@@ -150,12 +128,6 @@ class Cache(dict):
             self.clear()
             self.older, self.words = self.words, self.generation()
 
-    def put(self, unit: str, ids: bytes) -> None:
-        if len(unit) > 1 and unit[0] == " " and unit[1] not in _BLANKS:
-            self.words[unit[1:]] = ids
-        else:
-            self[unit] = ids
-
     def __missing__(self, unit: str) -> bytes:
         self.make_room()
         ids = self[unit] = self.one(unit)
@@ -184,12 +156,12 @@ def _byte_table() -> dict[str, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def pieces(path: str) -> list[bytes]:
-    """The bytes of each id: byte-level names mapped back, special tokens as they are written."""
+def piece_table(path: str) -> pa.Array:
+    """The bytes of each id, as a table whose row number is the id: byte-level names mapped back, special tokens as written."""
     t, byte_of = load(path), _byte_table()
     added = {i: x.content for i, x in t.get_added_tokens_decoder().items()}
     size = max([*t.get_vocab().values(), *added]) + 1
     out = [b""] * size
     for name, i in t.get_vocab().items():
         out[i] = added[i].encode() if i in added else bytes(byte_of[c] for c in name)
-    return out
+    return pa.array(out, pa.binary())
