@@ -43,7 +43,7 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
-def test_against_all_pairs(spark):
+def test_against_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
@@ -57,6 +57,9 @@ def test_against_all_pairs(spark):
             rows.append((3 * i + 6 + c, " ".join(copy)))
     rows += [(1000, ""), (1001, None), (900, "  "), (None, rows[0][1]), (2000, "long " * 40_000), (2001, "long " * 40_000), (2000, "long " * 40_000)]
     assert run(spark, rows) == brute(rows)
+    for size in (2, 16):
+        monkeypatch.setattr(simhash.link_forest, "__defaults__", (4, 4, size, 64))
+        assert run(spark, rows) == brute(rows)
 
 
 def test_links_at_every_distance(spark):
@@ -70,8 +73,8 @@ def test_links_at_every_distance(spark):
         fps.append(x)
     fps += [int(x) for x in rng.integers(0, 2**63, 200)]
     df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
-    for shard_rows in (4096, 8):
-        links = connected_components(simhash.link_forest(df, 4, shard_rows)).collect()
+    for shard_rows, leaf_rows in ((4096, 2048), (4096, 8), (2, 64), (2, 8)):
+        links = connected_components(simhash.link_forest(df, 4, shard_rows, leaf_rows)).collect()
         root = {r.node: r.component for r in links}
         for i, x in enumerate(fps):
             for y in fps[:i]:
@@ -80,6 +83,43 @@ def test_links_at_every_distance(spark):
                     assert root[s(x)] == root[s(y)]
 
 
+def signed(v):
+    return v - 2**64 if v >= 2**63 else v
+
+
+@pytest.mark.parametrize("runs", [5, 6, 8, 9])
+def test_masks_leave_one_differing_bit(runs):
+    found, rng = simhash.masks(runs), np.random.default_rng(3)
+    for _ in range(3000):
+        spread = int(rng.integers(1, 65))
+        bits = sum(1 << int(b) for b in rng.choice(spread, min(4, spread), replace=False))
+        assert min((bits & m).bit_count() for m in found) <= simhash.SLACK
+    assert simhash.runs_for(1000) == 5 and simhash.runs_for(10**9) == 6 and 8 <= simhash.runs_for(5 * 10**10) <= 9
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_trees_prune_and_overlap(clustered):
+    """Every pair within the slack meets in a leaf, most other leaves are pruned, and the overlap is what finds some pairs."""
+    rng = np.random.default_rng(4)
+    mask = simhash.masks(5)[0]
+    fps = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    if clustered:
+        fps[2000:] = fps[0] ^ (np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64))
+    near = fps ^ np.array([1 << b for b in rng.choice([b for b in range(64) if mask >> b & 1], len(fps)).tolist()], np.uint64)
+    tree = simhash.Tree.fit(fps[:1500], mask, 9)  # the lower levels have keyed points
+    row, leaf, side = tree.route(np.concatenate([fps, near]))
+    home = dict(zip(row[side == 0].tolist(), leaf[side == 0].tolist(), strict=True))
+    assert len(home) == 2 * len(fps)
+    asks = set(zip(row[side == 1].tolist(), leaf[side == 1].tolist(), strict=True))
+    n, crossed = len(fps), 0
+    for i in range(n):
+        together = home[i] == home[i + n]
+        crossed += not together
+        assert together or (i, home[i + n]) in asks or (i + n, home[i]) in asks
+    assert crossed > n // 10
+    assert len(row) / (2 * n) < 2**9 / 20
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -3,18 +3,19 @@
 Fingerprints. A text is lower-cased (A-Z), cut into words, and every ``shingle`` consecutive words, repeats included, are
 hashed (XXH64, seed 42). A bit of the fingerprint is 1 if it is set in over half of the hashes.
 
-Links. Distances of unrelated fingerprints from any vantage point lie close to 32 (+-4), so over all 64 bits the triangle
-bound with a radius of 4 cuts hardly anything: a tree's query visits most of its branches. Every tree here therefore
-measures Hamming distance over a mask of the bits. The 64 bits are cut into ``blocks`` runs; two fingerprints with at most
-``radius`` differing bits leave at least ``blocks - radius`` runs untouched, so for at least one choice of that many runs
-their distance over this mask is 0. There is a tree for each choice, and in it every vantage point v gives the bound
+Links. Distances of unrelated fingerprints from any vantage point lie close to 32 (+-4), so in one tree over all 64 bits the
+triangle bound with a radius of 4 cuts hardly anything. The bits are therefore cut into runs, and there is a tree for each of
+several choices of runs (:func:`masks`), made so that every pair with at most ``radius`` differing bits has at most
+``SLACK`` of them under the mask of one choice. Each tree is a vantage-point tree of the Hamming distance d under its mask:
 
-    |d(x, v) - d(y, v)| <= d(x, y) <= slack,  slack = 0 under the mask that the pair leaves untouched,
+* A node has a vantage point v and a radius m, the median distance; rows with d(x, v) <= m are stored in its inner branch, others
+  in its outer one, down to leaves, the shards. Points and medians come from a bounded sample, below it from keyed points.
+* Where d_mask(x, y) <= SLACK, the triangle inequality gives |d(x, v) - d(y, v)| <= SLACK. So a row also queries a branch
+  that it isn't stored in if it lies within SLACK of the boundary, and every other branch is pruned.
 
-so the shells (equal distance) about its vantage points, one below the other, are the branches; shell boundaries are
-crossed by ``slack`` on either side, which is none. A shard is one path of shells; all pairs of a shard are compared
-exactly. The number of blocks follows the number of fingerprints (:func:`blocks_for`), so shards stay small as the corpus
-grows.
+The two of a pair are stored together until a boundary parts them; there the outer one lies within SLACK of it, queries the
+inner branch, and follows the inner one down to its shard. So each pair meets in a shard of one tree at least. In a shard all
+stored rows are compared exactly, over all 64 bits, with each other and with the shard's queries.
 
 Skew. Equal fingerprints are one row from the start. A shard with more than ``shard_rows`` rows is cut into that many
 chunks and each pair of chunks is compared in a task of its own. A comparison returns a spanning forest of its links, never
@@ -23,19 +24,24 @@ all pairs, which is all that components need; no link is lost.
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from dataclasses import dataclass
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zenithal.llm.components import connected_components
+from zenithal.llm.skew import join_counted
 from zenithal.session import materialize, ship
 
 SHARD_ROWS = 4096
-VANTAGE_POINTS = 8
+#: Rows that a tree stores in a shard, about; differing bits of a pair under the mask of its tree, at most; rows that trees
+#: are fitted on, at most; sample rows that a node needs for a vantage point of its own.
+LEAF_ROWS, SLACK, SAMPLE, FIT_ROWS = 2048, 1, 1 << 14, 32
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -66,43 +72,88 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
-
-
-def blocks_for(n: int, radius: int) -> int:
-    """The least number of blocks, at least ``radius + 1``, at which shards of ``n`` even fingerprints hold about 2000."""
-    blocks = radius + 1
-    while n / 2 ** (64 * (blocks - radius) / blocks) > 2000 and blocks < radius + 6:
-        blocks += 1
-    return blocks
-
-
-def masks(blocks: int, radius: int) -> list[int]:
-    """For each choice of blocks - radius runs of bits, the mask of these runs."""
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    runs = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(c) for c in combinations(runs, blocks - radius)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def vantage_points(mask: int, n: int = VANTAGE_POINTS) -> list[int]:
-    """Keyed points under ``mask``: the first is near one corner, every next one halves the bits of those before it anew."""
-    return [_signed(xxhash.xxh64_intdigest(f"{mask}:{i}".encode(), 7) & mask) for i in range(n)]
-
-
-def shells(fp: Column, mask: int, slack: int = 0) -> Column:
-    """The path of a fingerprint in the tree of ``mask``: its distances from the vantage points, 7 bits each in a long.
-
-    Paths are used as they are, which is the branch of every vantage point for a slack of 0."""
-    if slack:
-        raise ValueError("trees are built so that the pair sought has distance 0 under the mask")
-    path = F.lit(0).cast("long")
-    for v in vantage_points(mask):
-        path = F.shiftleft(path, 7).bitwiseOR(F.bit_count(fp.bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(_signed(mask)))).cast("long"))
-    return path
+    return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"key {kind}, fp long")
+
+
+def runs_for(n: int, radius: int = 4) -> int:
+    """The least number of runs at which masks have two bits more than n fingerprints need to be told apart."""
+    b = radius + 1
+    while b < 60 and 64 * (b - radius + SLACK) / b < math.log2(max(n, 1)) + 2:
+        b += 1
+    return b
+
+
+def masks(runs: int, radius: int = 4) -> list[int]:
+    """Masks that leave out ``radius - SLACK`` runs each: wherever up to ``radius`` bits lie, one mask has at most SLACK of them."""
+    cuts = [round(64 * i / runs) for i in range(runs + 1)]
+    bits = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+    out = max(radius - SLACK, 0)
+    open_cases = {tuple(c.count(i) for i in range(runs)) for c in combinations_with_replacement(range(runs), radius)}
+    choices, found = list(combinations(range(runs), out)), []
+    while open_cases:  # a greedy cover
+        fits = lambda c: [x for x in open_cases if radius - sum(x[i] for i in c) <= SLACK]  # noqa: E731, B023
+        best = max(choices, key=lambda c: len(fits(c)))
+        open_cases -= set(fits(best))
+        found.append(sum(bits[i] for i in range(runs) if i not in best))
+    return found
+
+
+def _keyed(node: np.ndarray, seed: int) -> np.ndarray:
+    """Pseudo-random 64-bit numbers of node numbers (the mixing steps of splitmix64)."""
+    z = (node.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+@dataclass(frozen=True)
+class Tree:
+    """A vantage-point tree of ``depth`` levels. The children of node i are 2 i (inner) and 2 i + 1 (outer), the root is 1; a
+    radius of -1 stands for a node below the sample, whose vantage point is keyed and whose radius is half the mask's bits."""
+
+    mask: int
+    depth: int
+    points: np.ndarray
+    radii: np.ndarray
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, mask: int, depth: int) -> Tree:
+        levels = min(depth, max(0, int(math.log2(max(len(sample), 1) / FIT_ROWS)) + 1)) if len(sample) >= FIT_ROWS else 0
+        points, radii = np.zeros(1 << levels, np.uint64), np.full(1 << levels, -1, np.int64)
+        held = {1: sample & np.uint64(mask)}
+        for node in range(1, 1 << levels):
+            own = held.pop(node, sample[:0])
+            if len(own) < FIT_ROWS:
+                continue
+            # Of some candidates the one whose distances are spread most: fewest rows lie at its boundary.
+            tried = own[_keyed(np.arange(8), node) % np.uint64(len(own))]
+            d = np.bitwise_count(own[None] ^ tried[:, None]).astype(np.int64)
+            best = int(d.var(axis=1).argmax())
+            points[node], radii[node] = tried[best], int(np.median(d[best]))
+            inner = d[best] <= radii[node]
+            held[2 * node], held[2 * node + 1] = own[inner], own[~inner]
+        return cls(mask, depth, points, radii)
+
+    def distances(self, fps: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distance of each row from its node's vantage point, and the node's radius."""
+        known = np.minimum(node, len(self.points) - 1)
+        fitted = (node < len(self.points)) & (self.radii[known] >= 0)
+        point = np.where(fitted, self.points[known], _keyed(node, self.mask & 0xFFFFFFFF))
+        d = np.bitwise_count((fps ^ point) & np.uint64(self.mask)).astype(np.int64)
+        return d, np.where(fitted, self.radii[known], self.mask.bit_count() // 2)
+
+    def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, side) for every shard that a row is stored in (side 0, one) or queries (side 1)."""
+        row, node, side = np.arange(len(fps)), np.ones(len(fps), np.int64), np.zeros(len(fps), np.int64)
+        for _ in range(self.depth):
+            d, radius = self.distances(fps[row], node)
+            inner = d <= radius
+            # A stored row only queries inwards: the inner one of a pair is met by the outer one.
+            across = np.where(inner, (side == 1) & (d > radius - SLACK), d <= radius + SLACK)
+            row, node, side = (
+                np.concatenate([row, row[across]]), np.concatenate([2 * node + ~inner, 2 * node[across] + inner[across]]), np.concatenate([side, np.ones(int(across.sum()), np.int64)]),
+            )
+        return row, node, side
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -122,13 +173,12 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = up
 
 
-def _links(fps: np.ndarray, radius: int, half: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fps (sorted), as a spanning forest; with ``half``, only pairs across that position are compared."""
-    x, found_i, found_j = fps.view(np.uint64), [], []
-    for at in range(0, half or len(x), 512):
-        rows = x[at : min(at + 512, half or len(x))]
-        first = half or at
-        i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ x[None, first:]) <= radius)
+def _links(fps: np.ndarray, radius: int, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the first ``left`` of fps and those from ``right`` on, each pair once, as a spanning forest."""
+    x, found_i, found_j = fps.view(np.uint64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, left, 512):
+        first = max(right, at)
+        i, j = np.nonzero(np.bitwise_count(x[at : min(at + 512, left), None] ^ x[None, first:]) <= radius)
         i, j = i + at, j + first
         keep = i < j
         found_i.append(i[keep])
@@ -139,7 +189,10 @@ def _links(fps: np.ndarray, radius: int, half: int = 0) -> tuple[np.ndarray, np.
 
 
 def _compare(rows: DataFrame, radius: int, n: int) -> DataFrame:
-    """Spanning forests of the links within each (tree, path, cell); rows come as (tree, path, cell, side, fp)."""
+    """Spanning forests of the links within each (tree, leaf, cell); rows come as (tree, leaf, cell, side, fp).
+
+    Cell 0 is a whole shard: stored rows (side 0) meet each other and its queries. Others are pairs of chunks, of which side
+    0 meets side 1, or all rows each other if there is no side 1."""
 
     def run(batches):
         # Rows of a cell stand together; a cell that goes over the end of a batch is carried on.
@@ -158,37 +211,45 @@ def _compare(rows: DataFrame, radius: int, n: int) -> DataFrame:
         out_a, out_b = [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b - a > 1:
-                half = int((t[3, a:b] == 0).sum())
-                u, v = _links(t[4, a:b], radius, half if half < b - a else 0)
+                first = int((t[3, a:b] == 0).sum())
+                u, v = _links(t[4, a:b], radius, first, first if t[2, a] and first < b - a else 0)
                 out_a.append(u)
                 out_b.append(v)
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    dealt = rows.repartition(n, "tree", "path", "cell").sortWithinPartitions("tree", "path", "cell", "side", "fp")
-    return dealt.select("tree", "path", "cell", "side", "fp").mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(n, "tree", "leaf", "cell").sortWithinPartitions("tree", "leaf", "cell", "side", "fp")
+    return dealt.select("tree", "leaf", "cell", "side", "fp").mapInArrow(run, "a long, b long")
 
 
-def link_forest(fps: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def link_forest(fps: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE) -> DataFrame:
     """Links (a, b) between the distinct values of ``fp`` at ``radius`` or fewer differing bits, as spanning forests of the
-    shards: components over them are those over all links. Null fingerprints link with nothing."""
+    shards: components over them are those over all links. Null fingerprints link with nothing. An empty table gives an empty result."""
     spark = fps.sparkSession
     ship(spark)
-    distinct = fps.where("fp is not null").select("fp").distinct()
-    distinct = materialize(distinct, "simhash-fps")
+    distinct = materialize(fps.where("fp is not null").select("fp").distinct(), "simhash-fps")
     total = distinct.count()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    trees = masks(blocks_for(total, radius), radius)
-    paths = F.array(*[F.struct(F.lit(k).alias("tree"), shells(F.col("fp"), m).alias("path")) for k, m in enumerate(trees)])
-    rows = distinct.select("fp", F.inline(paths))
-    sizes = rows.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = materialize(sizes.withColumn("chunks", F.ceil(F.col("n") / shard_rows).cast("int")), "simhash-shards")
-    rows = rows.join(sizes.drop("n"), ["tree", "path"])
-    small = rows.where("chunks = 1").select("tree", "path", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"), "fp")
+    some = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow().column(0).to_numpy().view(np.uint64) if total else np.zeros(0, np.uint64)
+    depth = max(0, math.ceil(math.log2(max(total, 1) / leaf_rows)))
+    trees = spark.sparkContext.broadcast([Tree.fit(some, m, depth) for m in masks(runs_for(total, radius), radius)])
+
+    def route(batches):
+        for b in batches:
+            own = b.column(0).to_numpy().view(np.uint64)
+            for k, tree in enumerate(trees.value):
+                row, leaf, side = tree.route(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(leaf), pa.array(side.astype(np.int32)), pa.array(own[row].view(np.int64))], ["tree", "leaf", "side", "fp"])
+
+    rows = distinct.mapInArrow(route, "tree int, leaf long, side int, fp long")
+    sizes = rows.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(sizes.withColumn("chunks", F.ceil(F.col("n") / (4 * shard_rows)).cast("int")), "simhash-shards")
+    rows = rows.join(sizes.drop("n"), ["tree", "leaf"])
+    small = rows.where("chunks = 1").select("tree", "leaf", F.lit(0).cast("long").alias("cell"), "side", "fp")
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     large = rows.where("chunks > 1").withColumn("c", chunk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cell = F.least("c", "o").cast("long") * F.lit(1 << 31) + F.greatest("c", "o") + 1
-    large = large.select("tree", "path", cell.alias("cell"), (F.col("c") > F.col("o")).cast("int").alias("side"), "fp")
+    large = large.select("tree", "leaf", cell.alias("cell"), (F.col("c") > F.col("o")).cast("int").alias("side"), "fp")
     return _compare(small.unionByName(large), radius, n)
 
 
@@ -197,16 +258,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Texts that are null or have no words have fingerprint 0 and link like any other. Rows with a null key get the component
     of their text's links, but never name one (null if they only link with each other). Repeated keys give repeated rows.
-    An empty table gives an empty result.
+    Other columns are not read, whatever their names. An empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs, key, text, shingle), "simhash-docs")
-    least = rows.groupBy("fp").agg(F.min("key").alias("least"))
+    least = rows.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"))
     root = connected_components(link_forest(rows, radius))
     # One row per distinct fingerprint: the root of its component, and the smallest key there.
-    classes = materialize(least.join(root, least["fp"] == root["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "least"), "simhash-classes")
-    names = classes.groupBy("root").agg(F.min("least").alias("component"))
-    named = classes.join(names, "root").select("fp", "component")
-    return rows.join(named, "fp").select("key", "fp", "component")
+    classes = materialize(least.join(root, least["fp"] == root["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "least", "copies"), "simhash-classes")
+    names = classes.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members"))
+    named = materialize(join_counted(classes, names, "root", "members").select("fp", "component", "copies"), "simhash-named")
+    return join_counted(rows, named, "fp", "copies").select("key", "fp", "component")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
