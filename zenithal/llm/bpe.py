@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import re
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 from zenithal.llm import tokens
 from zenithal.session import materialize, ship
 
-#: Words that are broadcast at most, and words that a task turns into Python strings at once.
-TABLE_WORDS, SLICE = 1 << 20, 1 << 17
+#: Words that are broadcast at most, and ids that a task joins with their pieces at once.
+TABLE_WORDS, SLICE = 1 << 20, 1 << 20
 
 
 def units(text: Column, tokenizer: str) -> Column:
@@ -68,30 +67,31 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text", table_words:
     return materialize(counts.where(step >= least).select("word", "n").mapInArrow(encode, "word string, n long, ids binary"), "bpe-words")
 
 
-#: The broadcast table of this process as a dictionary, made once.
-_TABLE: dict = {}
-
-
-def _lookup(shared) -> dict[str, bytes]:
-    if shared.id not in _TABLE:
-        _TABLE.clear()
-        with pa.ipc.open_stream(shared.value) as stream:
-            made: dict[str, bytes] = {}
-            for b in stream:
-                made.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        _TABLE[shared.id] = made
-    return _TABLE[shared.id]
+class _Words:
+    """The broadcast table as Arrow arrays, which every process reads where they are."""
 
+    def __init__(self, broadcast):
+        self.broadcast = broadcast
 
-class _Shared:
-    """A broadcast and a name for it that is the same in every process."""
+    def arrays(self) -> tuple[pa.Array, pa.Array]:
+        t = pa.ipc.open_stream(self.broadcast.value).read_all()
+        return t.column("word").combine_chunks(), t.column("ids").combine_chunks()
 
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, uuid.uuid4().hex
 
-    @property
-    def value(self) -> bytes:
-        return self.broadcast.value
+def join_ids(words: pa.Array, known: pa.Array, ids: pa.Array, one: Callable[[str], bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, ids) of all ``words``: those in ``known`` by a hash join, each other one encoded once for this batch."""
+    at = pc.index_in(words, value_set=known)
+    missing = np.nonzero(at.is_null().to_numpy(zero_copy_only=False))[0]
+    if len(missing):
+        new = words.take(pa.array(missing)).dictionary_encode()
+        ids = pa.concat_arrays([ids, pa.array(list(map(one, new.dictionary.to_pylist())), pa.binary())])
+        place = at.fill_null(0).to_numpy().astype(np.int32)
+        place[missing] = new.indices.to_numpy() + len(known)
+        at = pa.array(place)
+    own = ids.take(at)
+    ends = own.offsets.to_numpy() if hasattr(own, "offsets") else np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1]
+    data = np.frombuffer(own.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(own) else np.zeros(0, np.uint8)
+    return (ends - ends[0]).astype(np.int64) // 4 if len(own) else np.zeros(1, np.int64), data.view("<i4")
 
 
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", table_words: int = TABLE_WORDS, encoder: Callable = tokens.encoder) -> DataFrame:
@@ -108,22 +108,15 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table, max_chunksize=1 << 16)
-    shared = _Shared(spark.sparkContext.broadcast(sink.getvalue().to_pybytes()))
+    shared = _Words(spark.sparkContext.broadcast(sink.getvalue().to_pybytes()))
 
     def place(batches):
-        known, one = _lookup(shared), functools.lru_cache(1 << 16)(encoder(tokenizer))
+        (known, ids), one = shared.arrays(), encoder(tokenizer)
         for b in batches:
-            ends = b.column(1).offsets.to_numpy()
-            at = 0
-            while at < b.num_rows:
-                # As many rows as hold SLICE words, one at least.
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
-                words = b.column(1).values.slice(ends[at], ends[to] - ends[at]).to_pylist()
-                ids = [one(w) if x is None else x for w, x in zip(words, map(known.get, words), strict=True)]
-                sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
-                own = sizes[ends[at : to + 1] - ends[at]].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.ListArray.from_arrays(pa.array(own), pa.array(np.frombuffer(b"".join(ids), "<i4")))], ["key", "ids"])
-                at = to
+            rows_at = b.column(1).offsets.to_numpy()
+            ends, found = join_ids(b.column(1).values.slice(rows_at[0], rows_at[-1] - rows_at[0]), known, ids, one)
+            own = ends[rows_at - rows_at[0]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(own), pa.array(found))], ["key", "ids"])
 
     return rows.select("key", units(F.col("text"), tokenizer).alias("units")).mapInArrow(place, f"key {kind}, ids array<int>")
 
