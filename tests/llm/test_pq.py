@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from zenithal.llm import pq
 
@@ -38,14 +39,18 @@ def vectors(n, dims, seed):
     return [(i, [float(x) for x in v.astype(np.float32)]) for i, v in enumerate(np.concatenate([base, near]))]
 
 
-def test_against_all_pairs(spark):
+@pytest.mark.parametrize("least_rows", [2048, 50])
+def test_against_all_pairs(spark, least_rows):
+    """As one block, and with an index."""
     rows = vectors(300, 16, 1)
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, least_rows=least_rows) == brute(rows)
 
 
-def test_hot_lists_are_cut_into_cells(spark):
+@pytest.mark.parametrize("least_rows", [2048, 50])
+def test_hot_blocks_are_cut_into_cells(spark, monkeypatch, least_rows):
+    monkeypatch.setattr(pq, "BLOCK_ROWS", 40)
     rows = vectors(200, 8, 2)
-    assert run(spark, rows, cell_rows=16) == brute(rows)
+    assert run(spark, rows, cell_values=8 * 16, least_rows=least_rows) == brute(rows)
 
 
 def test_odd_vectors(spark):
@@ -61,23 +66,55 @@ def test_empty_table(spark):
     assert pq.similar(df).count() == 0
 
 
-def test_recall_at_the_threshold():
-    """Pairs whose cosine is the threshold itself, in random directions: probes reach nine in ten at the least."""
+def near(cosine, a, way):
+    """Unit vectors at this cosine from ``a``, each in its direction ``way``."""
+    a = a / np.linalg.norm(a, axis=1, keepdims=True)
+    way = way - (way * a).sum(1, keepdims=True) * a
+    return a, cosine[:, None] * a + np.sqrt(1 - cosine[:, None] ** 2) * way / np.linalg.norm(way, axis=1, keepdims=True)
+
+
+def found(spark, x, **kw):
+    """Links of each row and the root of each row, through Spark."""
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(4)
+    got = pq.similar(df, **kw).toPandas().set_index("key").sort_index()
+    return got.n_links.to_numpy(), got.component.to_numpy()
+
+
+@pytest.mark.parametrize("dims,rank", [(64, 64), (64, 8), (64, 4), (384, 16)])
+def test_recall_near_the_threshold(spark, dims, rank):
+    """Pairs at cosine 0.9001 to 0.92, in directions of the data's own rank, through Spark with the lists that n asks for."""
     rng = np.random.default_rng(3)
-    a = rng.normal(size=(4000, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    g = rng.normal(size=a.shape)
-    g -= (g * a).sum(1, keepdims=True) * a
-    b = 0.9 * a + np.sqrt(1 - 0.81) * g / np.linalg.norm(g, axis=1, keepdims=True)
-    index = pq.Index(a[:2000], 126)
-    home_a, home_b, k = pq.nearest(a, index.centres), pq.nearest(b, index.centres), np.arange(len(a))
-    reach = 2.0 / 8 * np.sqrt(0.2)
-    met = (index.margins(a, home_a)[k, home_b] <= reach) | (index.margins(b, home_b)[k, home_a] <= reach)
-    assert met.mean() >= 0.97
+    n = 2500
+    base = rng.normal(size=(rank, dims)) if rank < dims else np.eye(dims)
+    a, b = near(rng.uniform(0.9001, 0.92, n), rng.normal(size=(n, rank)) @ base, rng.normal(size=(n, rank)) @ base)
+    x = np.concatenate([a, b]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(unit[i : i + 500] @ unit.T >= 0.9).sum(1) - 1 for i in range(0, 2 * n, 500)])
+    links, _ = found(spark, x)
+    assert (links <= want).all() and links.sum() >= 0.99 * want.sum()
+
+
+def test_vectors_of_other_lengths_change_nothing(spark):
+    rng = np.random.default_rng(5)
+    a, b = near(np.full(1500, 0.92), rng.normal(size=(1500, 64)), rng.normal(size=(1500, 64)))
+    rows = [[float(v) for v in r] for r in np.concatenate([a, b])]
+    more = [[1.0] * 2048, [0.5] * 2048, [2.0], [3.0], [1.0] * 100_000, []]
+    kind = "vec_id long, embedding array<float>"
+    alone = {r.key: (r.n_links, r.component) for r in pq.similar(spark.createDataFrame(list(enumerate(rows)), kind)).collect()}
+    mixed = {r.key: (r.n_links, r.component) for r in pq.similar(spark.createDataFrame(list(enumerate(rows + more)), kind)).collect()}
+    assert {k: mixed[k] for k in alone} == alone and sum(n for n, _ in alone.values()) >= 0.99 * 3000
+    assert [mixed[3000 + i] for i in range(6)] == [(1, 3000), (1, 3000), (1, 3002), (1, 3002), (0, 3004), (0, 3005)]
+
+
+def test_a_common_vector_and_clashing_names(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(500)] + [(1000, [1.0, 2.01]), (1001, [-1.0, 0.5])]
+    df = spark.createDataFrame([(k, v, [1], 2, 3) for k, v in rows], "`the.key` long, `v` array<float>, key array<int>, copies int, cid int").repartition(5)
+    got = {r.key: (r.n_links, r.component) for r in pq.similar(df, "the.key", "v").collect()}
+    assert all(got[i] == (500, 0) for i in [*range(500), 1000]) and got[1001] == (0, 1001)
 
 
 def test_no_pair_of_low_rank_vectors_is_missed(spark):
-    """Vectors of four effective dimensions in 64: list borders run across the directions that pairs differ in."""
+    """Vectors of four effective dimensions in 64, few enough to be compared as one block."""
     rng = np.random.default_rng(4)
     base = rng.normal(size=(4, 64))
     rows = [(i, [float(x) for x in v.astype(np.float32)]) for i, v in enumerate(rng.normal(size=(700, 4)) @ base + 1e-3 * rng.normal(size=(700, 64)))]
