@@ -37,7 +37,7 @@ from zenithal.session import materialize, ship
 #: twice the square root of the number of vectors.
 SAMPLE, SHARE_OF_LISTS = 1 << 16, 8
 #: Vectors at home in a block, about; components in a cell, about.
-BLOCK_ROWS, CELL_VALUES = 4096, 1 << 21
+BLOCK_ROWS, CELL_VALUES = 4096, 1 << 22
 #: Lengths that fewer vectors have are one block without an index.
 LEAST_ROWS = 2048
 
