@@ -42,6 +42,17 @@ def test_stage_against_all_pairs(spark, monkeypatch, sample):
     assert got == set(brute(texts))
 
 
+def test_large_groups_near_and_below_the_threshold(spark):
+    """Hundreds of texts that are mostly one passage, most pairs of them just below 0.8, and copies of some."""
+    rng = np.random.default_rng(9)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"w{j}" for j in rng.integers(0, 10**6, rng.integers(6, 11))]) for _ in range(250)]
+    texts += [t + " end" for t in texts[:40]] + texts[:40]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == set(brute(texts))
+
+
 def test_one_row_of_each_group_stays_without_and_with_equal_ids(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
     rows = [(None, a), (None, b), (None, b + " more"), (5, c), (None, c), (5, d), (6, d), (7, d + " more"), (8, ""), (None, None)]

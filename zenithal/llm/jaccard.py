@@ -1,11 +1,11 @@
-"""Near-duplicate texts by the Jaccard similarity of their word shingles, exact: no pair at the threshold is missed.
+"""Shingle sets of texts and their exact Jaccard similarity: what confirms near-duplicates, and finds those beyond a radius.
 
 Two sets with a similarity of at least 4/5 share at least ceil(4 n / 5) of the n shingles of either, so in any one order of
-all shingles their first n - ceil(4 n / 5) + 1 have one in common. These prefixes are the candidates' index. The order puts
-shingles that are frequent in a sample last, which keeps the index's groups small and changes no result.
+all shingles their first n - ceil(4 n / 5) + 1 have one in common. These prefixes are an index of candidates that misses no
+pair. The order puts shingles that are frequent in a sample last, which keeps the index's groups small and changes no result.
 
-Components need no pair within one component: each group of the index is first compared with its least member, and only pairs
-of different components are compared after that. Every link is decided by the whole sets.
+Candidates are counted by the shingles that their prefixes share, which rules most of them out; what is left is decided by
+the whole sets, made anew from the whole texts of candidates only. No set of all texts is ever stored.
 """
 
 from __future__ import annotations
@@ -13,106 +13,103 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zenithal.llm.components import connected_components
-from zenithal.session import materialize, ship
+from zenithal.llm.skew import join_counted
+from zenithal.session import materialize
 
 #: Texts that frequent shingles are counted in, and how many of these are put last; neither changes a result.
 SAMPLE, FREQUENT = 20_000, 200_000
 BATCH = 1000
 
 
-def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted hashes of the distinct runs of ``width`` words (of all words, where there are fewer); words as in SimHash."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every run of ``width`` words in order, repeats included (of all words, where there are fewer); A-Z are
+    lower-cased, words are parted by ASCII blanks. Empty without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII blanks part words
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     n = max(1, len(words) - width + 1)
     starts, stops = [0, *ends[: n - 1].tolist()], (ends[len(words) - n :] - 1).tolist()
     h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(line[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64).view(np.int64))
+    return np.array([h(line[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The set of a text: its distinct hashes, sorted as signed numbers."""
+    return np.unique(hashes(text, width).view(np.int64))
+
+
+def lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def _sets(texts: DataFrame, width: int) -> DataFrame:
+def frequent(docs: DataFrame, text: Column, width: int) -> np.ndarray:
+    """The most frequent shingles of a sample of texts, the most frequent last."""
+    every = max(1, docs.count() // SAMPLE)
+
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
-                b = whole.slice(at, BATCH)
-                sets = [shingles(t, width) for t in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["id", "digest", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([lists([shingles(t, width) for t in whole.column(0).slice(at, BATCH).to_pylist()])], ["h"])
 
-    return texts.select("id", "digest", "text").mapInArrow(run, "id long, digest string, n long, hashes array<long>")
+    some = docs.select(text.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
+    counts = some.mapInArrow(run, "h array<long>").select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.where("n >= 5").orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
+    return often.column(0).to_numpy()[::-1].copy() if often.num_rows else np.zeros(0, np.int64)
 
 
-def _prefixes(sets: DataFrame, last: np.ndarray) -> DataFrame:
-    """(id, n, prefix): the first shingles in the order of hashes, those of ``last`` after all others in its order."""
-    at = np.argsort(last)
-    shared = sets.sparkSession.sparkContext.broadcast((last[at], at))
+class Order:
+    """An order of shingles: those of ``last`` after all others, in its order; others by their hash."""
 
-    def run(batches):
-        place, rank = shared.value
-        for b in batches:
-            out = []
-            for row in b.column(2):
-                h = row.values.to_numpy()
-                k = np.searchsorted(place, h)
-                hot = np.zeros(len(h), bool) if not len(place) else place[np.minimum(k, len(place) - 1)] == h
-                ordered = np.concatenate([h[~hot], h[hot][np.argsort(rank[k[hot]])]])
-                out.append(ordered[: len(h) + 4 * len(h) // -5 + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(out)], ["id", "n", "prefix"])
+    def __init__(self, last: np.ndarray):
+        self.rank = np.argsort(last)
+        self.place = last[self.rank]
+
+    def prefix(self, h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return h
+        k = np.searchsorted(self.place, h)
+        hot = np.zeros(len(h), bool) if not len(self.place) else self.place[np.minimum(k, len(self.place) - 1)] == h
+        ordered = np.concatenate([h[~hot], h[hot][np.argsort(self.rank[k[hot]])]])
+        return ordered[: len(h) + 4 * len(h) // -5 + 1]
 
-    return sets.where("n > 0").select("id", "n", "hashes").mapInArrow(run, "id long, n long, prefix array<long>")
 
+def alike(pairs: DataFrame) -> DataFrame:
+    """Pairs of sets whose sizes (na, nb) allow a similarity of 4/5."""
+    return pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)")
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb), one row for each shingle that their prefixes share, with a similarity of at least 4/5.
+
+def count_shared(pairs: DataFrame) -> DataFrame:
+    """(a, b, na, nb) of pairs that come once for each shingle that their prefixes share, if that leaves 4/5 possible.
 
     All that prefixes don't share is in the rest of the set whose prefix ends first, so few shared shingles rule a pair out."""
     rest = lambda n: F.ceil(F.col(n) * 4 / F.lit(5)) - 1
-    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    near = counted.where((F.col("c") + F.greatest(rest("na"), rest("nb"))) * 9 >= (F.col("na") + F.col("nb")) * 4)
-    near = near.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+    counted = alike(pairs).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    return counted.where((F.col("c") + F.greatest(rest("na"), rest("nb"))) * 9 >= (F.col("na") + F.col("nb")) * 4).drop("c")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, docs: DataFrame, digest: Column, text: Column, width: int) -> DataFrame:
+    """The pairs (a, b) of ids with a similarity of at least 4/5, decided by the whole sets.
+
+    ``texts``: (id, digest, copies) of all distinct texts; ``docs``: where their texts are, by ``digest`` and ``text``."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                b = whole.slice(at, BATCH)
+                yield pa.RecordBatch.from_arrays([b.column(0), lists([shingles(t, width) for t in b.column(1).to_pylist()])], ["id", "hashes"])
+
+    pairs = materialize(pairs.select("a", "b", "na", "nb").distinct(), "jaccard-pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = materialize(texts.join(ids, "id").select("id", "digest", "copies"), "jaccard-wanted")
+    own = join_counted(docs.select(digest.alias("digest"), text.alias("text")), wanted, "digest", "copies")
+    own = own.groupBy("id").agg(F.first("text").alias("text"))
+    sets = materialize(own.select("id", "text").mapInArrow(run, "id long, hashes array<long>"), "jaccard-sets")
+    near = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
-    return near.where(both * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b")
-
-
-def components(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
-    """(digest, root) for each distinct text of ``docs``: texts with one root are linked by similarities of at least 4/5.
-
-    ``digest`` is SHA-256 of the text; null counts as empty, and texts without words are alike. An empty table gives an empty result.
-    """
-    ship(docs.sparkSession)
-    body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.sha2(body, 256).alias("digest"), body.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    sets = materialize(_sets(texts.withColumn("id", F.monotonically_increasing_id()), width), "jaccard-sets")
-    every = max(1, sets.count() // SAMPLE)
-    counts = sets.where(F.pmod(F.xxhash64("digest"), F.lit(every)) == 0).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    often = [r.h for r in counts.where("n >= 5").orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").collect()]
-    rows = _prefixes(sets, np.array(often[::-1], np.int64)).select(F.explode("prefix").alias("h"), "id", "n")
-    group = W.partitionBy("h")
-    met = rows.withColumn("size", F.count(F.lit(1)).over(group)).withColumn("least", F.min(F.struct("id", "n")).over(group)).where("size > 1")
-    met = materialize(met.select("h", "id", "n", "least"), "jaccard-index")
-    alike = lambda d: d.where("5 * least(na, nb) >= 4 * greatest(na, nb)")
-    stars = alike(met.select(F.col("least.id").alias("a"), F.col("id").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb")).where("a <> b"))
-    blank = sets.where("n = 0").select("id")
-    blank = blank.crossJoin(F.broadcast(blank.agg(F.min("id").alias("a")))).select("a", F.col("id").alias("b"))
-    links = materialize(_confirm(stars, sets).unionByName(blank), "jaccard-stars")
-    root = connected_components(links).withColumnRenamed("node", "id")
-    named = met.join(root, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("root"))
-    mixed = named.withColumn("mixed", F.min("root").over(group) != F.max("root").over(group)).where("mixed").drop("mixed")
-    mixed = materialize(mixed, "jaccard-mixed")
-    left, right = (mixed.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    pairs = alike(left.join(right, "h").where("a < b and ra <> rb"))
-    links = links.unionByName(materialize(_confirm(pairs, sets), "jaccard-links"))
-    root = connected_components(links).withColumnRenamed("node", "id")
-    return materialize(sets.select("id", "digest").join(root, "id", "left").select("digest", F.coalesce("component", "id").alias("root")), "jaccard-roots")
+    return materialize(near.where(both * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b"), "jaccard-links")

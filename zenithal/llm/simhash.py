@@ -30,10 +30,11 @@ from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zenithal.llm import jaccard
 from zenithal.llm.components import connected_components
 from zenithal.llm.skew import join_counted
 from zenithal.session import materialize, ship
@@ -44,24 +45,20 @@ SHARD_ROWS = 4096
 LEAF_ROWS, SLACK, SAMPLE, FIT_ROWS = 2048, 1, 1 << 14, 32
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The unsigned fingerprint of one whole text; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII blanks part words
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    n = max(1, len(words) - shingle + 1)
-    starts = [0, *ends[: n - 1].tolist()]
-    stops = (ends[len(words) - n :] - 1).tolist()
-    h = xxhash.xxh64_intdigest
-    hashes = np.array([h(line[a:b], seed) for a, b in zip(starts, stops, strict=True)], ">u8")
-    ones = np.zeros(64, np.int64)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 without any."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
+    whole = hashes.astype(">u8")
     for at in range(0, n, 65536):
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(whole[at : at + 65536].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The unsigned fingerprint of one whole text; 0 without words."""
+    return fingerprint_of(jaccard.hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """(key, fp) with fp as a signed long, one row for each row of ``docs``; other columns are not read."""
     ship(docs.sparkSession)
@@ -270,6 +267,70 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return join_counted(rows, named, "fp", "copies").select("key", "fp", "component")
 
 
+def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius: int = 4) -> DataFrame:
+    """(digest, copies, root) for each distinct text of ``docs``: texts with one root are linked by pairs whose sets of
+    ``shingle`` words have a Jaccard similarity of at least 0.8.
+
+    Fingerprints at ``radius`` or fewer differing bits are candidates, found by the trees; so are texts that share a shingle
+    of the index of prefixes (see ``jaccard``), as a pair at 0.8 may differ in more bits than trees can look for. Every link is
+    decided by whole sets. Candidates of one group are first compared with its least and its greatest member, and only pairs of
+    different components are compared after that.
+
+    ``digest`` is SHA-256 of the text, ``copies`` the number of rows that have it; null counts as empty, and texts without
+    words are alike. Other columns are not read. An empty table gives an empty result.
+    """
+    ship(docs.sparkSession)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    digest = F.sha2(body, 256)
+    order = docs.sparkSession.sparkContext.broadcast(jaccard.Order(jaccard.frequent(docs, body, shingle)))
+
+    def sketch(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, jaccard.BATCH):
+                b = whole.slice(at, jaccard.BATCH)
+                every = [jaccard.hashes(t, shingle) for t in b.column(1).to_pylist()]
+                sets = [np.unique(h.view(np.int64)) for h in every]
+                fps = np.array([fingerprint_of(h) for h in every], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), jaccard.lists([order.value.prefix(s) for s in sets])], ["digest", "fp", "n", "prefix"])
+
+    rows = docs.select(digest.alias("digest"), body.alias("text")).mapInArrow(sketch, "digest string, fp long, n long, prefix array<long>")
+    once = rows.groupBy("digest").agg(F.first(F.struct("fp", "n", "prefix")).alias("s"), F.count(F.lit(1)).alias("copies"))
+    texts = materialize(once.select(F.monotonically_increasing_id().alias("id"), "digest", "copies", "s.*"), "simhash-texts")
+    confirm = lambda pairs: jaccard.confirm(pairs, texts, docs, digest, body, shingle)
+
+    # Candidates by fingerprints: equal ones with the least text that has it, others as the trees link them.
+    named = materialize(texts.where("n > 0").groupBy("fp").agg(F.min(F.struct("id", "n")).alias("m"), F.count(F.lit(1)).alias("members")), "simhash-least")
+    same = join_counted(texts.where("n > 0").select("fp", "id", "n"), named, "fp", "members")
+    same = same.select(F.col("m.id").alias("a"), F.col("id").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb")).where("a <> b")
+    forest_of = materialize(link_forest(named.select("fp"), radius), "simhash-links")
+    ends = [named.select(F.col("fp").alias(x), F.col("m.id").alias(f"i{x}"), F.col("m.n").alias(f"n{x}")) for x in "ab"]
+    close = forest_of.join(ends[0], "a").join(ends[1], "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "na", "nb")
+
+    # Candidates by the index of prefixes: with the least and the greatest member of each of its groups.
+    group = W.partitionBy("h")
+    met = texts.select(F.explode("prefix").alias("h"), "id", "n")
+    member = F.struct("id", "n")
+    met = met.withColumn("size", F.count(F.lit(1)).over(group)).withColumn("least", F.min(member).over(group)).withColumn("greatest", F.max(member).over(group))
+    met = materialize(met.where("size > 1").select("h", "id", "n", "least", "greatest"), "jaccard-index")
+    star = lambda end: met.select(F.col(f"{end}.id").alias("a"), F.col("id").alias("b"), F.col(f"{end}.n").alias("na"), F.col("n").alias("nb")).where("a <> b")
+    stars = jaccard.count_shared(star("least")).unionByName(jaccard.count_shared(star("greatest")))
+    turned = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    links = confirm(turned(jaccard.alike(same.unionByName(close)).unionByName(stars)))
+    blank = texts.where("n = 0").select("id")
+    none = blank.agg(F.min("id")).first()[0]
+    links = links if none is None else links.unionByName(blank.where(F.col("id") != none).select(F.lit(none).alias("a"), F.col("id").alias("b")))
+
+    # What is left: groups of the index with members of several components.
+    root = connected_components(links).withColumnRenamed("node", "id")
+    roots = met.join(root, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("root"))
+    mixed = roots.withColumn("mixed", F.min("root").over(group) != F.max("root").over(group)).where("mixed").drop("mixed")
+    mixed = materialize(mixed, "jaccard-mixed")
+    left, right = (mixed.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+    links = links.unionByName(confirm(jaccard.count_shared(left.join(right, "h").where("a < b and ra <> rb"))))
+    root = connected_components(links).withColumnRenamed("node", "id")
+    return materialize(texts.select("id", "digest", "copies").join(root, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("root")), "simhash-roots")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with its fingerprint and component."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
