@@ -7,29 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zenithal.llm import bpe, jaccard, mixing, pii, quality
+from zenithal.llm import bpe, mixing, pii, quality, simhash
+from zenithal.llm.skew import join_counted
 from zenithal.session import materialize
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """One column ``d`` with all of ``docs``, so that no name can clash with one of a stage's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier, fitted on this stage's own input, rejects."""
+    """Drop the documents that the quality classifier, fitted on this stage's own input, rejects.
+
+    Null and empty texts are scored like any other; rows that repeat are judged alike; rows without an id are judged but never
+    learnt from. An empty table, or one without labels, loses nothing. Columns stay as they are, whatever their names."""
     model = quality.fit_documents(spark, docs, sf_dir)
-    return quality.score(docs, model).where("score >= 0.3").select(*docs.columns)
+    rows = quality.score(_packed(docs).select("d", F.col("d.text").alias("text")), model).where("score >= 0.3")
+    return _unpacked(rows, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts whose five-word shingles are alike (Jaccard of at least 0.8) keep one document: that with the
-    smallest id, null after all others, and of texts that share this id the one with the smallest digest."""
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    found = docs.select("doc_id", digest.alias("_digest")).join(jaccard.components(docs).withColumnRenamed("digest", "_digest"), "_digest")
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_digest")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._digest").alias("_digest"))
-    ready = docs.withColumn("_digest", digest)
-    rows = ready.join(keep, (ready["_digest"] == keep["_digest"]) & ready["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    # A text has one id here; rows that repeat both are cut to the one of the least hash.
-    first = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest")
-    single = rows.join(first, "_digest", "left_anti").select(*docs.columns)
-    again = rows.join(first, "_digest", "left_semi").groupBy("_digest").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
-    return single.unionByName(again).select(*docs.columns)
+    smallest id, null after all others, and of texts that share this id the one with the smallest digest.
+
+    Candidates come from the trees of SimHash fingerprints and an exact index past their radius; whole sets decide. Null and
+    empty texts are alike. Of rows that are equal in id and text, that with the smallest hash of all its columns stays, once.
+    An empty table gives an empty result. Columns stay as they are, whatever their names."""
+    digest = F.sha2(F.coalesce(F.col("d.text"), F.lit("")), 256).alias("digest")
+    rows = _packed(docs).select("d", F.col("d.doc_id").alias("id"), digest, F.xxhash64(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("h"))
+    roots = simhash.similar_texts(docs)
+    found = join_counted(rows.select("id", "digest", "h"), roots, "digest", "copies")
+    found = found.groupBy("root", "id", "digest", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "h", "n")).alias("k")
+    keep = materialize(found.groupBy("root").agg(first).select(*[F.col(f"k.{c}").alias(f"k_{c}") for c in ("id", "digest", "h", "n")]), "pipeline-keep")
+    met = rows.join(keep, (F.col("digest") == F.col("k_digest")) & F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")))
+    again = met.where("k_n > 1").groupBy("k_digest").agg(F.first("d").alias("d")).select("d")
+    return _unpacked(met.where("k_n = 1").select("d").unionByName(again), docs)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
