@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from zenithal.llm import mixing
 
 
@@ -55,6 +57,20 @@ def test_hot_source_ties_and_odd_rows(spark):
     assert copies.count() == want
 
 
+def test_copies_of_equal_rows_and_odd_names(spark):
+    rows = [(1, "a b", "hot", i) for i in range(7)] + [(2, "c", "s", 9), (None, "d e f", None, 10), (None, None, "s", 11)] + [(100 + i, "w " * i, "t", 12) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").select("doc_id", "text", "source", "n", *[F.lit(1).alias(c) for c in ("d", "h", "key", "row_hash", "_n", "copy", "total", "an.other")]).repartition(3)
+    got = mixing.mix_documents(df)
+    assert got.columns == df.columns
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r.key, r.source, r.size] += r.copies
+    have = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in got.collect())
+    assert have == +want
+    each = Counter(r.n for r in got.where("doc_id = 1").collect())
+    assert max(each.values()) - min(each[i] for i in range(7)) <= 1
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0 and mixing.mix_documents(df).count() == 0

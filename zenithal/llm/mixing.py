@@ -134,13 +134,18 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged."""
-    taken = mix(docs).where("copies > 0").select(F.col("key").alias("_k"), F.col("source").alias("_s"), F.col("row_hash").alias("_h"), F.col("copies").alias("_n"))
-    own = row_hash(F.col("doc_id"), F.col("text"), SEED)
-    # Equal rows get equal shares: of r equal rows with n copies in all, the i-th has its own count.
-    i = F.row_number().over(W.partitionBy("_k", "_s", "_h").orderBy(F.desc("_n")))
-    j = F.row_number().over(W.partitionBy("doc_id", "source", "_own").orderBy("_own"))
-    taken, rows = taken.withColumn("_i", i), docs.withColumn("_own", own).withColumn("_j", j)
-    same = rows["doc_id"].eqNullSafe(taken["_k"]) & rows["source"].eqNullSafe(taken["_s"]) & (rows["_own"] == taken["_h"]) & (rows["_j"] == taken["_i"])
-    out = rows.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return out.select(*[F.col(c) for c in docs.columns])
+    """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged, whatever their names.
+
+    Rows that are equal in id, source and text take equal shares of their copies; where these don't divide evenly, some of
+    the equal rows take one more. Null and empty texts are as in :func:`mix`. An empty table gives an empty result."""
+    taken = mix(docs).groupBy("key", "source", "row_hash").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("equal")).where(F.col("total") > 0)
+    # One column with all of docs: no name can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    rows = rows.select("d", row_hash(F.col("d.doc_id"), F.col("d.text"), SEED).alias("h"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("key")) & F.col("d.source").eqNullSafe(F.col("source")) & (F.col("h") == F.col("row_hash"))
+    met = rows.join(taken, same)
+    even = met.where("total % equal = 0").withColumn("n", F.expr("cast(total / equal as int)"))
+    place = F.row_number().over(W.partitionBy("key", "source", "row_hash").orderBy("h"))
+    odd = met.where("total % equal <> 0").withColumn("n", (F.expr("cast(floor(total / equal) as int)") + (place <= F.col("total") % F.col("equal")).cast("int")))
+    out = even.unionByName(odd).where("n > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    return out.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])

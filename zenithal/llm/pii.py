@@ -1,22 +1,26 @@
 """Personal data replaced by surrogates, in DataFrame operations only.
 
-Detection. One pattern with a branch for each type finds e-mail addresses, phone numbers, payment cards, IP addresses,
-national ids, secrets (access keys, tokens, passwords) and persons (a title and a name). Card numbers must have a valid check
-digit. What is found is an entity: its type
-and its canonical value (case and separators aside), so spellings of one thing are one entity.
+Detection. One pattern with a branch for each type finds e-mail addresses, phone numbers, payment cards, IP addresses (4 and 6),
+national ids, account numbers (IBAN), secrets (access keys, tokens, passwords) and persons (a title and a name). Card numbers
+must begin as cards do and have a valid check digit. Names without a title are found only where the same text has them with
+one. What is found is an entity: its type and its canonical value (case and separators aside), so spellings of one thing are
+one entity.
 
 Surrogates. Each entity has a key of SHA-256 over a secret, its type, its canonical value and a round number; from it the
-surrogate is written in the entity's own format: digits for digits, letters for letters of the same case, separators as they
-are. Cards keep their first digit and a valid check digit, phones their country code, addresses valid octets, access keys
-their prefix, e-mails get a reserved domain. A person's family name and given name are entities of their own, so "Dr. Ada Byron" and
-"Ms. Byron" stay one family; given names come from lists for the gender that a title of this name tells and its script.
+surrogate is written in the entity's own format: digits for digits, letters for letters of the same case and script,
+separators as they are. Cards keep their first digit and a valid check digit, IBANs their country, spacing and valid check
+digits, phones their country code, addresses valid octets, access keys their prefix, e-mails get a reserved domain. A person's
+family name and given name are entities of their own, so "Dr. Ada Byron", "Ms. Byron" and a later "Byron" stay one family; given
+names come from lists for the gender that a title of this name tells and its script. The secret is the caller's: who knows it
+can draw the surrogate of a guessed value again.
 
 Collisions. Surrogates of one type that are the same, or that are a value found in the corpus, are drawn again with the next
 round number, until none is left: different entities have different surrogates, one entity has one everywhere. Names get more
-parts with the rounds, all else grows by one character every eight rounds, so no format can run out.
+parts with the rounds; values of up to six characters grow by one every two rounds, others every eight, so no format can run out.
 
-Scale. Only rows with entities take part in shuffles; entities are made distinct before the shuffle, so one that is in a
-third of all rows is one row. Texts with entities are made distinct, too, and meet their replacements by a hash of the text.
+Scale. Whole texts are searched once, and written with what was found. Only rows with entities take part in shuffles;
+entities are made distinct before the shuffle, and what is in very many texts, or a text of very many rows, is joined by
+broadcast (a bounded number of hot keys), so no key is one task.
 """
 
 from __future__ import annotations
@@ -27,17 +31,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zenithal.llm.skew import join_counted
 from zenithal.session import materialize
 
-SECRET = "zenithal"
+#: The setting that has the secret of the registered query and the pipeline, and what they take without it: a secret for test
+#: tables only, as it is public.
+SETTING, TEST_SECRET = "spark.zenithal.pii.secret", "for test tables only"
 
 #: Titles by gender.
-TITLES = {"m": ["Mr.", "Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr.", "Господин"], "f": ["Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra.", "Госпожа"], "n": ["Dr.", "Dr", "Prof.", "Prof"]}
+TITLES = {"m": ["Mr.", "Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr.", "Господин", "Κύριος", "κ."], "f": ["Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra.", "Госпожа", "Κυρία", "κα"], "n": ["Dr.", "Dr", "Prof.", "Prof"]}
 #: Given names by script and gender.
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Mark", "Nils", "Oscar", "Paul"],
     ("latin", "f"): ["Anna", "Berta", "Clara", "Dora", "Emma", "Frida", "Greta", "Hanna", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula"],
     ("latin", "n"): ["Alex", "Robin", "Kim", "Sasha", "Charlie", "Jamie", "Dominique", "Andrea", "Noel", "Rene", "Toni", "Jo", "Sam", "Chris", "Pat", "Lou"],
+    ("greek", "m"): ["Αλέξης", "Βασίλης", "Γιάννης", "Δημήτρης", "Ηλίας", "Θωμάς", "Κώστας", "Λευτέρης", "Μάνος", "Νίκος", "Παύλος", "Πέτρος", "Σπύρος", "Στέφανος", "Τάσος", "Φίλιππος"],
+    ("greek", "f"): ["Άννα", "Βάσω", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Ηρώ", "Θάλεια", "Ιωάννα", "Κατερίνα", "Λένα", "Μαρία", "Νίκη", "Όλγα", "Σοφία", "Χρύσα"],
+    ("greek", "n"): ["Άγγελος", "Αλεξία", "Βίκυ", "Γιούλη", "Ευτυχία", "Ζήνων", "Κλειώ", "Λίνος", "Μίλτος", "Νεφέλη", "Ορέστης", "Ρήγας", "Σταύρος", "Τίτος", "Φώτης", "Χάρις"],
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён", "Юрий"],
     ("cyrillic", "f"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья", "Юлия"],
     ("cyrillic", "n"): ["Саша", "Женя", "Валя", "Слава", "Паша", "Миша", "Никита", "Вася", "Шура", "Тоня", "Лёля", "Гена", "Кира", "Муся", "Рина", "Сима"],
@@ -45,6 +55,7 @@ GIVEN = {
 #: Syllables of invented family names by script.
 SYLLABLES = {
     "latin": ["bar", "ben", "cor", "dal", "del", "far", "fen", "gar", "hol", "jor", "kel", "lan", "mar", "nor", "pel", "ros"],
+    "greek": ["βαρ", "βελ", "γαλ", "δαν", "δελ", "ζαρ", "κορ", "καλ", "λαν", "μαρ", "νικ", "παλ", "πελ", "σαρ", "ταρ", "φελ"],
     "cyrillic": ["бар", "бел", "вор", "гал", "дан", "жар", "зол", "кор", "лан", "мар", "нов", "пол", "рож", "сер", "тар", "чер"],
 }
 _NAME = r"\p{Lu}[\p{L}'’-]+"
@@ -57,7 +68,8 @@ PATTERNS = [
     ("token", r"\b(?i:token|secret|api[_-]?key)(?:=|: ?| = )\"?[A-Za-z0-9_\-]{16,}\"?"),
     ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w.+-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])"),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
-    ("card", r"(?<![\w-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![\w-])|(?<![\w-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![\w-])"),
+    ("card", r"(?<![\w-])(?:4[0-9]{3}|5[1-5][0-9]{2}|2[2-7][0-9]{2}|35[0-9]{2}|6(?:011|[245][0-9]{2}))(?:[ -]?[0-9]{4}){3}(?![\w-])|(?<![\w-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![\w-])"),
+    ("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![\w:])"),
     ("ip", r"(?<![\w.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![\w]|\.[0-9])"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("hex_key", r"\b[0-9a-f]{40}\b"),
@@ -65,9 +77,16 @@ PATTERNS = [
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A cheap test that every text with an entity passes.
-MAYBE = r"[0-9@]|(?:" + _TITLE + r") \p{Lu}|(?i:password|passwd|pwd|token|secret|api[_-]?key)(?:=|: ?| = )|(?:AKIA|ASIA)[0-9A-Z]{16}|[a-f]{40}"
+MAYBE = r"[0-9@]|(?:" + _TITLE + r") \p{Lu}|(?i:password|passwd|pwd|token|secret|api[_-]?key)(?:=|: ?| = )|(?:AKIA|ASIA)[A-Z]{16}|[a-f]{40}|[A-Fa-f]:[:A-Fa-f]"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
+#: Letters that stand for those of each other script: a range of each, without case or in lower case.
+ALPHABETS = {
+    name: "".join(map(chr, range(a, b + 1)))
+    for name, (a, b) in {
+        "Cyrillic": (0x430, 0x44F), "Greek": (0x3B3, 0x3C1), "Armenian": (0x561, 0x57F), "Georgian": (0x10D0, 0x10F0), "Hebrew": (0x5D0, 0x5EA), "Arabic": (0x628, 0x63A),
+        "Devanagari": (0x915, 0x939), "Thai": (0xE01, 0xE2E), "Hiragana": (0x3042, 0x3092), "Katakana": (0x30A2, 0x30F2), "Hangul": (0xAC00, 0xACFF), "Han": (0x4E00, 0x4EFF),
+    }.items()
+}
 
 
 def kind_of(match: Column) -> Column:
@@ -93,20 +112,23 @@ def _stream(seed: Column, i: Column) -> Column:
     return F.pmod(F.xxhash64(seed, i), F.lit(1 << 31))
 
 
-def reshape(value: Column, seed: Column) -> Column:
-    """``value`` with every digit and letter replaced by a keyed one of its class; long hexadecimal words stay hexadecimal.
+def reshape(value: Column, seed: Column, hexed: Column | None = None) -> Column:
+    """``value`` with every digit and letter replaced by a keyed one of its class and script; long hexadecimal words (or what
+    ``hexed`` says) stay hexadecimal.
 
-    Letters outside Latin and Cyrillic become Latin ones. In a value without letters and digits all characters become letters."""
+    Letters of scripts without an alphabet here become Latin ones. In a value without letters and digits all become letters."""
     bare = ~value.rlike(r"[\p{L}\p{Nd}]")
-    hexed = value.rlike(r"^[0-9a-f]{16,}$") & value.rlike("[0-9]") & value.rlike("[a-f]")
+    hexed = F.coalesce(hexed, F.lit(False)) if hexed is not None else value.rlike(r"^[0-9a-f]{16,}$") & value.rlike("[0-9]") & value.rlike("[a-f]")
     chars = F.split(value, "")
 
     def swap(c: Column, i: Column) -> Column:
         pick = lambda letters: F.substring(F.lit(letters), (_stream(seed, i) % len(letters) + 1).cast("int"), F.lit(1))
         low = F.when(hexed, pick("0123456789abcdef")).otherwise(pick(LOWER))
         digit = F.when(hexed, pick("0123456789abcdef")).otherwise(pick("0123456789"))
-        out = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), low).when(c.rlike("[A-Z]"), pick(UPPER))
-        out = out.when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), pick(CYRILLIC.upper())).otherwise(pick(CYRILLIC)))
+        out = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), low).when(c.rlike("[A-Z]"), F.when(hexed, F.upper(low)).otherwise(pick(UPPER)))
+        for name, letters in ALPHABETS.items():
+            own = pick(letters)
+            out = out.when(c.rlike(rf"[\p{{L}}&&\p{{Is{name}}}]"), F.when(c.rlike(r"\p{Lu}"), F.upper(own)).otherwise(own))
         out = out.when(c.rlike(r"\p{Nd}"), digit).when(c.rlike(r"\p{Lu}"), pick(UPPER)).when(c.rlike(r"\p{L}") | bare, low)
         return out.otherwise(c)
 
@@ -128,6 +150,14 @@ def with_check_digit(number: Column) -> Column:
     return F.concat(F.regexp_replace(number, ".$", ""), F.pmod(-total, F.lit(10)).cast("string"))
 
 
+def with_iban_check(iban: Column) -> Column:
+    """``iban`` (without spaces) with its check digits (places 3 and 4) as its other characters ask."""
+    moved = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 2), F.lit("00"))
+    number = F.array_join(F.transform(F.filter(F.split(moved, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
+    left = F.aggregate(F.filter(F.split(number, ""), lambda c: c != ""), F.lit(0), lambda a, c: F.pmod(a * 10 + c.cast("int"), F.lit(97)))
+    return F.concat(F.substring(iban, 1, 2), F.lpad((98 - left).cast("string"), 2, "0"), F.substring(iban, F.lit(5), F.length(iban)))
+
+
 def _tail(seed: Column, n: Column, letters: str) -> Column:
     """``n`` keyed characters of ``letters``."""
     put = lambda i: F.substring(F.lit(letters), (_stream(seed, -i - 2) % len(letters) + 1).cast("int"), F.lit(1))
@@ -139,29 +169,37 @@ def _picker(names: list[str], seed: Column):
     return lambda i: F.element_at(table, (_stream(seed, i) % len(names) + 1).cast("int"))
 
 
-def _family(script: Column, seed: Column, round_no: Column) -> Column:
-    """An invented family name of three syllables, five from the third round on, one more every eight rounds."""
-    table = {s: F.array(*[F.lit(x) for x in v]) for s, v in SYLLABLES.items()}
-    at = lambda i: i if isinstance(i, Column) else F.lit(i)
-    part = lambda i: F.when(script == "cyrillic", F.element_at(table["cyrillic"], (_stream(seed, at(i)) % 16 + 1).cast("int"))).otherwise(F.element_at(table["latin"], (_stream(seed, at(i)) % 16 + 1).cast("int")))
-    more = F.array_join(F.transform(F.sequence(F.lit(5), F.floor(round_no / 8).cast("int") + 4), part), "")
-    tail = F.when(round_no >= 8, F.concat(part(3), part(4), more)).when(round_no >= 2, F.concat(part(3), part(4))).otherwise("")
-    return F.initcap(F.concat(part(0), part(1), part(2), tail))
+def _one(f):
+    """``f`` as a function of one column: Spark counts a function's parameters."""
+    return lambda i: f(i)
+
+
+def _family(script: Column, value: Column, seed: Column, round_no: Column) -> Column:
+    """An invented family name of three syllables, five from the third round on, one more every eight rounds; in scripts
+    without syllables here, letters of the script in place of those of the name."""
+    grown, out = F.floor(round_no / 8).cast("int"), F.concat(reshape(value, seed), _tail(seed, F.floor(round_no / 2).cast("int"), LOWER))
+    for name, syllables in SYLLABLES.items():
+        part = lambda i, t=F.array(*[F.lit(x) for x in syllables]): F.element_at(t, (_stream(seed, i if isinstance(i, Column) else F.lit(i)) % 16 + 1).cast("int"))
+        more = F.array_join(F.transform(F.sequence(F.lit(5), grown + 4), _one(part)), "")
+        tail = F.when(round_no >= 8, F.concat(part(3), part(4), more)).when(round_no >= 2, F.concat(part(3), part(4))).otherwise("")
+        out = F.when(script == name, F.initcap(F.concat(part(0), part(1), part(2), tail))).otherwise(out)
+    return out
 
 
 def draw(kind: Column, value: Column, script: Column, round_no: Column, secret: str) -> Column:
     """The surrogate of an entity in its canonical form."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(secret), kind, value, round_no.cast("string")), 256)
-    grown = F.floor(round_no / 8).cast("int")
+    grown = F.floor(round_no / F.when(F.length(value) <= 6, 2).otherwise(8)).cast("int")
     letters, numbers = _tail(seed, grown, LOWER), _tail(seed, grown, "0123456789")
     domain = F.concat(reshape(F.regexp_extract(value, r"@([^.]+)", 1), F.sha2(F.concat(F.lit(secret), F.regexp_extract(value, "@(.*)$", 1)), 256)), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), (_stream(seed, F.lit(-1)) % 3 + 1).cast("int")))
     email = F.concat(reshape(F.regexp_extract(value, "^([^@]+)", 1), seed), letters, F.lit("@"), domain)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_stream(seed, i) % 254 + 1).cast("string")), ".")
     octets = F.concat(octets, F.when(grown > 0, F.concat(F.lit("."), numbers)).otherwise(""))
     key = F.concat(F.substring(value, 1, 4), reshape(F.substring(value, 5, 100), seed), F.upper(letters))
+    address = F.concat(reshape(value, seed, F.lit(True)), F.when(grown > 0, F.concat(F.lit(":"), numbers)).otherwise(""))
     phone = _digits(value, seed, F.greatest(F.length(value) - 10, F.when(F.length(value) < 10, 2).otherwise(0)))
     phone = F.concat(phone, numbers)
-    out = F.when(kind == "email", email).when(kind == "ip", octets).when(kind.isin("access_key", "iban"), key).when(kind == "phone", phone)
+    out = F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "access_key", key).when(kind == "iban", with_iban_check(key)).when(kind == "ipv6", address).when(kind == "phone", phone)
     out = out.when(kind == "card", with_check_digit(F.concat(_digits(value, seed, F.lit(1)), numbers))).when(kind == "ssn", F.concat(_digits(value, seed, F.lit(0)), numbers))
     given = F.lit(None).cast("string")
     for (s, g), names in GIVEN.items():
@@ -169,10 +207,11 @@ def draw(kind: Column, value: Column, script: Column, round_no: Column, secret:
         parts = F.when(round_no < 2, 0).otherwise(F.floor((round_no - 2) / 4).cast("int") + 1)
         several = F.array_join(F.transform(F.sequence(F.lit(0), parts), _picker(names, seed)), "-")
         given = F.when(kind == f"given-{s}-{g}", several).otherwise(given)
-    return out.when(kind == "family", _family(script, seed, round_no)).when(kind.startswith("given"), given).otherwise(F.concat(reshape(value, seed), F.when(value.rlike(r"^[0-9a-f]{16,}$"), _tail(seed, grown, "0123456789abcdef")).otherwise(letters)))
+    given = F.coalesce(given, F.concat(reshape(value, seed), letters))
+    return out.when(kind == "family", _family(script, value, seed, round_no)).when(kind.startswith("given"), given).otherwise(F.concat(reshape(value, seed), F.when(value.rlike(r"^[0-9a-f]{16,}$"), _tail(seed, grown, "0123456789abcdef")).otherwise(letters)))
 
 
-def surrogates(entities: DataFrame, secret: str = SECRET) -> DataFrame:
+def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     """(kind, value, surrogate) for the distinct (kind, value, script): none is drawn twice for a kind, none is a value found.
 
     Who keeps a surrogate that several drew is the one with the least value; the others draw again."""
@@ -198,7 +237,7 @@ def surrogates(entities: DataFrame, secret: str = SECRET) -> DataFrame:
 
 
 def _script(value: Column) -> Column:
-    return F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    return F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").when(value.rlike(r"[\p{L}&&\P{IsLatin}]"), "other").otherwise("latin")
 
 
 def _write_like(match: Column, canon: Column, surrogate: Column) -> Column:
@@ -210,24 +249,46 @@ def _write_like(match: Column, canon: Column, surrogate: Column) -> Column:
     return F.concat(F.array_join(place, ""), F.substring(surrogate, F.length(own) + 1, F.length(surrogate)))
 
 
-def replace(docs: DataFrame, text: str = "text", secret: str = SECRET) -> DataFrame:
+def _spaced_like(match: Column, surrogate: Column) -> Column:
+    """The surrogate with the blanks of the match where they stand in it."""
+    chars = F.filter(F.split(match, ""), lambda c: c != "")
+    bare = lambda x: F.length(F.replace(x, F.lit(" "), F.lit("")))
+    place = F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(surrogate, bare(F.substring(match, F.lit(1), i + 1)), F.lit(1))))
+    return F.concat(F.array_join(place, ""), F.substring(surrogate, bare(match) + 1, F.length(surrogate)))
+
+
+def _between(text: Column, pattern: Column, new: Column) -> Column:
+    """``text`` with each match of ``pattern`` replaced by what the map ``new`` has for it."""
+    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    swapped = F.concat(F.transform(hits, lambda h: F.element_at(new, h)), F.array(F.lit("")))
+    return F.array_join(F.flatten(F.zip_with(pieces, swapped, lambda p, s: F.array(p, s))), "")
+
+
+def replace(docs: DataFrame, text: str = "text", *, secret: str, count_column: str | None = "pii_entities", length_column: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; columns, rows and all other text stay as they are.
 
-    A column ``pii_entities`` with the number of replacements is added. Null and empty texts stay. Equal texts get equal
-    results. An empty table gives an empty result.
+    A column ``count_column`` with the number of replacements is added (None: it isn't; a column of that name is replaced).
+    A column ``length_column``, if there is one, becomes the length of each text that has changed. Other columns may have any
+    names. Null and empty texts stay, long ones are searched whole. Equal texts get equal results,
+    repeated rows stay repeated. An empty table gives an empty result. ``secret`` must not be empty.
     """
-    names = docs.columns
-    maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
-    hits = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    found = F.when(maybe, hits).otherwise(F.array().cast("array<string>"))
+    if not secret:
+        raise ValueError("surrogates need a secret of the caller's")
+    # One column with all of docs: no name can clash. Whole texts are searched here, once.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    t = F.col(f"d.`{text}`")
+    hits = F.when(F.coalesce(t.rlike(MAYBE), F.lit(False)), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("d", hits.alias("hits")).select("d", "hits", F.when(F.size("hits") > 0, F.sha2(t, 256)).alias("key"))
+    rows = materialize(rows, "pii-rows")
     # Distinct texts with entities, and in them the distinct matches.
-    texts = docs.select(F.sha2(F.col(text), 256).alias("_key"), found.alias("_hits")).where(F.size("_hits") > 0)
-    per_text = materialize(texts.groupBy("_key").agg(F.first("_hits").alias("_hits")), "pii-texts")
-    matches = per_text.select("_key", F.explode(F.array_distinct("_hits")).alias("match"))
+    per_text = rows.where("key is not null").groupBy("key").agg(F.first("hits").alias("hits"), F.count(F.lit(1)).alias("rows"))
+    per_text = materialize(per_text, "pii-texts")
+    matches = per_text.select("key", "rows", F.explode(F.array_distinct("hits")).alias("match"))
     # Numbers of a card's length without a valid check digit are no cards: they stay.
     digits = F.regexp_replace("match", "[^0-9]", "")
     kind = kind_of(F.col("match"))
-    distinct = matches.select("match").distinct().withColumn("kind", F.when((kind == "card") & (with_check_digit(digits) != digits), "number").otherwise(kind)).withColumn("value", canonical(F.col("kind"), F.col("match")))
+    distinct = matches.groupBy("match").agg(F.count(F.lit(1)).alias("copies"))
+    distinct = distinct.withColumn("kind", F.when((kind == "card") & (with_check_digit(digits) != digits), "number").otherwise(kind)).withColumn("value", canonical(F.col("kind"), F.col("match")))
     distinct = materialize(distinct, "pii-matches")
     title = F.regexp_extract("match", rf"^({_TITLE}) ", 1)
     gender = F.when(title.isin(TITLES["m"]), "m").when(title.isin(TITLES["f"]), "f").otherwise("n")
@@ -235,35 +296,51 @@ def replace(docs: DataFrame, text: str = "text", secret: str = SECRET) -> DataFr
     named = named.withColumn("title", title).withColumn("gender", gender).withColumn("script", _script(F.col("value")))
     told = named.groupBy("value").agg(F.min(F.when(F.col("gender") != "n", F.col("gender"))).alias("told"))
     named = named.join(told, "value").withColumn("list", F.concat_ws("-", F.lit("given"), "script", F.coalesce("told", F.lit("n"))))
-    named = materialize(named.select("match", "title", "family", "given", "script", "list"), "pii-people")
+    named = materialize(named.select("match", "copies", "value", "title", "family", "given", "script", "list"), "pii-people")
     entities = distinct.where("kind not in ('person', 'number')").select("kind", "value", F.lit("latin").alias("script"))
     entities = entities.unionByName(named.select(F.lit("family").alias("kind"), F.col("family").alias("value"), "script"))
     entities = entities.unionByName(named.where("given is not null").select(F.col("list").alias("kind"), F.col("given").alias("value"), "script"))
     drawn = materialize(surrogates(entities, secret), "pii-surrogates")
     plain = distinct.where("kind not in ('person', 'number')").join(drawn, ["kind", "value"])
-    digits = F.col("kind").isin("phone", "card", "ssn")
-    new = F.when(digits, _write_like(F.col("match"), F.col("value"), F.col("surrogate")))
+    new = F.when(F.col("kind").isin("phone", "card", "ssn"), _write_like(F.col("match"), F.col("value"), F.col("surrogate")))
+    new = new.when(F.col("kind") == "iban", _spaced_like(F.col("match"), F.col("surrogate")))
     new = new.when(F.col("kind").isin("password", "token"), F.concat(F.regexp_extract("match", r"^([A-Za-z_-]+(?:=|: ?| = )\"?)", 1), F.col("surrogate"), F.when(F.endswith("match", F.lit('"')), '"').otherwise("")))
-    plain = plain.select("match", new.otherwise(F.col("surrogate")).alias("new"))
+    mentions = "array<struct<old:string,new:string>>"
+    plain = plain.select("match", "copies", new.otherwise(F.col("surrogate")).alias("new"), F.array().cast(mentions).alias("names"))
     families = drawn.where("kind = 'family'").select(F.col("value").alias("family"), F.col("surrogate").alias("new_family"))
     givens = drawn.where("kind like 'given%'").select(F.col("kind").alias("list"), F.col("value").alias("given"), F.col("surrogate").alias("new_given"))
     people = named.join(families, "family").join(givens, ["list", "given"], "left")
-    people = people.select("match", F.concat_ws(" ", "title", "new_given", "new_family").alias("new"))
-    same = distinct.where("kind = 'number'").select("match", F.col("match").alias("new"))
-    table = matches.join(plain.unionByName(people).unionByName(same), "match")
-    table = table.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("match", "new"))).alias("_new"))
-    ready = docs.withColumn("_hits", found)
-    rows = ready.where(F.size("_hits") > 0).withColumn("_key", F.sha2(F.col(text), 256)).join(table, "_key", "left")
-    pieces = F.split(F.col(text), PATTERN, -1)
-    swapped = F.concat(F.transform(F.col("_hits"), lambda h: F.element_at("_new", h)), F.array(F.lit("")))
+    pair = lambda a, b: F.struct(a.alias("old"), b.alias("new"))
+    names = F.array(pair(F.col("value"), F.concat_ws(" ", "new_given", "new_family")), pair(F.col("family"), F.col("new_family")))
+    people = people.select("match", "copies", F.concat_ws(" ", "title", "new_given", "new_family").alias("new"), names.cast(mentions).alias("names"))
+    same = distinct.where("kind = 'number'").select("match", "copies", F.col("match").alias("new"), F.array().cast(mentions).alias("names"))
+    table = materialize(plain.unionByName(people).unionByName(same), "pii-new")
+    # For each text what its matches become, and the names in it that may stand there without a title, too.
+    own = join_counted(matches, table, "match", "copies").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("match", "new"))).alias("new"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"), F.first("rows").alias("rows"))
+    longest = F.array_sort(F.transform("names", lambda x: x["old"]), lambda a, b: F.length(b) - F.length(a))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    own = own.select("key", "new", "rows", F.when(F.size("names") > 0, pattern).alias("pattern"), F.map_from_entries("names").alias("names"))
+    found = join_counted(rows.where("key is not null"), materialize(own, "pii-own"), "key", "rows")
+    pieces = F.transform(F.split(t, PATTERN, -1), lambda p: F.when(F.col("pattern").isNull(), p).otherwise(_between(p, F.col("pattern"), F.col("names"))))
+    swapped = F.concat(F.transform("hits", lambda h: F.element_at("new", h)), F.array(F.lit("")))
     whole = F.array_join(F.flatten(F.zip_with(pieces, swapped, lambda p, s: F.array(p, s))), "")
-    column = lambda c: F.col(f"`{c}`")
-    done = rows.select(*[whole.alias(c) if c == text else column(c) for c in names], F.size(F.filter("_hits", lambda h: F.element_at("_new", h) != h)).alias("pii_entities"))
-    rest = ready.where(F.size("_hits") == 0).select(*[column(c) for c in names], F.lit(0).alias("pii_entities"))
+    keep = [c for c in docs.columns if c != count_column]
+    column = lambda c: F.col(f"d.`{c}`").alias(c)
+    extra = lambda n: [] if count_column is None else [n.alias(count_column)]
+    found = found.select("d", "hits", "new", whole.alias("whole"))
+    size = F.when(F.col("whole") != t, F.length("whole")).otherwise(F.col(f"d.`{length_column}`")) if length_column in docs.columns else None
+    put = lambda c: F.col("whole").alias(c) if c == text else size.cast(docs.schema[c].dataType).alias(c) if c == length_column else column(c)
+    done = found.select(*map(put, keep), *extra(F.size(F.filter("hits", lambda h: F.element_at("new", h) != h))))
+    rest = rows.where("key is null").select(*map(column, keep), *extra(F.lit(0)))
     return done.unionByName(rest)
 
 
+def secret_of(spark: SparkSession) -> str:
+    """The secret of the session's settings, or that for test tables."""
+    return spark.conf.get(SETTING, None) or TEST_SECRET
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with its text after replacement."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replace(docs).select("doc_id", "text", "pii_entities")
+    return replace(docs, secret=secret_of(spark)).select("doc_id", "text", "pii_entities")
