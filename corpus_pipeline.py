@@ -51,18 +51,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gets surrogates; ``n_chars`` follows the new texts."""
-    out = pii.replace(docs)
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Personal data gets surrogates; ``n_chars`` follows the new texts that differ from the old ones.
+
+    Null and empty texts stay, long ones are searched whole, rows that repeat get the same text. An empty table gives an empty
+    result. Columns stay as they are, whatever their names."""
+    return pii.replace(docs, secret=pii.secret_of(spark), length_column="n_chars", count_column=None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bring sources to their target weights: each document as often as the mix takes it."""
+    """Bring sources to their target weights: each document as often as the mix takes it.
+
+    Null and empty texts have no words and are taken as whole copies only; a null source is a source; rows that repeat share
+    their copies evenly. An empty table gives an empty result. Columns stay as they are, whatever their names."""
     return mixing.mix_documents(docs)
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text of every document."""
+    """Token counts and digests of the ids and of the decoded text of every document.
+
+    Null texts count as empty, which have no ids; long ones are encoded whole; rows that repeat give rows that repeat. An empty
+    table gives an empty result. Other columns are not read, whatever their names."""
     import public_tokenizers
 
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
