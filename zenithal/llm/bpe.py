@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from zenithal.llm import tokens
 from zenithal.session import materialize, ship
 
-#: Words that are broadcast at most, and ids that a task joins with their pieces at once.
-TABLE_WORDS, SLICE = 1 << 20, 1 << 20
+#: Words that are broadcast at most, and words or ids that a task joins at once.
+TABLE_WORDS, SLICE = 1 << 19, 1 << 20
 
 
 def units(text: Column, tokenizer: str) -> Column:
@@ -115,10 +115,13 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     def place(batches):
         (known, ids), one = shared.arrays(), encoder(tokenizer)
         for b in batches:
-            rows_at = b.column(1).offsets.to_numpy()
-            ends, found = join_ids(b.column(1).values.slice(rows_at[0], rows_at[-1] - rows_at[0]), known, ids, one)
-            own = ends[rows_at - rows_at[0]].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(own), pa.array(found))], ["key", "ids"])
+            ends_of, at = b.column(1).offsets.to_numpy(), 0
+            while at < b.num_rows:  # as many rows as hold SLICE words, one at least
+                to = max(at + 1, int(np.searchsorted(ends_of, ends_of[at] + SLICE, "right")) - 1)
+                rows_at = ends_of[at : to + 1] - ends_of[at]
+                ends, found = join_ids(b.column(1).values.slice(ends_of[at], rows_at[-1]), known, ids, one)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.ListArray.from_arrays(pa.array(ends[rows_at].astype(np.int32)), pa.array(found))], ["key", "ids"])
+                at = to
 
     return rows.select("key", units(F.col("text"), tokenizer).alias("units")).mapInArrow(place, f"key {kind}, ids array<int>")
 
