@@ -1,12 +1,13 @@
 import base64
+import gzip
 import io
 import struct
+import time
 import zipfile
 import zlib
 
 import duckdb
 import numpy as np
-import xxhash
 from pyspark.sql import functions as F
 
 from zenithal.llm import media, urlfilter
@@ -30,12 +31,39 @@ def test_url_rules(spark):
     assert urlfilter.judge(split.limit(0), rules).count() == 0
 
 
-def test_collisions_are_confirmed():
-    keys = ["a", "b", "c"]
-    same = np.array([xxhash.xxh64_intdigest(b"a")] * 3, np.uint64)  # as if all three had one digest
-    assert urlfilter.probe(same, ["b", "a", "c"], ["a"]) == [1]
-    assert urlfilter.probe(same, ["b", "x", "c"], ["a"]) == [-1]
-    assert urlfilter.probe(np.empty(0, np.uint64), [], keys) == [-1] * 3
+def test_long_hosts_ties_and_names_in_both_ways(spark):
+    rules = spark.createDataFrame([("w.a.com", "/xy", "allow"), ("a.com", "/xyzz", "block"), ("a.com", "/xyzz", "allow"), ("b", "", "block"), ("", "/", "block"), ("c.d", None, "block")], "host string, path string, verdict string")
+    long = "x." * 100_000 + "a.com"
+    rows = [(1, "w.a.com", "/xyzz/1"), (2, long, "/xyzz"), (3, "q" * 1_000_000, "/"), (4, "v.a.com", "/xyz"), (5, None, None), (6, "a.b", ""), (7, "", "/"), (8, "c.d", "/")]
+    df = spark.createDataFrame(rows, "id int, host string, path string").select("*", *[F.lit("mine").alias(c) for c in ("rule", "verdict", "d", "j", "key", "copies", "a.b")])
+    want = {1: ("w.a.com/xy", "allow"), 2: ("a.com/xyzz", "block"), 6: ("b", "block")}
+    for most in (100, 0):
+        out = urlfilter.judge(df, rules, max_mapped=most)
+        assert sorted(out.columns) == sorted(df.columns)
+        got = out.collect()
+        assert {r.id: (r.rule, r.verdict) for r in got} == {i: want.get(i, (None, "allow")) for i, _, _ in rows}
+        assert all(r.d == r.j == r.key == r.copies == r["a.b"] == "mine" for r in got)
+    assert urlfilter.suffixes("a.b.c.d", 2, 9) == ["c.d", "d"] and urlfilter.suffixes("a.b", 5, 1) == ["b"]
+
+
+def test_collisions_are_confirmed(tmp_path):
+    texts = [urlfilter.rule_key(h, "/") + "\0block" for h in "bac"]
+    starts = np.cumsum([0, *map(len, texts)])
+    for name, data in (("d", np.full(3, 77, "<u8").tobytes()), ("t", "".join(texts).encode()), ("s", starts.astype("<u8").tobytes()), ("none", b"")):
+        (tmp_path / name).write_bytes(data)
+    array = urlfilter.RuleArray(*(str(tmp_path / x) for x in "dts"))
+    same = np.full(2, 77, np.uint64)  # as if all had one digest
+    assert array.probe([urlfilter.rule_key("a", "/"), urlfilter.rule_key("x", "/")], same) == ["block", None]
+    assert array.probe([urlfilter.rule_key("a", "/")]) == [None]
+    empty = urlfilter.RuleArray(*[str(tmp_path / "none")] * 3)
+    assert empty.probe(["a"]) == [None]
+
+
+def test_many_rules_are_written_in_order(spark):
+    rules = spark.createDataFrame([(f"h{i}.com", f"/é{i % 7}", "block" if i % 3 else "allow") for i in range(3000)], "host string, path string, verdict string").repartition(5)
+    df = spark.createDataFrame([(i, f"h{i}.com", f"/é{i % 7}/x") for i in range(0, 3500, 7)], "id int, host string, path string")
+    got = {r.id: (r.rule, r.verdict) for r in urlfilter.judge(df, rules, default="none").collect()}
+    assert got == {i: (f"h{i}.com/é{i % 7}", "block" if i % 3 else "allow") if i < 3000 else (None, "none") for i in range(0, 3500, 7)}
 
 
 def test_oracle_agrees(spark):
@@ -66,6 +94,21 @@ def test_sniffing_and_carving(spark):
     assert carved[2, "image/png"] == PNG and carved[2, "image/gif"] == gif
 
 
+def test_repeated_magic_bytes_take_linear_time():
+    cases = [m for m, _, _ in media.SIGNATURES] + [b"RIFF\1\0\0\0WAVEfmt ", b"\0\0\0\x08ftyp", b"%PDF-1", b"PK\3\4PK\5\6" + bytes(18), b"\x1f\x8b\x08\x08\0\0\0\0\0\0", b"%PDF-1 startxref %%EOF"]
+    for m in cases:
+        began = time.perf_counter()
+        media.inspect(m * (2_000_000 // len(m)))
+        assert time.perf_counter() - began < 6, m
+
+
+def test_pdf_and_gzip_and_zip_in_a_row():
+    pdf, z, g = b"%PDF-1.4 x startxref 1 %%EOF more %%EOF", _zip(), gzip.compress(b"data" * 99)
+    found = media.inspect(pdf + b" " + z + z + g + b"x" + pdf)
+    at = [0, len(pdf) + 1, len(pdf) + 1 + len(z), len(pdf) + 1 + 2 * len(z), len(pdf) + 2 + 2 * len(z) + len(g)]
+    assert found == [(at[0], len(pdf), "application/pdf"), (at[1], len(z), "application/zip"), (at[2], len(z), "application/zip"), (at[3], len(g), "application/gzip"), (at[4], len(pdf), "application/pdf")]
+
+
 def test_media_query_against_plain_python(spark):
     import hashlib
 

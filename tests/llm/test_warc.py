@@ -11,7 +11,7 @@ BIG, OTHER = "x" * 1000, "é" * 600
 
 @pytest.fixture(scope="module")
 def written(spark):
-    rows = [(1, "http://a/\r\nb%0D", BIG), (5, "http://b", BIG), (5, "http://b", BIG), (2, None, "small"), (3, "u", "small"), (4, "u", None), (6, "u", OTHER), (7, "u", OTHER), (None, "n", BIG), (8, "w", "")]
+    rows = [(1, "http://a/x%20y%0D", BIG), (5, "http://b", BIG), (5, "http://b", BIG), (2, None, "small"), (3, "u", "small"), (4, "u", None), (6, "u", OTHER), (7, "u", OTHER), (None, "n", BIG), (8, "w", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     return rows, warc.write_bundles(df, shared_dir(spark, "t"), frame_bytes=1500)
 
@@ -44,6 +44,27 @@ def test_any_reader_reads_the_bundle(written):
         assert plain.count(b"WARC/1.1\r\n") == index.where(index.path == path).count()
 
 
+def test_urls_are_written_as_they_are():
+    data = warc.record(1, "http://a/x%20y\r\nz", b"p")
+    assert b"\r\nWARC-Target-URI: http://a/x%20y%0D%0Az\r\n" in data and warc.parse(data)[0]["url"] == "http://a/x%20y%0D%0Az"
+
+
+def test_one_common_page_and_many_small_ones(spark):
+    rows = [(i, "u", BIG) for i in range(900)] + [(1000 + i, None, str(i)) for i in range(900)] + [(3000 + i // 2, "v", OTHER + str(i // 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as key", "2 as sha", "3 as n").repartition(3)
+    got = {}
+    for r in warc.read_bundles(warc.write_bundles(df, shared_dir(spark, "t"))).collect():
+        got.setdefault(r.record_id, []).append((r.record_type, r.refers_to))
+    assert sum(map(len, got.values())) == len(rows)
+    assert all(got[i] == [("revisit", 899)] for i in range(899)) and got[899] == [("response", None)]
+    assert all(got[1000 + i] == [("response", None)] for i in range(900))
+    last = {}
+    for k, _, h in rows[1800:]:
+        last[h] = max(k, last.get(h, k))
+    for k, _, h in rows[1800:]:
+        assert (("response", None) if k == last[h] else ("revisit", last[h])) in got[k]
+
+
 def test_empty_table(spark):
     index = warc.write_bundles(spark.createDataFrame([], "page_id long, url string, html string, path string"), shared_dir(spark, "t"))
     assert index.count() == 0 and warc.read_bundles(index).count() == 0

@@ -9,6 +9,7 @@ and can be carved out. A signature alone (say, in prose) is nothing.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import struct
 import zlib
@@ -41,7 +42,7 @@ UNKNOWN = "application/octet-stream"
 FOUND = "struct<type:string,length:bigint,corrected:boolean,embedded:array<struct<type:string,offset:bigint,length:bigint>>>"
 
 
-def _png(d: bytes, at: int) -> int:
+def _png(d: bytes, at: int, marks: Marks) -> int:
     a = at + 8
     while a + 12 <= len(d):
         n, name = struct.unpack_from(">I4s", d, a)
@@ -53,10 +54,15 @@ def _png(d: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(d: bytes, at: int) -> int:
+def _jpeg(d: bytes, at: int, marks: Marks) -> int:
     a = at + 2
     while a + 4 <= len(d) and d[a] == 0xFF:
         mark = d[a + 1]
+        if mark == 0xFF:  # a fill byte
+            a += 1
+            continue
+        if mark < 0xC0 or 0xD0 <= mark <= 0xD8:  # stands in no head
+            return 0
         if mark == 0xD9:
             return a + 2 - at
         n = struct.unpack_from(">H", d, a + 2)[0]
@@ -71,7 +77,7 @@ def _jpeg(d: bytes, at: int) -> int:
     return a + 2 - at if d[a : a + 2] == b"\xff\xd9" else 0
 
 
-def _gif(d: bytes, at: int) -> int:
+def _gif(d: bytes, at: int, marks: Marks) -> int:
     if at + 13 > len(d):
         return 0
     flags = d[at + 10]
@@ -91,14 +97,14 @@ def _gif(d: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(d: bytes, at: int) -> int:
+def _bmp(d: bytes, at: int, marks: Marks) -> int:
     if at + 26 > len(d):
         return 0
     size, reserved, start, head = struct.unpack_from("<IIII", d, at + 2)
     return size if reserved == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= start <= size <= len(d) - at else 0
 
 
-def _riff(d: bytes, at: int) -> int:
+def _riff(d: bytes, at: int, marks: Marks) -> int:
     if d[at : at + 4] != b"RIFF":
         return 0
     end = at + 8 + struct.unpack_from("<I", d, at + 4)[0]
@@ -108,25 +114,63 @@ def _riff(d: bytes, at: int) -> int:
     return end - at if a >= end and a - end < 2 and end <= len(d) else 0
 
 
-def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    following = d.find(b"%PDF-", at + 5)
-    while end >= 0 and (more := d.find(b"%%EOF", end + 5)) >= 0 and (following < 0 or more < following):
-        end = more
-    return end + 5 - at if end >= 0 and b"startxref" in d[at:end] and d[at + 5 : at + 6].isdigit() else 0
+class Marks(dict):
+    """Where a byte string stands in a payload, found once for all of its validators."""
+
+    def __init__(self, data: bytes):
+        super().__init__()
+        self.data, self.dead = data, set()
+
+    def __missing__(self, mark: bytes) -> list[int]:
+        found, at = [], self.data.find(mark)
+        while at >= 0:
+            found.append(at)
+            at = self.data.find(mark, at + 1)
+        self[mark] = found
+        return found
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place at or after ``at``, or -1."""
+        i = bisect.bisect_left(self[mark], at)
+        return self[mark][i] if i < len(self[mark]) else -1
+
+    @functools.cached_property
+    def archives(self) -> dict[int, int]:
+        """Where each ZIP archive begins and ends, by the end records that fit."""
+        d, out = self.data, {}
+        for a in self[b"PK\x05\x06"]:
+            if a + 22 > len(d):
+                break
+            size, start, note = struct.unpack_from("<IIH", d, a + 12)
+            at = a - size - start
+            if at >= 0 and a + 22 + note <= len(d) and (d[at + start : at + start + 4] == b"PK\x01\x02" or not size):
+                out.setdefault(at, a + 22 + note)
+        return out
+
+
+def _pdf(d: bytes, at: int, marks: Marks) -> int:
+    if not d[at + 5 : at + 6].isdigit() or (end := marks.after(b"%%EOF", at)) < 0:
+        return 0
+    following, ends = marks.after(b"%PDF-", at + 5), marks[b"%%EOF"]
+    end = max(end, ends[(bisect.bisect_left(ends, following) if following >= 0 else len(ends)) - 1])
+    return end + 5 - at if 0 <= marks.after(b"startxref", at) <= end - 9 else 0
 
 
-def _zip(d: bytes, at: int) -> int:
-    a = d.find(b"PK\x05\x06", at)
-    while 0 <= a <= len(d) - 22:
-        size, start, note = struct.unpack_from("<IIH", d, a + 12)
-        if at + start + size == a and a + 22 + note <= len(d) and (d[at + start : at + start + 4] == b"PK\x01\x02" or not size):
-            return a + 22 + note - at
-        a = d.find(b"PK\x05\x06", a + 4)
-    return 0
+def _zip(d: bytes, at: int, marks: Marks) -> int:
+    return marks.archives.get(at, at) - at
 
 
-def _gzip(d: bytes, at: int) -> int:
+def _gzip(d: bytes, at: int, marks: Marks) -> int:
+    if at + 18 > len(d) or d[at + 3] & 0xE0:
+        return 0
+    flags, a = d[at + 3], at + 10
+    if flags & 4:
+        a += 2 + struct.unpack_from("<H", d, a)[0]
+    for _ in range((flags >> 3 & 1) + (flags >> 4 & 1)):  # name and comment end with a zero
+        if (a := marks.after(b"\0", a) + 1) == 0:
+            return 0
+    if a + (2 if flags & 2 else 0) >= len(d) or d[a + (2 if flags & 2 else 0)] & 6 == 6:  # no such block
+        return 0
     z, a = zlib.decompressobj(31), at
     try:
         while a < len(d) and not z.eof:  # in parts, so a bomb is never held whole
@@ -138,7 +182,7 @@ def _gzip(d: bytes, at: int) -> int:
     return a - len(z.unused_data) - at if z.eof else 0
 
 
-def _flac(d: bytes, at: int) -> int:
+def _flac(d: bytes, at: int, marks: Marks) -> int:
     a, first = at + 4, True
     while a + 4 <= len(d):
         kind, n = d[a], int.from_bytes(d[a + 1 : a + 4], "big")
@@ -150,7 +194,7 @@ def _flac(d: bytes, at: int) -> int:
     return 0
 
 
-def _ogg(d: bytes, at: int) -> int:
+def _ogg(d: bytes, at: int, marks: Marks) -> int:
     a, last = at, 0
     while d[a : a + 4] == b"OggS" and a + 27 <= len(d):
         table = d[a + 27 : a + 27 + d[a + 26]]
@@ -163,17 +207,21 @@ def _ogg(d: bytes, at: int) -> int:
     return 0
 
 
-def _mp4(d: bytes, at: int) -> int:
-    a, names = at, []
-    while a + 8 <= len(d):
+def _mp4(d: bytes, at: int, marks: Marks) -> int:
+    a, names, starts = at, [], []
+    while a + 8 <= len(d) and a not in marks.dead:
         n, name = struct.unpack_from(">I4s", d, a)
         if n == 1 and a + 16 <= len(d):
             n = struct.unpack_from(">Q", d, a + 8)[0]
         if n < 8 or a + n > len(d) or not all(32 <= c < 127 or c == 0xA9 for c in name):
             break
         names.append(name)
+        starts.append(a)
         a += n
-    return a - at if names[:1] == [b"ftyp"] and b"moov" in names else 0
+    if names[:1] == [b"ftyp"] and b"moov" in names:
+        return a - at
+    marks.dead.update(starts)  # nor is there one that begins within this row of boxes
+    return 0
 
 
 VALID = {
@@ -199,9 +247,9 @@ def inspect(data: bytes) -> list[tuple[int, int, str]]:
         if (start := end + 1 - n - at) >= 0:
             hits.append((start, kind))
     out: list[tuple[int, int, str]] = []
-    covered = 0
+    covered, marks = 0, Marks(data)
     for start, kind in sorted(hits):
-        if start >= covered and (length := VALID[kind](data, start)):
+        if start >= covered and (length := VALID[kind](data, start, marks)):
             out.append((start, length, kind))
             covered = start + length if start else 1
     return out
@@ -229,10 +277,12 @@ def sniff(df: DataFrame, content: str = "media", declared: str = "declared", out
 
 
 def carve(df: DataFrame, content: str = "media", found: str = "found") -> DataFrame:
-    """A row for each embedded medium: the columns of ``df`` and ``carved_type``, ``carved_offset``, ``carved`` (its bytes)."""
-    rows = df.withColumn("_e", F.explode(F.col(found)["embedded"]))
-    cut = F.expr(f"substring(`{content}`, cast(_e.offset + 1 as int), cast(_e.length as int))")
-    return rows.select(*df.columns, F.col("_e.type").alias("carved_type"), F.col("_e.offset").alias("carved_offset"), cut.alias("carved"))
+    """A row for each embedded medium: the columns of ``df`` and ``carved_type``, ``carved_offset``, ``carved`` (its bytes), in
+    place of columns of these names. Rows without embedded media, or with null content, give none."""
+    keep = [c for c in df.columns if c not in ("carved_type", "carved_offset", "carved")]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("d"), F.explode(F.col(f"`{found}`")["embedded"]).alias("e"))
+    cut = F.expr(f"substring(d.`{content}`, cast(e.offset + 1 as int), cast(e.length as int))")
+    return rows.select(*[F.col(f"d.`{c}`").alias(c) for c in keep], F.col("e.type").alias("carved_type"), F.col("e.offset").alias("carved_offset"), cut.alias("carved"))
 
 
 def to_wav(data: bytes, unit: int = 64, rate: int = 8000) -> bytes:

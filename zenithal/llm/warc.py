@@ -6,8 +6,10 @@ with the table a reader fetches single frames. The index gives for every record
 it, and the record's offset relative to the start of the frame's contents.
 
 Records with equal payloads of at least ``revisit_bytes`` are written once: the one with the largest id is the response, the
-others are revisits that name it. Bundles are written where their rows are (no shuffle besides the one for repeated
-payloads); a failed attempt leaves a file that no index row names.
+others are revisits that name it. Bundles are written where their rows are. Payloads are only shuffled, by their digest, to
+learn whether they repeat: those of less than ``revisit_bytes`` are not, nor are those of the most frequent payloads, whose
+digests are broadcast. A failed attempt leaves a file that no index row names. A url is written as it is, but for line breaks,
+which no header can hold: they become %0D and %0A.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zenithal.llm import files
+from zenithal.llm.skew import join_counted
 from zenithal.session import materialize, shared_dir, ship
 
 FRAME_BYTES, BUNDLE_BYTES, REVISIT_BYTES = 256 << 10, 64 << 20, 1000
@@ -51,7 +54,7 @@ def record(record_id: int | None, url: str | None, payload: bytes, refers_to: in
     block = head if refers_to is not None else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(record_id)}", f"WARC-Date: {date}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     lines.append("WARC-Payload-Digest: sha1:" + base64.b32encode(digest).decode())
     if refers_to is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
@@ -78,7 +81,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
             raise ValueError("a record's payload differs from its digest")
     url = h.get("warc-target-uri")
     row = {
-        "record_id": _from_urn(h["warc-record-id"]), "url": url and url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%"), "record_type": kind, "payload_bytes": size,
+        "record_id": _from_urn(h["warc-record-id"]), "url": url, "record_type": kind, "payload_bytes": size,
         "payload_digest": digest.hex(), "refers_to": _from_urn(h["warc-refers-to"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None,
     }
     return row, end + 4
@@ -128,16 +131,17 @@ def seek_table(uri: str) -> list[tuple[int, int, int, int]]:
 def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = REVISIT_BYTES, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write a record for every row of ``pages`` to bundles in ``folder``; returns the index, one row for each record.
 
-    A null html is an empty payload. Rows that repeat the largest id of their payload are responses, too, as are rows with a
+    A null html is an empty payload, a null url leaves its header out. Other columns are not read. Rows that repeat the largest id of their payload are responses, too, as are rows with a
     null id. An empty table writes nothing and gives an empty index.
     """
     ship(pages.sparkSession)
-    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), payload.alias("payload"))
+    payload = F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{url}`").alias("url"), payload.alias("payload"))
     hashed = rows.withColumn("sha", F.when(F.length("payload") >= revisit_bytes, F.sha2("payload", 256)))
     # Counted before the shuffle; only payloads that repeat are kept, so the table is small unless most pages are copies.
-    again = hashed.where("sha is not null").groupBy("sha").agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    judged = hashed.join(again, "sha", "left").select("key", "url", "payload", F.when(F.col("key") < F.col("last"), F.col("last")).alias("refers_to"))
+    again = hashed.where("sha is not null").groupBy("sha").agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    judged = join_counted(hashed, materialize(again, "warc-again"), "sha", "n", "left")
+    judged = judged.select("key", "url", "payload", F.when(F.col("key") < F.col("last"), F.col("last")).alias("refers_to"))
 
     def write(batches):
         bundle, part = Bundle(frame_bytes), TaskContext.get().partitionId()
@@ -163,7 +167,8 @@ def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
 
 def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the bundles that ``index`` names, by their own seek tables; digests and lengths are checked."""
+    """Every record of the bundles that ``index`` names, by their own seek tables; digests and lengths are checked. An empty
+    index gives an empty result; a bundle that several index rows name is read once."""
     ship(index.sparkSession)
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -191,7 +196,8 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def lookup(index: DataFrame, wanted: DataFrame, key: str = "record_id") -> DataFrame:
-    """The records of the ids in ``wanted``: only their frames are fetched, and records are cut out at their offsets."""
+    """The records of the ids in ``wanted``: only their frames are fetched, and records are cut out at their offsets. Null ids
+    find nothing, repeated ones count once, an id with several records gives each of them. Empty tables give an empty result."""
     ship(index.sparkSession)
     kind = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
@@ -206,7 +212,7 @@ def lookup(index: DataFrame, wanted: DataFrame, key: str = "record_id") -> DataF
                 out.append(parse(data[r["offset"] : r["offset"] + r["length"]])[0])
             yield pa.RecordBatch.from_pylist(out, kind)
 
-    ids = wanted.select(F.col(key).alias("record_id")).distinct()
+    ids = wanted.select(F.col(f"`{key}`").alias("record_id")).distinct()
     hit = index.join(ids, "record_id", "left_semi").sortWithinPartitions("path", "frame_offset", "offset")
     return hit.mapInArrow(fetch, RECORD)
 
