@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zenithal.llm import bpe, mixing, pii, quality, simhash
 from zenithal.llm.skew import join_counted
-from zenithal.session import materialize
+from zenithal.session import discard, materialize, temporary
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -89,7 +89,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over all that the one before kept; a stage's tables are deleted when its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary() as keep:
+            keep.append(out := materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)

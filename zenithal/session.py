@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
+_FOLDERS: set[str] = set()
+_MADE: list[list[DataFrame]] = []
 
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
@@ -44,16 +49,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that the cluster names in ``spark.checkpoint.dir``.
+    """A new path in this application's own folder under the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (a local test session) is a local folder used.
-    """
+    Only a session with a local master (tests) may lack that setting: it gets a local folder. Anywhere else executors would
+    not see each other's files, so it is an error. The application's folder is deleted when the program ends."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.zenithal.local.dir", None)
     if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="zenithal-")
         spark.conf.set("spark.zenithal.local.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/zenithal-{sc.applicationId}"
+    if own not in _FOLDERS:
+        _FOLDERS.add(own)
+        atexit.register(_delete, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, as long as the session is there."""
+    with contextlib.suppress(Exception):  # the JVM may be gone; a scratch folder must not fail the program that has ended
+        if spark.sparkContext._jsc is not None:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -63,13 +82,27 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._zenithal_path = path
+    for made in _MADE[-1:]:
+        made.append(out)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that no later plan reads."""
-    path = getattr(df, "_zenithal_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    if path := getattr(df, "_zenithal_path", None):
+        _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Within it, tables made by :func:`materialize` are noted; at its end all but those put in the list are deleted.
+
+    For steps whose result is written within: nothing that is still to be computed may read the deleted tables."""
+    keep: list[DataFrame] = []
+    _MADE.append([])
+    try:
+        yield keep
+    finally:
+        for df in _MADE.pop():
+            if not any(df is k for k in keep):
+                discard(df)
