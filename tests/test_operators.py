@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from zenithal.functions import manoeuvre, orbit, probability, relative, tle
 from zenithal.functions import text as T
-from zenithal.operators import graph, ingest, joins, propagation, retrieval
+from zenithal.operators import graph, ingest, joins, ordered, propagation, retrieval
 from zenithal.sources import documents, registry
 from zenithal.sources import tle as tle_source
 
@@ -134,7 +134,50 @@ def test_near_pairs_are_exact(spark):
 def test_asof_ties_and_gaps(spark):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 9)], "id int, k string, t int")
     right = spark.createDataFrame([("a", 2, 1, "old"), ("a", 5, 1, "one"), ("a", 5, 2, "two"), ("c", 1, 1, "other")], "k string, s int, n int, v string")
-    assert {r.id: r.v for r in joins.asof(left, right, "k", "t", "s", ["n"], ["v"]).collect()} == {1: "two", 2: None, 3: None, 4: None}
+    for bucket in (30, 3, 1):
+        got = joins.asof(left, right, "k", "t", "s", ["n"], ["v"], bucket)
+        assert {r.id: r.v for r in got.collect()} == {1: "two", 2: None, 3: None, 4: None}
+
+
+def test_asof_over_buckets(spark):
+    rng = np.random.default_rng(2)
+    left = [(i, int(rng.integers(0, 3)), int(rng.integers(0, 200))) for i in range(300)]
+    right = [(int(rng.integers(0, 3)), int(t), i) for i, t in enumerate(rng.integers(0, 200, 60))] + [(0, None, 99)]
+    got = joins.asof(spark.createDataFrame([*left, (999, 1, None)], "id int, k int, t int"), spark.createDataFrame(right, "k int, s int, n int"), "k", "t", "s", ["n"], ["s", "n"], 7)
+    want = {i: max(((s, n) for k2, s, n in right if k2 == k and s is not None and s <= t), default=(None, None)) for i, k, t in left} | {999: (None, None)}
+    assert {r.id: (r.s, r.n) for r in got.collect()} == want
+
+
+def test_hot_cells_are_split(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(90)], "id int, c int")
+    got = [(r.a.id, r.b.id) for r in joins.cell_pairs(df, "id", [F.col("c") * 2], cell_rows=7).collect()]
+    assert sorted(got) == [(i, j) for i in range(90) for j in range(i + 1, 90) if i % 3 == j % 3]
+
+
+def test_places(spark):
+    values = [None, 1.0, 2.0, 2.0, 5.0, *[float(x) for x in range(100, 400)]]
+    got = {r.i: r.place for r in ordered.places(spark.createDataFrame(list(enumerate(values)), "i int, v double"), "v", 9).collect()}
+    assert got == {i: None if v is None else 1 + sum(x is not None and x > v for x in values) for i, v in enumerate(values)}
+
+
+def test_section_chunks(spark):
+    words = lambda n, w: " ".join([w] * n) + "."
+    table, formula = "[TABLE]a | b[/TABLE]", "[EQ]x=1[/EQ]"
+    text = f"Abstract\n{words(70, 'about')}\n1.2 Orbit decay model\nSee Fig. Two. {words(100, 'Lead')} {table} {words(80, 'Drag')} {formula} {words(300, 'More')} {words(300, 'Last')}\nReferences\n{words(90, 'cited')}\nConclusion\n{words(20, 'short')}"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "plain " * 100)], "id int, text string")
+    rows = retrieval.section_chunks(df, "id", retrieval.section_array(F.col("text"))).collect()
+    got = [(r.chunk, r.heading, r.kind) for r in sorted(rows, key=lambda r: (r.key, r.chunk)) if r.key == 1]
+    assert [k for _, _, k in got] == ["abstract", "table", "equation", "text", "text", "text"] and [c for c, _, _ in got] == list(range(6))
+    body = {r.chunk: r.body for r in rows if r.key == 1}
+    assert body[0] == words(70, "about") and body[1].endswith(f"Lead.\n\n{table}") and formula in body[2] and "[EQ]" not in body[3] + body[4] and "[TABLE]" not in body[3]
+    assert not any("cited" in b or "short" in b for b in body.values()) and "See Fig. Two." in body[3]
+    assert [r.kind for r in rows if r.key == 3] == ["text"] and not [r for r in rows if r.key == 2]
+
+
+def test_protected_sentences(spark):
+    text = "See Fig. Three and Eq. One. Then 3.5 km et al. Smith. It ended! i.e. No cut? Yes."
+    got = spark.createDataFrame([(text,)], "t string").select(T.protected_sentences(F.col("t")).alias("s")).first().s
+    assert got == ["See Fig. Three and Eq. One.", "Then 3.5 km et al. Smith.", "It ended! i.e. No cut?", "Yes."]
 
 
 def test_pagerank_sums_up_and_ranks_a_hub_first(spark):

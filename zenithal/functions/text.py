@@ -35,6 +35,17 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+#: Abbreviations after which a sentence goes on.
+ABBREVIATIONS = ["Eq", "Fig", "Sec", "Ref", "Tab", "Ch", "Vol", "No", "pp", "vs", "cf", "alt", "inc", "et al", r"i\.e", r"e\.g", "approx"]
+
+
+def protected_sentences(text: Column) -> Column:
+    """Sentences that don't end at abbreviations or within decimals: cut only before a capital; trimmed, none empty."""
+    guard = r"(?<=[.!?])" + "".join(rf"(?<!\b{a}\.)" for a in ABBREVIATIONS) + r"\s+(?=[A-Z])"
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), guard), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda s: s != "")
+
+
 def relationship_type(raw: Column, known: list[str]) -> Column:
     """``operated by`` in any case and spacing as OPERATED_BY, if that is known; else null."""
     name = F.upper(F.regexp_replace(F.trim(raw), r"[\s_]+", "_"))
@@ -51,13 +62,13 @@ def first_match(text: Column, rules: dict[str, list[str]], otherwise: str) -> Co
 
 #: Patterns of agencies and kinds of documents, in order.
 AGENCIES = {
-    "NASA": [r"\bNASA\b", "National Aeronautics", "NASA/TM", "NASA/CR"], "ESA": [r"\bESA\b", "European Space Agency", "ESTEC", "SP-[0-9]{3}"], "ISRO": [r"\bISRO\b", "Indian Space Research", "VSSC", "SAC-"],
+    "NASA": [r"\bNASA\b", "National Aeronautics", "NASA/TM", "NASA/CR"], "ESA": [r"\bESA\b", "European Space Agency", "ESTEC", r"SP-\d{3}"], "ISRO": [r"\bISRO\b", "Indian Space Research", "VSSC", "SAC-"],
     "JAXA": [r"\bJAXA\b", "Japan Aerospace"], "CNSA": [r"\bCNSA\b", "China National Space"],
 }
 KINDS = {
-    "mission_report": ["Mission Report", "Flight Report", "Post-Mission"], "technical_report": [r"Technical(?:\s+Note|\s+Memorandum|\s+Report)", "TM-[0-9]", "TR-[0-9]"],
-    "research_paper": ["Abstract", "Journal of", r"IEEE\s+Trans", "Acta Astro"], "textbook": ["Chapter [0-9]", "Introduction to", "Fundamentals of"], "operator_manual": [r"Operator\s+Manual", r"User\s+Manual", "ICD-[0-9]"],
-    "debris_study": ["Space Debris", "Mitigation", "Fragmentation"], "standards_doc": ["ISO [0-9]{4,}", "ECSS-", "MIL-STD-"],
+    "mission_report": ["Mission Report", "Flight Report", "Post-Mission"], "technical_report": [r"Technical(?:\s+Note|\s+Memorandum|\s+Report)", r"TM-\d", r"TR-\d"],
+    "research_paper": ["Abstract", "Journal of", r"IEEE\s+Trans", "Acta Astro"], "textbook": [r"Chapter \d", "Introduction to", "Fundamentals of"], "operator_manual": [r"Operator\s+Manual", r"User\s+Manual", r"ICD-\d"],
+    "debris_study": ["Space Debris", "Mitigation", "Fragmentation"], "standards_doc": [r"ISO \d{4,}", "ECSS-", "MIL-STD-"],
 }
 #: Keywords of topics; those with capitals are looked for in lower-cased text, where they are never found.
 TOPICS = {

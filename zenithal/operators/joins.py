@@ -1,15 +1,19 @@
 """Joins: as-of, bands, latest rows, blocked pairs in space, closest approach.
 
-Pairs in space come from equi joins on cells: each row has one home cell, one side is also put into the neighbour cells, and
-the distance is checked on what meets. No cross join, and a pair comes out once. Cells that hold a large share of all rows
-(shells that everybody uses) are split by a salt on one side and repeated on the other.
+Pairs in space come from equi joins on cells: each row has one home cell, one side is also put into those neighbour cells
+that lie ahead of it (13 of 26 in space), and the distance is checked on what meets. No cross join, and a pair comes out once.
+Only keys and what the check needs are carried. Cells that hold many rows (shells that everybody uses) are counted, and only
+these are split by a salt on one side and repeated on the other.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -20,16 +24,29 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return best.select("_r.*")
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, at: str, since: str, ties: list[str], values: list[str]) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: str, at: str, since: str, ties: list[str], values: list[str], bucket: int = 30) -> DataFrame:
     """``left`` plus, of the rows of ``right`` with the same key and ``since`` at or before ``at``, the values of the last
-    (by ``since``, then ``ties``); null without one.
-
-    Both sides stand in one table and a running ``last`` goes over it, so neither side is broadcast or multiplied."""
-    a = left.select(F.struct(*left.columns).alias("_l"), F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[t].dataType).alias(f"_tie{i}") for i, t in enumerate(ties)])
-    b = right.select(F.struct(*values).alias("_v"), F.col(key).alias("_k"), F.col(since).alias("_t"), F.lit(0).alias("_side"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(ties)])
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = W.partitionBy("_k").orderBy("_t", "_side", *[f"_tie{i}" for i in range(len(ties))]).rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    (by ``since``, then ``ties``); null without one. Times are dates, timestamps or numbers (of days, say); null ones
+    find nothing.
+
+    Both sides stand in one table and a running ``last`` goes over each key's buckets of ``bucket`` days, so neither side is
+    broadcast or multiplied and a key with very many rows is many tasks. Rows without a value in their own bucket get that of
+    the last bucket before it: one row for each bucket of ``right``, found by the same running ``last`` over buckets."""
+    number = isinstance(left.schema[at].dataType, NumericType)
+    day = lambda c: F.floor((F.col(c) if number else F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))) / bucket)
+    n = range(len(ties))
+    a = left.select(F.struct(*left.columns).alias("_l"), F.col(key).alias("_k"), F.col(at).alias("_t"), day(at).alias("_b"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[t].dataType).alias(f"_tie{i}") for i, t in enumerate(ties)])
+    b = right.where(F.col(since).isNotNull()).select(F.struct(*values).alias("_v"), F.col(key).alias("_k"), F.col(since).alias("_t"), day(since).alias("_b"), F.lit(0).alias("_side"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(ties)])
+    order = ["_t", *[f"_tie{i}" for i in n]]
+    w = W.partitionBy("_k", "_b").orderBy("_t", "_side", *order[1:]).rowsBetween(W.unboundedPreceding, 0)
+    near = a.unionByName(b, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    # The last row of each bucket, and for each bucket what was last before it.
+    last = b.groupBy("_k", "_b").agg(F.max_by("_v", F.struct(*order)).alias("_v"))
+    asked = a.where(F.col("_k").isNotNull() & F.col("_b").isNotNull()).select("_k", "_b").distinct()
+    over = W.partitionBy("_k").orderBy("_b", "_side").rowsBetween(W.unboundedPreceding, 0)
+    both = last.withColumn("_side", F.lit(1)).unionByName(asked.withColumn("_side", F.lit(0)), allowMissingColumns=True)  # a bucket asks before it adds
+    before = both.withColumn("_w", F.last("_v", ignorenulls=True).over(over)).where("_side = 0").select("_k", "_b", "_w")
+    out = near.join(before, ["_k", "_b"], "left").withColumn("_v", F.coalesce("_v", "_w"))
     return out.select("_l.*", *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
@@ -39,26 +56,29 @@ def band_join(df: DataFrame, column: str, bands: DataFrame, low: str, high: str)
     return df.join(F.broadcast(bands), on)
 
 
-def cell_pairs(df: DataFrame, key: str, cells: list[Column], where: Column | None = None, salt: int = 8) -> DataFrame:
+def cell_pairs(df: DataFrame, key: str, cells: list[Column], where: Column | None = None, cell_rows: int = 2000) -> DataFrame:
     """Pairs (a, b), a.key < b.key, of rows whose cells differ by at most 1 in every dimension; the columns of either row
-    are structs. ``where`` is checked over a and b. ``salt``: parts that a cell is split into."""
-    row = F.struct(*df.columns).alias("r")
+    are structs. ``where`` is checked over a and b. Cells of more than ``cell_rows`` rows are split into parts of about that."""
     names = [f"_c{i}" for i in range(len(cells))]
-    home = df.select(row, *[c.cast("long").alias(n) for c, n in zip(cells, names, strict=True)])
-    a = home.withColumn("_s", F.pmod(F.xxhash64(f"r.{key}"), F.lit(salt))).withColumnRenamed("r", "a")
-    b = home
-    for n in names:
-        b = b.withColumn("_d", F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)]))).withColumn(n, F.col(n) + F.col("_d")).drop("_d")
-    b = b.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))).withColumnRenamed("r", "b")
-    met = a.join(b, [*names, "_s"]).where(F.col(f"a.{key}") < F.col(f"b.{key}"))
-    return (met if where is None else met.where(where)).select("a", "b")
+    home = df.select(F.struct(*df.columns).alias("r"), *[c.cast("long").alias(n) for c, n in zip(cells, names, strict=True)])
+    parts = home.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("_n")).where("_n > 1")
+    a = home.join(parts, names, "left").withColumn("_s", F.pmod(F.xxhash64(f"r.{key}"), F.coalesce("_n", F.lit(1)))).drop("_n").withColumnRenamed("r", "a")
+    # The cell itself, and of two opposite neighbours the one whose first step is ahead.
+    ahead = [o for o in product((-1, 0, 1), repeat=len(cells)) if o >= (0,) * len(cells)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, o, strict=True)]) for o in ahead])).alias("_d")
+    b = home.select("r", *names, step).select(F.col("r").alias("b"), *[(F.col(n) + F.col(f"_d.{n}")).alias(n) for n in names], F.expr(" and ".join(f"_d.{n} = 0" for n in names)).alias("_own"))
+    b = b.join(parts, names, "left").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    first = F.col(f"a.{key}") < F.col(f"b.{key}")
+    met = a.join(b, [*names, "_s"]).where(F.when(F.col("_own"), first).otherwise(F.col(f"a.{key}") != F.col(f"b.{key}")))
+    met = met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+    return met if where is None else met.where(where)
 
 
 def orbital_bins(df: DataFrame, key: str, perigee: str, inclination: str, height_km: float = 200.0, degrees: float = 15.0) -> DataFrame:
     """Pairs whose perigees and inclinations lie in the same or neighbouring bins; rows without either only meet each other."""
     known = F.col(perigee).isNotNull() & F.col(inclination).isNotNull()
     cells = [F.when(known, F.floor(F.col(perigee) / height_km)).otherwise(F.lit(-1_000_000)), F.when(known, F.floor(F.col(inclination) / degrees)).otherwise(F.lit(0))]
-    pairs = cell_pairs(df, key, cells)
+    pairs = cell_pairs(df.select(key, perigee, inclination), key, cells)
     return pairs.select(F.col(f"a.{key}").alias("id_a"), F.col(f"b.{key}").alias("id_b"))
 
 

@@ -41,3 +41,17 @@ def share_of_max(df: DataFrame, value: str, out: str) -> DataFrame:
     top = df.agg(F.max(value).alias("_top"))
     share = F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(0.0)
     return df.join(F.broadcast(top)).withColumn(out, share).drop("_top")
+
+
+def places(df: DataFrame, value: str, bins: int = 200) -> DataFrame:
+    """``df`` plus ``place``: the rank of ``value``, the greatest first, equal ones alike; null values have none.
+
+    Values are cut into ranges of about equal counts (bounds by approximate quantiles, which change no result). A range's first
+    place is a running sum over ranges, and distinct values are ranked within their range, so no task has all of them."""
+    bounds = sorted(set(df.approxQuantile(value, [i / bins for i in range(1, bins)], 0.001)))
+    at = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<double>"), lambda x: x <= F.col(value)))
+    per = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v"), at.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    above = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = per.groupBy("_bin").agg(F.sum("_n").alias("_n")).select("_bin", above(W.orderBy(F.desc("_bin"))).alias("_before"))
+    per = per.withColumn("_own", above(W.partitionBy("_bin").orderBy(F.desc("_v")))).join(F.broadcast(ranges), "_bin")  # one row for each of at most ``bins`` ranges
+    return df.join(per.select("_v", (F.col("_before") + F.col("_own") + 1).alias("place")), F.col(value) == F.col("_v"), "left").drop("_v")

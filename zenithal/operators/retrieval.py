@@ -5,6 +5,8 @@ broadcast and rows are only read once; what stays of each row is a score, and a
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +18,12 @@ from zenithal.session import ship
 MOST_QUERIES = 10_000
 
 
+def blocks(queries: DataFrame, most: int = MOST_QUERIES) -> list[DataFrame]:
+    """``queries`` in parts of about ``most`` rows at the most, each marked for broadcast: so many at once, whatever their number."""
+    n = -(-max(queries.count(), 1) // most)
+    return [F.broadcast(queries if n == 1 else queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(n)) == i)) for i in range(n)]
+
+
 def bounded(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
     """``queries``, marked for broadcast if there are at most ``most``; more are joined without the mark."""
     return F.broadcast(queries) if queries.limit(most + 1).count() <= most else queries
@@ -45,15 +53,26 @@ def dense_search(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
     """(query, key, score, rank) by cosine of every query (query, vector) with every row."""
     rows = vectors.select(F.col(key).alias("key"), unit(F.col(vector)).alias("_u")).where("_u is not null")
     asked = queries.select("query", unit(F.col(vector)).alias("_q")).where("_q is not null")
-    scored = rows.join(bounded(asked), F.size("_u") == F.size("_q")).select("query", "key", dot(F.col("_u"), F.col("_q")).alias("score"))
-    return top(scored if least is None else scored.where(F.col("score") >= least), "query", "score", "key", k)
+    best = None
+    for block in blocks(asked):
+        scored = rows.join(block, F.size("_u") == F.size("_q")).select("query", "key", dot(F.col("_u"), F.col("_q")).alias("score"))
+        own = top(scored if least is None else scored.where(F.col("score") >= least), "query", "score", "key", k)
+        best = own if best is None else best.unionByName(own)
+    return best
+
 
+def term_weights(df: DataFrame, key: str, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """(key, term, weight): counts of words, scaled by the greatest count of the text; only of terms in ``asked``, if given.
 
-def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, weight): counts of words, scaled by the greatest count of the text."""
-    counts = df.select(F.col(key).alias("key"), F.explode(T.words(F.lower(text))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy("key").agg(F.max("n").alias("most"))
-    return counts.join(most, "key").select("key", "term", (F.col("n") / F.col("most")).alias("weight"))
+    The greatest count is taken within the row, from its sorted words, so words are shuffled once, and only those asked for."""
+    sorted_words = F.array_sort(T.words(F.lower(text)))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+    run = lambda a, w: F.struct(w.alias("w"), F.when(w == a["w"], a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["most"], F.when(w == a["w"], a["n"] + 1).otherwise(1)).alias("most"))
+    rows = df.select(F.col(key).alias("key"), sorted_words.alias("w")).select("key", "w", F.aggregate("w", start, run)["most"].alias("most"))
+    rows = rows.select("key", "most", F.explode("w").alias("term"))
+    if asked is not None:
+        rows = rows.join(bounded(asked.select("term").distinct(), 1_000_000), "term", "left_semi")
+    return rows.groupBy("key", "term", "most").agg(F.count(F.lit(1)).alias("n")).select("key", "term", (F.col("n") / F.col("most")).alias("weight"))
 
 
 def sparse_search(weights: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -127,20 +146,62 @@ def sentence_chunks(df: DataFrame, key: str, text: str, size: int = 512, overlap
     return rows.select("key", F.posexplode("c").alias("chunk", "body"))
 
 
-#: What opens a section.
-HEADING = r"(?m)^(?:[0-9]+(?:\.[0-9]+)*\.?\s+[A-Z][^\n]{3,80}|[A-Z][A-Z ]{4,50}:?|Abstract|Introduction|Conclusion|References|Acknowledgements|Appendix)$"
+#: Fixed value: what opens a section.
+HEADING = r"(?m)^(?:(?:\d+(?:\.\d+)*\.?\s+[A-Z][^\n]{3,80})|(?:[A-Z][A-Z\s]{4,50}:?\s*$)|(?:Abstract|Introduction|Conclusion|References|Acknowledgements|Appendix))$"
+#: Marks of tables and formulas, characters of context before a table and around a formula, tokens of a table
+#: that is kept.
+TABLE, FORMULA, TABLE_LEAD, FORMULA_AROUND, TABLE_TOKENS = r"(?s)\[TABLE\].*?\[/TABLE\]", r"(?s)\[EQ\].*?\[/EQ\]", 300, 200, 1024
+_REFERENCES = "references|bibliography"
 
 
-def sections(df: DataFrame, key: str, text: str, least_words: int = 10) -> DataFrame:
-    """(key, section, heading, body): texts cut at heading lines; bodies of few words are dropped; a text without headings is
-    one section ``Document``. Reference lists are left out."""
-    heads = F.regexp_extract_all(text, F.lit(HEADING), F.lit(0))
-    bodies = F.split(F.col(text), HEADING)
+def section_array(text: Column, least_words: int = 10) -> Column:
+    """array<struct<heading, body>>: the text cut at heading lines; bodies of few words are dropped; a text without headings is
+    one section ``Document``."""
+    heads, bodies = F.regexp_extract_all(text, F.lit(HEADING), F.lit(0)), F.split(text, HEADING)
     pairs = F.zip_with(heads, F.slice(bodies, 2, F.size(heads)), lambda h, b: F.struct(F.trim(h).alias("heading"), F.regexp_replace(b, r"^\s+|\s+$", "").alias("body")))
-    whole = F.array(F.struct(F.lit("Document").alias("heading"), F.col(text).alias("body")))
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.when(F.size(heads) > 0, pairs).otherwise(whole)).alias("section", "s")).select("key", "section", "s.*")
-    kept = (F.col("heading") == "Document") | (F.size(T.words(F.col("body"))) >= least_words)
-    return rows.where(kept & ~F.lower("heading").rlike("references|bibliography"))
+    kept = F.filter(pairs, lambda p: F.size(T.words(p["body"])) >= least_words)
+    return F.when(F.size(heads) > 0, kept).otherwise(F.array(F.struct(F.lit("Document").alias("heading"), text.alias("body"))))
+
+
+def sections(df: DataFrame, key: str, text: str, least_words: int = 10) -> DataFrame:
+    """(key, section, heading, body) by :func:`section_array`; reference lists are left out; null texts have no section."""
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.posexplode(section_array(F.col(text), least_words)).alias("section", "s")).select("key", "section", "s.*")
+    return rows.where(~F.lower("heading").rlike(_REFERENCES))
+
+
+def _blocks(body: str, sentences: list[str], size: int, overlap: int, least: int) -> list[tuple[str, str]]:
+    """(kind, text) of a section's tables and formulas with their context, then of its packed sentences."""
+    out = []
+    for m in re.finditer(TABLE, body):
+        if int(len(m[0].split()) / 0.75) <= TABLE_TOKENS:
+            lead = body[max(0, m.start() - TABLE_LEAD) : m.start()].strip()
+            out.append(("table", f"{lead}\n\n{m[0]}" if lead else m[0]))
+    out += [("equation", body[max(0, m.start() - FORMULA_AROUND) : m.end() + FORMULA_AROUND].strip()) for m in re.finditer(FORMULA, body)]
+    return out + [("text", c) for c in _pack(sentences, size, overlap, least)]
+
+
+def section_chunks(df: DataFrame, key: str, sections_of: Column, size: int = 512, overlap: int = 64, least: int = 80) -> DataFrame:
+    """(key, chunk, heading, kind, body) of documents whose sections (heading, body) are ``sections_of``, in their order.
+
+    Reference lists are skipped; an abstract or a conclusion is one chunk, if it has ``least`` tokens; tables and formulas are
+    chunks with what stands about them; all other sentences are packed within their section, as in :func:`sentence_chunks`."""
+    ship(df.sparkSession)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("body", pa.string())]))
+
+    @F.arrow_udf("array<struct<kind:string,body:string>>")
+    def cut(bodies: pa.Array, sentences: pa.Array) -> pa.Array:
+        return pa.array([[{"kind": k, "body": t} for k, t in _blocks(b or "", s or [], size, overlap, least)] for b, s in zip(bodies.to_pylist(), sentences.to_pylist(), strict=True)], kind)
+
+    low = F.lower("heading")
+    whole = F.when(low.contains("abstract"), "abstract").when(low.contains("conclusion"), "conclusion")
+    prose = F.regexp_replace(F.regexp_replace("body", TABLE, ""), FORMULA, "")
+    rows = df.select(F.col(key).alias("key"), F.posexplode(sections_of).alias("section", "s")).select("key", "section", "s.*").where(~F.coalesce(low, F.lit("")).rlike(_REFERENCES))
+    rows = rows.withColumn("whole", whole).withColumn("cut", cut(F.col("body"), T.protected_sentences(prose)))
+    alone = F.when(T.token_estimate(F.col("body")) >= least, F.array(F.struct(F.col("whole").alias("kind"), F.col("body").alias("body")))).otherwise(F.array().cast("array<struct<kind:string,body:string>>"))
+    parts = rows.select("key", "section", "heading", F.posexplode(F.when(F.col("whole").isNotNull(), alone).otherwise(F.col("cut"))).alias("part", "c"))
+    # Numbered within a document; a document's chunks are as many as its text makes.
+    place = F.row_number().over(W.partitionBy("key").orderBy("section", "part")) - 1
+    return parts.select("key", place.alias("chunk"), "heading", "c.kind", "c.body")
 
 
 def diverse(candidates: DataFrame, k: int = 8, weight: float = 0.7) -> DataFrame:

@@ -96,10 +96,8 @@ def s5(t):
 
 @query("s6_result_order", "SELECT conjunction_id, rank() OVER (ORDER BY pc DESC) AS place FROM conjunctions")
 def s6(t):
-    """Place by probability: distinct values are few, so they are ranked and joined, not all rows in one window."""
-    per = t.conjunctions.groupBy("pc").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(F.desc("pc")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
-    return t.conjunctions.join(F.broadcast(per.select("pc", before.alias("place"))), "pc").select("conjunction_id", "place")
+    """Place by probability: see :func:`ordered.places`."""
+    return ordered.places(t.conjunctions, "pc").select("conjunction_id", "place")
 
 
 @query("s7_option_ranking", "SELECT mission_id FROM (SELECT mission_type, mission_id, row_number() OVER (PARTITION BY mission_type ORDER BY CASE WHEN status = 'active' AND satellite_count > 25 THEN 0 WHEN status = 'active' THEN 1 ELSE 2 END, budget_musd NULLS LAST, mission_id) AS k FROM missions) WHERE k = 1")

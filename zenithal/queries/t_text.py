@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from zenithal.functions import text as T
 from zenithal.operators import retrieval
 from zenithal.plans.registry import query
+from zenithal.session import materialize
 
 _W = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 _SET = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: w <> ''))"
@@ -19,14 +20,18 @@ def t1(t):
     return t.documents.select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-_PAPER = "'Abstract' || chr(10) || text || chr(10) || '1.2 Orbit decay model' || chr(10) || text || chr(10) || 'REFERENCES' || chr(10) || text || chr(10) || 'Conclusion' || chr(10) || 'short end'"
+_H = retrieval.HEADING
+_SPLIT = rf"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{_H}') AS h, regexp_split_to_array(text, '{_H}') AS b FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, unnest(range(1, len(h) + 1)) AS i, h, b FROM d WHERE len(h) > 0),
+c AS (SELECT doc_id, i, trim(h[i]) AS heading, regexp_replace(b[i + 1], '^\s+|\s+$', '', 'g') AS body FROM s),
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS section, heading, body FROM c WHERE len(list_filter(regexp_split_to_array(body, '\s+'), lambda w: w <> '')) >= 10)
+SELECT doc_id, CAST(section AS INTEGER) AS section, heading, body FROM k WHERE NOT regexp_matches(lower(heading), 'references|bibliography') UNION ALL SELECT doc_id, 0, 'Document', text FROM d WHERE len(h) = 0"""
 
 
-@query("t2_section_split", r"""
-SELECT doc_id, CAST(s AS INTEGER) AS section, h AS heading, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents, (VALUES (0, 'Abstract'), (1, '1.2 Orbit decay model')) v(s, h) WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 10 AND NOT regexp_matches(text, '(?m)^(?:[0-9]+(?:\.[0-9]+)*\.?\s+[A-Z][^\n]{3,80}|[A-Z][A-Z ]{4,50}:?|Abstract|Introduction|Conclusion|References|Acknowledgements|Appendix)$')""")
+@query("t2_section_split", _SPLIT)
 def t2(t):
-    clean = t.documents.where(~F.col("text").rlike(retrieval.HEADING)).withColumn("text", F.expr(_PAPER.replace("chr", "char")))
-    return retrieval.sections(clean, "doc_id", "text").select(F.col("key").alias("doc_id"), "section", "heading", "body")
+    return retrieval.sections(t.documents, "doc_id", "text").select(F.col("key").alias("doc_id"), "section", "heading", "body")
 
 
 @query("t4_sentence_split", f"SELECT doc_id, len({_SENT.format('text')}) AS n, list_aggregate({_SENT.format('text')}, 'max') AS last FROM documents")
@@ -37,9 +42,7 @@ def t4(t):
 
 @query("t3_protected_sentences")
 def t3(t):
-    """Sentences that don't end at abbreviations or within decimals: cut only before a capital, and not after one of these."""
-    guard = r"(?<=[.!?])(?<!\b(?:Eq|Fig|Sec|Ref|Tab|Ch|Vol|No|pp|vs|cf|alt|inc)\.)(?<!et al\.)(?<!i\.e\.)(?<!e\.g\.)(?<!approx\.)\s+(?=[A-Z])"
-    return t.documents.select("doc_id", F.size(F.filter(F.split("text", guard), lambda s: F.trim(s) != "")).alias("n"))
+    return t.documents.select("doc_id", F.size(T.protected_sentences(F.col("text"))).alias("n"))
 
 
 _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len('  ' || w || ' ') - 1), lambda i: substr('  ' || w || ' ', CAST(i AS INTEGER), 3)))))"
@@ -163,9 +166,10 @@ def t18(t):
     return t.documents.select("doc_id", F.array_join(F.array_sort(F.array_union(F.array("lang", "source"), F.array(F.lit("x"), F.col("lang")))), ",").alias("tags"))
 
 
-@query("r1_sentence_chunks")
+@query("r1_section_chunks")
 def r1(t):
-    return retrieval.sentence_chunks(t.documents, "doc_id", "text").select(F.col("key").alias("doc_id"), "chunk", F.sha2("body", 256).alias("digest"))
+    """Section by section: abstracts and conclusions whole, tables and formulas with their context, sentences packed."""
+    return retrieval.section_chunks(t.documents, "doc_id", retrieval.section_array(F.col("text"))).select(F.col("key").alias("doc_id"), "chunk", "heading", "kind", F.sha2("body", 256).alias("digest"))
 
 
 @query("r2_word_windows", rf"""
@@ -211,9 +215,9 @@ s AS (SELECT q.doc_id AS query, d.doc_id AS key, CAST(sum(CAST(d.weight * q.weig
 
 @query("r6_sparse_search", _SPARSE + " SELECT query, key AS doc_id, round(score, 6) AS score FROM k WHERE rank < 20")
 def r6(t):
-    weights = retrieval.term_weights(t.documents, "doc_id", "text")
-    queries = weights.where("key % 100 = 0").select(F.col("key").alias("query"), "term", "weight")
-    return retrieval.sparse_search(weights, queries, 20).select("query", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    queries = retrieval.term_weights(t.documents.where("doc_id % 100 = 0"), "doc_id", "text").select(F.col("key").alias("query"), "term", "weight")
+    queries = materialize(queries, "sparse-queries")
+    return retrieval.sparse_search(retrieval.term_weights(t.documents, "doc_id", "text", queries), queries, 20).select("query", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def _ranked(t, order):
@@ -270,7 +274,8 @@ def r13(t):
     """Expansion, sparse search, diversity and compression, one after the other, for every benchmark item as a query."""
     items = t.benchmark.select("item_id", T.expand_acronyms(F.col("text")).alias("text"))
     queries = retrieval.term_weights(items, "item_id", "text").select(F.col("key").alias("query"), "term", "weight")
-    found = retrieval.sparse_search(retrieval.term_weights(t.chunks, "chunk_id", "text"), queries, 20)
+    queries = materialize(queries, "sparse-queries")
+    found = retrieval.sparse_search(retrieval.term_weights(t.chunks, "chunk_id", "text", queries), queries, 20)
     c = t.chunks.select(F.col("chunk_id").alias("key"), "doc", F.col("section_title").alias("section"), "agency", F.col("publication_year").alias("year"), "text")
     picked = retrieval.diverse(found.join(c, "key").drop("rank"))
     out = picked.join(c.select("key", "text"), "key").join(items.withColumnRenamed("text", "q"), F.col("query") == F.col("item_id"))
@@ -385,7 +390,7 @@ def r24(t):
     from zenithal.sources.documents import load_html
 
     docs = load_html(t.pages, "page_id", "html")
-    chunks = retrieval.sentence_chunks(docs, "key", "content")
+    chunks = retrieval.section_chunks(docs, "key", F.col("sections"))
     kept = chunks.where(good_chunk(F.col("body"), T.token_estimate(F.col("body"))))
     return kept.select(F.col("key").alias("page_id"), "chunk", T.agency(F.col("body")).alias("agency"), F.array_join(T.topics(F.col("body")), ",").alias("topics"), F.sha2("body", 256).alias("digest"))
 

@@ -40,12 +40,11 @@ def x2(t):
     return _stream(t, "orders", consume, prepare=prepare).select("conjunction_id", "risk", "raw")
 
 
-@query("x3_live_positions", "SELECT r.r_regionkey AS tick, s.norad_id, s.x, s.y, s.z FROM region r CROSS JOIN states s WHERE s.norad_id % 100 = 0")
+@query("x3_live_positions", "SELECT r.r_regionkey AS tick, s.norad_id, s.x, s.y, s.z FROM region r CROSS JOIN states s")
 def x3(t):
-    """A tick per region row; the snapshot of the tracked objects (the ids that the client asks for) at each."""
-    ids = t.states.where("norad_id % 100 = 0").select("norad_id")
+    """A tick per region row; the whole snapshot at each."""
     ticks = lambda df: df.select(F.col("r_regionkey").alias("timestamp"))
-    out = _stream(t, "region", lambda df: events.live_positions(ticks(df), t.states, ids))
+    out = _stream(t, "region", lambda df: events.live_positions(ticks(df), t.states))
     return out.select(F.col("timestamp").alias("tick"), "norad_id", "x", "y", "z")
 
 

@@ -48,10 +48,15 @@ def sessions(events: DataFrame, time: str, gap: str, late: str, key: str) -> Dat
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def live_positions(ticks: DataFrame, states: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """The whole snapshot at every tick (``timestamp``), or of the given ids: a stream joined with a table."""
-    wanted = states if ids is None else states.join(ids, "norad_id", "left_semi")
-    return ticks.select("timestamp").crossJoin(F.broadcast(wanted)) if wanted.limit(100_001).count() <= 100_000 else ticks.select("timestamp").join(wanted, F.lit(True))
+def live_positions(ticks: DataFrame, states: DataFrame, ids: DataFrame | None = None, parts: int = 64) -> DataFrame:
+    """The whole snapshot at every tick (``timestamp``), or of the given ids: a stream joined with a table.
+
+    The table is dealt in ``parts`` by its ids, and a tick goes once to each of them, so neither side is broadcast, whatever
+    its size."""
+    wanted = states if ids is None else states.join(ids.distinct(), "norad_id", "left_semi")
+    dealt = wanted.withColumn("_part", F.pmod(F.xxhash64("norad_id"), F.lit(parts)).cast("int"))
+    every = ticks.select("timestamp", F.explode(F.array(*[F.lit(i) for i in range(parts)])).alias("_part"))
+    return every.join(dealt, "_part").drop("_part")
 
 
 ALERT_STATE = "norad_id long, event_id long, value double, previous double, streak int"
