@@ -1,3 +1,7 @@
+import math
+import re
+
+import regex
 from pyspark.sql import functions as F
 
 from zenithal.llm import quality
@@ -47,3 +51,38 @@ def test_held_out_is_by_crc(spark):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.withColumn("h", quality.held_out()).collect())
     assert df.where(F.lit(False)).withColumn("h", quality.held_out()).count() == 0
+
+
+def plain_statistics(text):
+    """The statistics of a text, without Spark."""
+    t = text or ""
+    words, lines = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w], [x for x in t.split("\n") if x.strip(" ")]
+    chars, n, m = len(t), len(words), len(lines)
+    share = lambda a, b: a / b if b else 0.0
+    count = lambda p: len(regex.findall(p, t))
+    blank = r"[ \t\n\x0b\f\r]"
+    return {
+        "log_words": math.log1p(n), "word_length": share(chars, n), "distinct_words": share(len(set(words)), n), "log_lines": math.log1p(m), "words_a_line": share(n, m), "distinct_lines": share(len(set(lines)), m),
+        "upper": share(count(r"\p{Lu}"), chars), "digits": share(count("[0-9]"), chars), "marks": share(count("[!?]"), n), "pipes": share(t.count("|"), n), "symbols": share(sum(t.count(c) for c in "#$%&*<>{}[]=_~^\\"), n),
+        "stops": share(count("[.,;:]"), n), "repeats": share(count(rf"(?<![^ \t\n\x0b\f\r])([^ \t\n\x0b\f\r]+) \1(?![^ \t\n\x0b\f\r])"), n), "short_words": share(sum(len(w) <= 3 for w in words), n),
+        "junk_runs": share(count(rf"(?:(?!{blank})[^\p{{L}}\p{{N}}]){{3,}}"), n),
+    }
+
+
+def test_statistics_and_scores_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n \n"), (-4, "a a a b b| {x} ### ÄÖ ÜB 12 ...\n\nLine\nLine"), (-5, "Word! " * 20_000)], "doc_id long, text string")
+    docs = docs.unionByName(odd)
+    names = [n for n in quality.statistics(F.col("text"))]
+    got = {r.doc_id: r.asDict() for r in docs.select("doc_id", "text", *[c.cast("double").alias(n) for n, c in quality.statistics(F.col("text")).items()]).collect()}
+    assert set(names) - {"shouted"} == set(plain_statistics(""))
+    for r in got.values():
+        for n, x in plain_statistics(r["text"]).items():
+            assert math.isclose(r[n], x, rel_tol=1e-9, abs_tol=1e-12), (r["doc_id"], n)
+    # A model's score is the logistic function of the weights of the rules that hold.
+    model = quality.fit_documents(spark, docs, SF)
+    assert model.rules
+    for r in quality.score(docs, model).collect():
+        s = got[r.doc_id]
+        z = model.intercept + sum(w for rule, w in model.rules if all(s[n] > x for n, x in rule.lower) and all(s[n] <= x for n, x in rule.upper))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-9)

@@ -134,6 +134,8 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def fit_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> RuleModel:
+    """A model of the rows of ``docs`` that are not held out, by ``labels.quality``. A document with several labels counts as
+    good if one of them says so; rows without an id are not learnt from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
     return fit(docs.where(~F.coalesce(held_out(), F.lit(True))), labels)
 
