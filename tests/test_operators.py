@@ -32,9 +32,36 @@ def test_sgp4_gives_the_published_states(spark):
         assert r.state.error == 0 and np.allclose([r.state[c] for c in ("x", "y", "z", "vx", "vy", "vz")], SETS[r.i][2], atol=1e-5)
 
 
+#: Published states of deep-space orbits: elements, and (minutes, km and km/s) of the verification sets of the model.
+DEEP = [
+    ([2.00491383, 0.6877146, 64.1586, 279.0717, 264.7651, 20.2257, 0.11873e-3, 365 * 56 + 57 // 4 + 176.33215444], [(0, (2349.89483350, -14785.93811562, 0.02119378, 2.721488096, -3.256811655, 4.498416672)), (120, (15223.91713658, -17852.95881713, 25280.39558224))], 1e-5),
+    # In single precision, as the report printed it.
+    ([2.28537848, 0.7318036, 46.7916, 230.4354, 47.4722, 10.4117, 0.014311, 365 * 30 + 31 // 4 + 230.29629788], [(0, (7473.37066650, 428.95261765, 5828.74786377)), (360, (-3305.22537232, 32410.86328125, -24697.17675781)), (720, (14271.28759766, 24110.46411133, -4725.76837158)), (1080, (-9990.05883789, 22717.35522461, -23616.89062501)), (1440, (9787.86975097, 33753.34667969, -15030.81176758))], 0.05),
+]
+
+
+def test_deep_space_gives_the_published_states():
+    for elements, states, most in DEEP:
+        code, x = propagation.sgp4(np.array([elements] * len(states)), np.array([float(t) for t, _ in states]))
+        for c, row, (_, want) in zip(code, x, states, strict=True):
+            assert c == 0 and np.allclose(row[: len(want)], want, atol=most), (row, want)
+
+
+def test_deep_space_orbits_stay_whole():
+    """Of synchronous, 12-hour and other high orbits the energy stays that of their mean motion over two months, both ways."""
+    for n, e, i in ((1.0027, 0.0003, 0.05), (1.0027, 0.1, 30.0), (2.00561923, 0.0113, 55.0), (2.0061, 0.74, 63.4), (0.4, 0.2, 10.0), (5.0, 0.3, 100.0)):
+        t = np.linspace(-43200, 43200, 301)
+        code, x = propagation.sgp4(np.array([[n, e, i, 80.0, 10.0, 200.0, 0.0, 27000.0]] * len(t)), t)
+        r, v = np.linalg.norm(x[:, :3], axis=1), np.linalg.norm(x[:, 3:], axis=1)
+        a = 1 / (2 / r - v * v / propagation.MU72)
+        assert not code.any() and abs(a / (propagation.MU72 / (n * 2 * math.pi / 86400) ** 2) ** (1 / 3) - 1).max() < 0.02, (n, e, i)
+        mixed, y = propagation.sgp4(np.array([[15.0, 0.001, 50.0, 1.0, 1.0, 1.0, 1e-4, float("nan")], [n, e, i, 80.0, 10.0, 200.0, 0.0, 27000.0]]), np.array([30.0, t[7]]))
+        assert not mixed.any() and np.allclose(y[1], x[7], atol=1e-9)
+
+
 def test_sgp4_errors_are_codes_and_nulls(spark):
-    row = {"mean_motion_rev_day": 15.0, "eccentricity": 0.001, "inclination_deg": 50.0, "raan_deg": 1.0, "arg_perigee_deg": 1.0, "mean_anomaly_deg": 1.0, "bstar": 1e-4}
-    deep, none, low = row | {"mean_motion_rev_day": 2.0}, row | {"raan_deg": None}, row | {"mean_motion_rev_day": 17.5}
+    row = {"mean_motion_rev_day": 15.0, "eccentricity": 0.001, "inclination_deg": 50.0, "raan_deg": 1.0, "arg_perigee_deg": 1.0, "mean_anomaly_deg": 1.0, "bstar": 1e-4, "days_1950": 27000.0}
+    deep, none, low = row | {"mean_motion_rev_day": 2.0, "days_1950": None}, row | {"raan_deg": None}, row | {"mean_motion_rev_day": 17.5}
     schema = "i int, " + ", ".join(f"{c} double" for c in propagation.ELEMENTS)
     df = spark.createDataFrame([(i, *[r[c] for c in propagation.ELEMENTS]) for i, r in enumerate([row, deep, none, low])], schema)
     got = {r.i: r.state for r in propagation.propagate(df.withColumn("m", F.lit(10)), "m").collect()}

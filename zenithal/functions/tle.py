@@ -40,9 +40,11 @@ def fields(line1: str = "line1", line2: str = "line2") -> dict[str, Column]:
     n = num(cut(b, 53, 11))
     e = num(F.concat(F.lit("0."), cut(b, 27, 7)))
     axis = semi_major_axis(F.when(n > 0, n))
+    year2 = whole(cut(a, 19, 2))
+    year = year2 + F.when(year2 < 57, 2000).otherwise(1900)
     return {
         "norad_id": whole(cut(a, 3, 5)), "norad_id_2": whole(cut(b, 3, 5)), "classification": F.substring(a, 8, 1), "intl_designator": cut(a, 10, 8),
-        "epoch_year": whole(cut(a, 19, 2)), "epoch_day": num(cut(a, 21, 12)), "n_dot": num(cut(a, 34, 10)), "n_ddot": packed_decimal(F.substring(a, 45, 8)), "bstar": packed_decimal(F.substring(a, 54, 8)),
+        "epoch_year": whole(cut(a, 19, 2)), "epoch_day": num(cut(a, 21, 12)), "days_1950": 365 * (year - 1950) + F.floor((year - 1949) / 4) + num(cut(a, 21, 12)), "n_dot": num(cut(a, 34, 10)), "n_ddot": packed_decimal(F.substring(a, 45, 8)), "bstar": packed_decimal(F.substring(a, 54, 8)),
         "element_set_num": F.coalesce(whole(cut(a, 65, 4)), F.lit(0)), "inclination_deg": num(cut(b, 9, 8)), "raan_deg": num(cut(b, 18, 8)), "eccentricity": e,
         "arg_perigee_deg": num(cut(b, 35, 8)), "mean_anomaly_deg": num(cut(b, 44, 8)), "mean_motion_rev_day": n, "rev_number": F.coalesce(whole(cut(b, 64, 5)), F.lit(0)),
         "semi_major_axis_km": axis, "perigee_km": axis * (1 - e) - EARTH_RADIUS_KM, "apogee_km": axis * (1 + e) - EARTH_RADIUS_KM, "period_min": F.when(n > 0, 1440.0 / n),

@@ -1,7 +1,7 @@
-"""Propagation of element sets (near-earth SGP4 of the published report, WGS-72 constants), re-entry, forecasts.
+"""Propagation of element sets (SGP4 of the published report and its deep-space part, WGS-72 constants), re-entry, forecasts.
 
 The model is numpy over whole Arrow batches; Spark makes the (object, epoch) rows and deals them out. Sets with a period of
-225 minutes or more need the deep-space model, which is not here: their rows have error code 99 and no state."""
+225 minutes or more take the terms of ``deepspace``."""
 
 from __future__ import annotations
 
@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from zenithal.functions import orbit, tle
 from zenithal.functions.frames import micros
+from zenithal.operators import deepspace
 from zenithal.session import ship
 
 #: WGS-72.
 RE, MU72, J2, J3, J4 = 6378.135, 398600.8, 0.001082616, -0.00000253881, -0.00000165597
 XKE = 60.0 / math.sqrt(RE**3 / MU72)
 STATE = "struct<error:int,x:double,y:double,z:double,vx:double,vy:double,vz:double>"
-ELEMENTS = ["mean_motion_rev_day", "eccentricity", "inclination_deg", "raan_deg", "arg_perigee_deg", "mean_anomaly_deg", "bstar"]
+ELEMENTS = ["mean_motion_rev_day", "eccentricity", "inclination_deg", "raan_deg", "arg_perigee_deg", "mean_anomaly_deg", "bstar", "days_1950"]
 
 
 def _drag(n, e, i, argp, m0, b) -> dict:
@@ -71,29 +72,44 @@ def _drag(n, e, i, argp, m0, b) -> dict:
 
 def sgp4(elements: np.ndarray, minutes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(error codes, states) of rows of ELEMENTS at minutes after their epochs. States are km and km/s, NaN where the code
-    isn't 0: 1 eccentricity out of range, 2 mean motion, 4 semi-latus rectum, 6 decayed, 99 deep space or no numbers."""
+    isn't 0: 1 eccentricity out of range, 2 mean motion, 3 the same after sun and moon, 4 semi-latus rectum, 6 decayed, 99 no numbers."""
     with np.errstate(all="ignore"):
         rev, e = elements[:, 0], elements[:, 1]
         i, node, argp, m0 = np.radians(elements[:, 2:6]).T
         b, n0, t = elements[:, 6], rev * 2 * math.pi / 1440, minutes
         k = _drag(n0, e, i, argp, m0, b)
         mdf, argp_t, node_t, t2 = m0 + k["m_dot"] * t, argp + k["argp_dot"] * t, node + k["node_dot"] * t + k["node_c"] * t * t, t * t
+        deep = 2 * math.pi / k["n"] >= 225
+        k["full"] = k["full"] & ~deep
         shift = np.where(k["full"], k["omg"] * t + k["xm"] * ((1 + k["eta"] * np.cos(mdf)) ** 3 - k["del_m0"]), 0.0)
         m, w = mdf + shift, argp_t - shift
         full = lambda x: np.where(k["full"], x, 0.0)
         ta = 1 - k["c1"] * t - full(k["d2"] * t2 + k["d3"] * t2 * t + k["d4"] * t2 * t2)
         te = b * k["c4"] * t + full(b * k["c5"] * (np.sin(m) - k["sin_m0"]))
         tl = k["t2c"] * t2 + full(k["t3c"] * t2 * t + t2 * t2 * (k["t4c"] + t * k["t5c"]))
-        a = (XKE / k["n"]) ** (2 / 3) * ta * ta
+        nm, em, inc_t = k["n"].copy(), e.copy(), i.copy()
+        if deep.any():
+            d = np.nonzero(deep)[0]
+            far = deepspace.prepare(k["n"][d], k["a"][d], e[d], i[d], node[d], argp[d], m0[d], (k["m_dot"][d], k["argp_dot"][d], k["node_dot"][d]), elements[d, 7])
+            nm[d], em[d], inc_t[d], w[d], node_t[d], m[d] = deepspace.secular(far, t[d], e[d], i[d], w[d], node_t[d], m[d])
+        a = (XKE / nm) ** (2 / 3) * ta * ta
         n = XKE / a**1.5
-        em = e - te
+        em = em - te
         code = np.where((em >= 1) | (em < -0.001), 1, np.where(k["n"] <= 0, 2, 0))
         em = np.maximum(em, 1e-6)
         m = m + k["n"] * tl
         turn = 2 * math.pi
-        far = (m + w + node_t) % turn
+        whole = (m + w + node_t) % turn
         node_t, w = node_t % turn, w % turn
-        m = (far - w - node_t) % turn
+        m = (whole - w - node_t) % turn
+        if deep.any():
+            em[d], inc_t[d], w[d], node_t[d], m[d] = deepspace.periodic(far, t[d], em[d], inc_t[d], w[d], node_t[d], m[d])
+            turned = inc_t < 0
+            inc_t, node_t, w = np.abs(inc_t), np.where(turned, node_t + math.pi, node_t), np.where(turned, w - math.pi, w)
+            code = np.where((code == 0) & ((em < 0) | (em > 1)), 3, code)
+            c, s = np.cos(inc_t[d]), np.sin(inc_t[d])
+            k["cosi"][d], k["sini"][d], k["con41"][d], k["x1"][d], k["x7"][d], k["ay"][d] = c, s, 3 * c * c - 1, 1 - c * c, 7 * c * c - 1, -0.5 * (J3 / J2) * s
+            k["xl"][d] = -0.25 * (J3 / J2) * s * (3 + 5 * c) / np.where(np.abs(1 + c) > 1.5e-12, 1 + c, 1.5e-12)
         over = 1 / (a * (1 - em * em))
         ax, ay = em * np.cos(w), em * np.sin(w) + over * k["ay"]
         u = (m + w + over * k["xl"] * ax) % turn
@@ -113,14 +129,14 @@ def sgp4(elements: np.ndarray, minutes: np.ndarray) -> tuple[np.ndarray, np.ndar
         jj = j / pl
         mr = r * (1 - 1.5 * jj * beta * k["con41"]) + 0.5 * j * k["x1"] * cos2
         angle, nd = angle - 0.25 * jj * k["x7"] * sin2, node_t + 1.5 * jj * k["cosi"] * sin2
-        inc = i + 1.5 * jj * k["cosi"] * k["sini"] * cos2
+        inc = inc_t + 1.5 * jj * k["cosi"] * k["sini"] * cos2
         mv, rv = r_dot - n * j * k["x1"] * sin2 / XKE, rv_dot + n * j * (k["x1"] * cos2 + 1.5 * k["con41"]) / XKE
         sa, ca, sn, cn, si, ci = np.sin(angle), np.cos(angle), np.sin(nd), np.cos(nd), np.sin(inc), np.cos(inc)
         up = np.stack([-sn * ci * sa + cn * ca, cn * ci * sa + sn * ca, si * sa], 1)
         on = np.stack([-sn * ci * ca - cn * sa, cn * ci * ca - sn * sa, si * ca], 1)
         out = np.concatenate([up * (mr * RE)[:, None], (up * mv[:, None] + on * rv[:, None]) * (RE * XKE / 60)], 1)
         code = np.where((code == 0) & (mr < 1), 6, code)
-        bad = ~np.isfinite(elements).all(1) | ~np.isfinite(out).all(1) | (2 * math.pi / k["n"] >= 225)
+        bad = ~np.isfinite(elements[:, :7]).all(1) | ~np.isfinite(out).all(1)
         code = np.where((code == 0) & bad, 99, code)
     out[code != 0] = np.nan
     return code.astype(np.int32), out

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zenithal.functions import orbit, tle
-from zenithal.operators import propagation
+from zenithal.operators import joins, propagation
 from zenithal.plans.registry import query
 
 _XYZ = ("x", "y", "z", "vx", "vy", "vz")
 
 
+def latest_sets(t):
+    """The latest set of each object, of equal epochs that with the greatest id."""
+    f = tle.fields()
+    rows = t.tle_sets.select(*t.tle_sets.columns, f["norad_id"].alias("norad_id"), tle.epoch(f["epoch_year"], f["epoch_day"]).alias("set_epoch"))
+    return joins.latest_per_key(rows, ["norad_id"], [F.col("set_epoch"), F.col("set_id"), F.col("k")]).drop("norad_id", "set_epoch")
+
+
 def _epochs(t, n: int, step: int):
     return t.spark.range(n).select(F.timestamp_add("MINUTE", (F.col("id") * step).cast("int"), F.expr("TIMESTAMP_NTZ'2024-06-01 00:00:00'")).alias("epoch"))
 
@@ -45,7 +52,7 @@ def b31(t):
 def b48(t):
     """A day of states every 5 minutes, folded to one row per set, with the decay rate."""
     f = tle.fields()
-    rows = t.tle_sets.where("k = 0").where(F.size(tle.errors()) == 0).select("set_id", *[f[c].alias(c) for c in [*propagation.ELEMENTS, "semi_major_axis_km"]])
+    rows = latest_sets(t).where(F.size(tle.errors()) == 0).select("set_id", *[f[c].alias(c) for c in [*propagation.ELEMENTS, "semi_major_axis_km"]])
     decay = F.abs(orbit.decay_km_day(F.col("semi_major_axis_km"), F.col("eccentricity"), F.col("bstar"), F.lit(150.0)))
     grid = rows.withColumn("decay", decay).withColumn("minutes", F.explode(F.sequence(F.lit(0), F.lit(1440), F.lit(5))))
     states = propagation.propagate(grid, "minutes").where("state.error = 0")

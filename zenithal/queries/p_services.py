@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from zenithal.functions import text as T
 from zenithal.operators import screening
 from zenithal.plans.registry import query
+from zenithal.queries.b_propagation import latest_sets
 
 
 def _sets(t):
-    """One set for each object: those of the first region row."""
-    return t.tle_sets.where("k = 0").select("name", "line1", "line2")
+    return latest_sets(t).select("name", "line1", "line2")
 
 
 @query("p3_benchmark_scoring", "SELECT item_id, 1e0 AS faithfulness FROM benchmark")
