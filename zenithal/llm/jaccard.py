@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from zenithal.llm.skew import join_counted
 from zenithal.session import materialize
 
-#: Texts that frequent shingles are counted in, and how many of these are put last; neither changes a result.
-SAMPLE, FREQUENT = 20_000, 200_000
+#: Texts that frequent shingles are counted in (so many, or one in ``EVERY``, if that is more), and how many of these are put
+#: last; none of it changes a result.
+SAMPLE, EVERY, FREQUENT = 40_000, 50, 1_000_000
 BATCH = 1000
 
 
@@ -50,7 +51,7 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def frequent(docs: DataFrame, text: Column, width: int) -> np.ndarray:
     """The most frequent shingles of a sample of texts, the most frequent last."""
-    every = max(1, docs.count() // SAMPLE)
+    every = max(1, min(docs.count() // SAMPLE, EVERY))
 
     def run(batches):
         for whole in batches:
@@ -59,7 +60,7 @@ def frequent(docs: DataFrame, text: Column, width: int) -> np.ndarray:
 
     some = docs.select(text.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
     counts = some.mapInArrow(run, "h array<long>").select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.where("n >= 5").orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
+    often = counts.where("n >= 3").orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
     return often.column(0).to_numpy()[::-1].copy() if often.num_rows else np.zeros(0, np.int64)
 
 
@@ -85,11 +86,11 @@ def alike(pairs: DataFrame) -> DataFrame:
 
 
 def count_shared(pairs: DataFrame) -> DataFrame:
-    """(a, b, na, nb) of pairs that come once for each shingle that their prefixes share, if that leaves 4/5 possible.
+    """(a, b, na, nb) of pairs that come with numbers ``w`` of shingles that their prefixes share, if these leave 4/5 possible.
 
     All that prefixes don't share is in the rest of the set whose prefix ends first, so few shared shingles rule a pair out."""
     rest = lambda n: F.ceil(F.col(n) * 4 / F.lit(5)) - 1
-    counted = alike(pairs).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    counted = alike(pairs).groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("c"))
     return counted.where((F.col("c") + F.greatest(rest("na"), rest("nb"))) * 9 >= (F.col("na") + F.col("nb")) * 4).drop("c")
 
 

@@ -311,8 +311,11 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius:
     met = texts.select(F.explode("prefix").alias("h"), "id", "n")
     member = F.struct("id", "n")
     met = met.withColumn("size", F.count(F.lit(1)).over(group)).withColumn("least", F.min(member).over(group)).withColumn("greatest", F.max(member).over(group))
-    met = materialize(met.where("size > 1").select("h", "id", "n", "least", "greatest"), "jaccard-index")
-    star = lambda end: met.select(F.col(f"{end}.id").alias("a"), F.col("id").alias("b"), F.col(f"{end}.n").alias("na"), F.col("n").alias("nb")).where("a <> b")
+    met = met.withColumn("of", F.bit_xor(F.xxhash64("id")).over(group)).where("size > 1")
+    # Shingles of one passage have the same members: such groups are one, which counts for as many shingles.
+    met = met.groupBy("of", "size", "id", "n", "least", "greatest").agg(F.count(F.lit(1)).alias("w"))
+    met = materialize(met, "jaccard-index")
+    star = lambda end: met.select(F.col(f"{end}.id").alias("a"), F.col("id").alias("b"), F.col(f"{end}.n").alias("na"), F.col("n").alias("nb"), "w").where("a <> b")
     stars = jaccard.count_shared(star("least")).unionByName(jaccard.count_shared(star("greatest")))
     turned = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
     links = confirm(turned(jaccard.alike(same.unionByName(close)).unionByName(stars)))
@@ -322,11 +325,12 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius:
 
     # What is left: groups of the index with members of several components.
     root = connected_components(links).withColumnRenamed("node", "id")
-    roots = met.join(root, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("root"))
+    group = W.partitionBy("of", "size")
+    roots = met.join(root, "id", "left").select("of", "size", "w", "id", "n", F.coalesce("component", "id").alias("root"))
     mixed = roots.withColumn("mixed", F.min("root").over(group) != F.max("root").over(group)).where("mixed").drop("mixed")
     mixed = materialize(mixed, "jaccard-mixed")
-    left, right = (mixed.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    links = links.unionByName(confirm(jaccard.count_shared(left.join(right, "h").where("a < b and ra <> rb"))))
+    left, right = (mixed.select("of", "size", *(["w"] if x == "a" else []), F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+    links = links.unionByName(confirm(jaccard.count_shared(left.join(right, ["of", "size"]).where("a < b and ra <> rb"))))
     root = connected_components(links).withColumnRenamed("node", "id")
     return materialize(texts.select("id", "digest", "copies").join(root, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("root")), "simhash-roots")
 
