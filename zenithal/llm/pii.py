@@ -78,7 +78,7 @@ PATTERNS = [
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A cheap test that every text with an entity passes.
 MAYBE = r"[0-9@]|(?:" + _TITLE + r") \p{Lu}|(?i:password|passwd|pwd|token|secret|api[_-]?key)(?:=|: ?| = )|(?:AKIA|ASIA)[A-Z]{16}|[a-f]{40}|[A-Fa-f]:[:A-Fa-f]"
-LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 #: Letters that stand for those of each other script: a range of each, without case or in lower case.
 ALPHABETS = {
     name: "".join(map(chr, range(a, b + 1)))
@@ -119,20 +119,16 @@ def reshape(value: Column, seed: Column, hexed: Column | None = None) -> Column:
     Letters of scripts without an alphabet here become Latin ones. In a value without letters and digits all become letters."""
     bare = ~value.rlike(r"[\p{L}\p{Nd}]")
     hexed = F.coalesce(hexed, F.lit(False)) if hexed is not None else value.rlike(r"^[0-9a-f]{16,}$") & value.rlike("[0-9]") & value.rlike("[a-f]")
-    chars = F.split(value, "")
 
     def swap(c: Column, i: Column) -> Column:
-        pick = lambda letters: F.substring(F.lit(letters), (_stream(seed, i) % len(letters) + 1).cast("int"), F.lit(1))
-        low = F.when(hexed, pick("0123456789abcdef")).otherwise(pick(LOWER))
-        digit = F.when(hexed, pick("0123456789abcdef")).otherwise(pick("0123456789"))
-        out = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), low).when(c.rlike("[A-Z]"), F.when(hexed, F.upper(low)).otherwise(pick(UPPER)))
-        for name, letters in ALPHABETS.items():
-            own = pick(letters)
-            out = out.when(c.rlike(rf"[\p{{L}}&&\p{{Is{name}}}]"), F.when(c.rlike(r"\p{Lu}"), F.upper(own)).otherwise(own))
-        out = out.when(c.rlike(r"\p{Nd}"), digit).when(c.rlike(r"\p{Lu}"), pick(UPPER)).when(c.rlike(r"\p{L}") | bare, low)
-        return out.otherwise(c)
+        letters = F.when(c.rlike("[0-9]"), F.when(hexed, HEX).otherwise("0123456789")).when(c.rlike("[A-Za-z]"), F.when(hexed, HEX).otherwise(LOWER))
+        for name, own in ALPHABETS.items():
+            letters = letters.when(c.rlike(rf"[\p{{L}}&&\p{{Is{name}}}]"), own)
+        letters = letters.when(c.rlike(r"\p{Nd}"), "0123456789").when(c.rlike(r"\p{L}") | bare, LOWER)
+        own = F.substring(letters, (_stream(seed, i) % F.length(letters) + 1).cast("int"), F.lit(1))
+        return F.when(letters.isNull(), c).when(c.rlike(r"\p{Lu}"), F.upper(own)).otherwise(own)
 
-    return F.array_join(F.transform(F.filter(chars, lambda c: c != ""), swap), "")
+    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), swap), "")
 
 
 def _digits(value: Column, seed: Column, keep: Column) -> Column:
@@ -169,46 +165,52 @@ def _picker(names: list[str], seed: Column):
     return lambda i: F.element_at(table, (_stream(seed, i) % len(names) + 1).cast("int"))
 
 
-def _one(f):
-    """``f`` as a function of one column: Spark counts a function's parameters."""
-    return lambda i: f(i)
-
-
-def _family(script: Column, value: Column, seed: Column, round_no: Column) -> Column:
+def _family(script: Column, shaped: Column, seed: Column, round_no: Column) -> Column:
     """An invented family name of three syllables, five from the third round on, one more every eight rounds; in scripts
-    without syllables here, letters of the script in place of those of the name."""
-    grown, out = F.floor(round_no / 8).cast("int"), F.concat(reshape(value, seed), _tail(seed, F.floor(round_no / 2).cast("int"), LOWER))
+    without syllables here ``shaped``, the name in other letters."""
+    out = shaped
     for name, syllables in SYLLABLES.items():
-        part = lambda i, t=F.array(*[F.lit(x) for x in syllables]): F.element_at(t, (_stream(seed, i if isinstance(i, Column) else F.lit(i)) % 16 + 1).cast("int"))
-        more = F.array_join(F.transform(F.sequence(F.lit(5), grown + 4), _one(part)), "")
-        tail = F.when(round_no >= 8, F.concat(part(3), part(4), more)).when(round_no >= 2, F.concat(part(3), part(4))).otherwise("")
-        out = F.when(script == name, F.initcap(F.concat(part(0), part(1), part(2), tail))).otherwise(out)
+        table = F.array(*[F.lit(x) for x in syllables])
+        parts = F.when(round_no < 2, 3).otherwise(F.floor(round_no / 8).cast("int") + 5)
+        name_of = F.array_join(F.transform(F.sequence(F.lit(0), parts - 1), _part(table, seed)), "")
+        out = F.when(script == name, F.initcap(name_of)).otherwise(out)
     return out
 
 
-def draw(kind: Column, value: Column, script: Column, round_no: Column, secret: str) -> Column:
-    """The surrogate of an entity in its canonical form."""
-    seed = F.sha2(F.concat_ws("\x1f", F.lit(secret), kind, value, round_no.cast("string")), 256)
-    grown = F.floor(round_no / F.when(F.length(value) <= 6, 2).otherwise(8)).cast("int")
-    letters, numbers = _tail(seed, grown, LOWER), _tail(seed, grown, "0123456789")
-    domain = F.concat(reshape(F.regexp_extract(value, r"@([^.]+)", 1), F.sha2(F.concat(F.lit(secret), F.regexp_extract(value, "@(.*)$", 1)), 256)), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), (_stream(seed, F.lit(-1)) % 3 + 1).cast("int")))
-    email = F.concat(reshape(F.regexp_extract(value, "^([^@]+)", 1), seed), letters, F.lit("@"), domain)
+def _part(table: Column, seed: Column):
+    return lambda i: F.element_at(table, (_stream(seed, i) % 16 + 1).cast("int"))
+
+
+def draw(entities: DataFrame, round_no: int, secret: str) -> DataFrame:
+    """``entities`` (kind, value, script) plus ``surrogate``: that of this round for each entity in its canonical form."""
+    kind, value, seed, no = F.col("kind"), F.col("value"), F.col("_seed"), F.lit(round_no)
+    rows = entities.withColumn("_seed", F.sha2(F.concat_ws("\x1f", F.lit(secret), kind, value, no.cast("string")), 256))
+    rows = rows.withColumn("_grown", F.floor(no / F.when(F.length(value) <= 6, 2).otherwise(8)).cast("int"))
+    rows = rows.withColumn("_more", _tail(seed, F.col("_grown"), LOWER)).withColumn("_digits", _tail(seed, F.col("_grown"), "0123456789"))
+    # What is reshaped: the name of a mailbox, what follows a prefix, else all.
+    base = F.when(kind == "email", F.regexp_extract(value, "^([^@]+)", 1)).when(kind.isin("access_key", "iban"), F.substring(value, 5, 100)).otherwise(value)
+    hexed = (kind == "ipv6") | (base.rlike(r"^[0-9a-f]{16,}$") & base.rlike("[0-9]") & base.rlike("[a-f]"))
+    rows = rows.withColumn("_base", base).withColumn("_hexed", hexed)
+    rows = rows.withColumn("_shaped", reshape(F.col("_base"), seed, F.col("_hexed")))
+    domain = reshape(F.regexp_extract(value, r"@([^.]+)", 1), F.sha2(F.concat(F.lit(secret), F.regexp_extract(value, "@(.*)$", 1)), 256), F.lit(False))
+    rows = rows.withColumn("_domain", F.when(kind == "email", domain))
+    shaped, letters, numbers, grown = F.col("_shaped"), F.col("_more"), F.col("_digits"), F.col("_grown")
+    end = F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), (_stream(seed, F.lit(-1)) % 3 + 1).cast("int"))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_stream(seed, i) % 254 + 1).cast("string")), ".")
     octets = F.concat(octets, F.when(grown > 0, F.concat(F.lit("."), numbers)).otherwise(""))
-    key = F.concat(F.substring(value, 1, 4), reshape(F.substring(value, 5, 100), seed), F.upper(letters))
-    address = F.concat(reshape(value, seed, F.lit(True)), F.when(grown > 0, F.concat(F.lit(":"), numbers)).otherwise(""))
-    phone = _digits(value, seed, F.greatest(F.length(value) - 10, F.when(F.length(value) < 10, 2).otherwise(0)))
-    phone = F.concat(phone, numbers)
-    out = F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "access_key", key).when(kind == "iban", with_iban_check(key)).when(kind == "ipv6", address).when(kind == "phone", phone)
-    out = out.when(kind == "card", with_check_digit(F.concat(_digits(value, seed, F.lit(1)), numbers))).when(kind == "ssn", F.concat(_digits(value, seed, F.lit(0)), numbers))
-    given = F.lit(None).cast("string")
+    key = F.concat(F.substring(value, 1, 4), shaped, F.upper(letters))
+    # Digits that stay: a country code, the first of a card.
+    keep = F.when(kind == "phone", F.greatest(F.length(value) - 10, F.when(F.length(value) < 10, 2).otherwise(0))).when(kind == "card", 1).otherwise(0)
+    number = F.concat(_digits(value, seed, keep), numbers)
+    out = F.when(kind == "email", F.concat(shaped, letters, F.lit("@"), F.col("_domain"), F.lit(".example."), end)).when(kind == "ip", octets).when(kind == "access_key", key).when(kind == "iban", with_iban_check(key))
+    out = out.when(kind == "ipv6", F.concat(shaped, F.when(grown > 0, F.concat(F.lit(":"), numbers)).otherwise(""))).when(kind.isin("phone", "ssn"), number).when(kind == "card", with_check_digit(number))
+    out = out.when(kind == "family", _family(F.col("script"), F.concat(shaped, letters), seed, no))
+    # One part of a given name, two from the third round on, and one more every four rounds.
+    parts = 0 if round_no < 2 else (round_no - 2) // 4 + 1
     for (s, g), names in GIVEN.items():
-        # One part, two from the third round on, and one more every four rounds.
-        parts = F.when(round_no < 2, 0).otherwise(F.floor((round_no - 2) / 4).cast("int") + 1)
-        several = F.array_join(F.transform(F.sequence(F.lit(0), parts), _picker(names, seed)), "-")
-        given = F.when(kind == f"given-{s}-{g}", several).otherwise(given)
-    given = F.coalesce(given, F.concat(reshape(value, seed), letters))
-    return out.when(kind == "family", _family(script, value, seed, round_no)).when(kind.startswith("given"), given).otherwise(F.concat(reshape(value, seed), F.when(value.rlike(r"^[0-9a-f]{16,}$"), _tail(seed, grown, "0123456789abcdef")).otherwise(letters)))
+        out = out.when(kind == f"given-{s}-{g}", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(parts)), _picker(names, seed)), "-"))
+    rest = F.concat(shaped, F.when(F.col("_hexed"), _tail(seed, grown, HEX)).otherwise(letters))
+    return rows.withColumn("surrogate", out.otherwise(rest)).select(*entities.columns, "surrogate")
 
 
 def surrogates(entities: DataFrame, secret: str) -> DataFrame:
@@ -219,7 +221,7 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     real = todo.select("kind", F.col("value").alias("surrogate"))
     done: list[DataFrame] = []
     for i in count():
-        drawn = todo.withColumn("surrogate", draw(F.col("kind"), F.col("value"), F.col("script"), F.lit(i), secret))
+        drawn = draw(todo, i, secret)
         first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("value"))
         taken = real if not done else real.unionByName(done[-1].select("kind", "surrogate"))
         for d in done[:-1]:
