@@ -70,7 +70,7 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text", table_words:
 
 
 class _Words:
-    """The broadcast table as Arrow arrays, which every process reads where they are."""
+    """The broadcast table as Arrow arrays."""
 
     def __init__(self, broadcast):
         self.broadcast = broadcast
@@ -80,6 +80,14 @@ class _Words:
         return t.column("word").combine_chunks(), t.column("ids").combine_chunks()
 
 
+def _packed(table: DataFrame) -> bytes:
+    """The words and ids of a table as one compressed Arrow stream."""
+    rows, sink = table.select("word", "ids").toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(rows, max_chunksize=1 << 16)
+    return sink.getvalue().to_pybytes()
+
+
 def join_ids(words: pa.Array, known: pa.Array, ids: pa.Array, one: Callable[[str], bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(ends, ids) of all ``words``: those in ``known`` by a hash join, each other one encoded once for this batch."""
     at = pc.index_in(words, value_set=known)
@@ -106,11 +114,8 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     ship(spark)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    table = word_table(rows, tokenizer, "text", table_words, encoder).select("word", "ids").toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table, max_chunksize=1 << 16)
-    shared = _Words(spark.sparkContext.broadcast(sink.getvalue().to_pybytes()))
+    shared = _Words(spark.sparkContext.broadcast(_packed(word_table(rows, tokenizer, "text", table_words, encoder))))
+    pa.default_memory_pool().release_unused()  # the driver needs none of it from here on
 
     def place(batches):
         (known, ids), one = shared.arrays(), encoder(tokenizer)

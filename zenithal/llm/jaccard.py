@@ -21,7 +21,7 @@ from zenithal.session import materialize
 
 #: Texts that frequent shingles are counted in (so many, or one in ``EVERY``, if that is more), and how many of these are put
 #: last; none of it changes a result.
-SAMPLE, EVERY, FREQUENT = 40_000, 50, 1_000_000
+SAMPLE, EVERY, FREQUENT = 40_000, 50, 500_000
 BATCH = 1000
 
 
@@ -61,7 +61,10 @@ def frequent(docs: DataFrame, text: Column, width: int) -> np.ndarray:
     some = docs.select(text.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
     counts = some.mapInArrow(run, "h array<long>").select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     often = counts.where("n >= 3").orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
-    return often.column(0).to_numpy()[::-1].copy() if often.num_rows else np.zeros(0, np.int64)
+    last = often.column(0).to_numpy()[::-1].copy() if often.num_rows else np.zeros(0, np.int64)
+    del often
+    pa.default_memory_pool().release_unused()
+    return last
 
 
 class Order:
