@@ -1,9 +1,11 @@
 import hashlib
 import shutil
+from collections import Counter
 from pathlib import Path
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -95,3 +97,26 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
     shutil.copy(f"{SF}/labels.parquet", tmp_path / "labels.parquet" / "part.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() > 0
     assert quality.score(odd, quality.RuleModel((), 0.0)).count() == len(rows)
+
+
+def test_stages_with_odd_rows_and_clashing_names(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(None, "text of a row without an id, of some more words"), (1, None), (2, ""), (2, ""), (3, "w " * 60_000), (3, "other words here"), (5, a), (5, a), (6, a), (7, "Dr. Ada Byron has me@x.org")]
+    docs = spark.createDataFrame([(k, t, "en" if k else None, "s" if k != 3 else None, len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = ["d", "h", "id", "key", "root", "digest", "hits", "score", "copies", "k_id", "total", "row_hash", "pii_entities", "units", "a.b", "_d"]
+    docs = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in odd]).repartition(3)
+    out = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        out[name] = got.collect()
+        assert all(r[c] == f"own {c}" for r in out[name] for c in odd), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    have = Counter(rows)
+    assert not Counter((r.doc_id, r.text) for r in out["quality"]) - have
+    assert sorted(((r.doc_id, r.text) for r in out["simhash"]), key=str) == sorted([rows[0], rows[1], rows[4], rows[5], rows[6], rows[9]], key=str)
+    assert Counter(r.doc_id for r in out["pii"]) == Counter(k for k, _ in rows)
+    for r in out["pii"]:
+        assert (r.text in [t for k, t in rows if k == r.doc_id]) == (r.doc_id != 7) and (r.n_chars == len(r.text or ""))
+    assert set((r.doc_id, r.text) for r in out["mixing"]) <= set(rows) and max(Counter((r.doc_id, r.text) for r in out["mixing"]).values()) <= 4
+    assert spark.createDataFrame(rows, "doc_id long, text string").count() == pipeline.encode_bpe(spark, docs, SF).count()
