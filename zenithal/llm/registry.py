@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from zenithal.llm import bpe, media, mixing, pfor, pii, pq, quality, simhash, urlfilter, warc
+from zenithal.llm import bpe, media, mixing, pfor, pii, pq, quality, quotient, simhash, sortmeans, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_bpe": bpe.op9_bpe,
     "op10_mixing": mixing.op10_mixing,
+    "op11_sort_means": sortmeans.op11_sort_means,
+    "op12_exact_dedup": quotient.op12_exact_dedup,
 }
-ORACLES = {"op2_warc": warc.ORACLE_SQL, "op6_url_filter": urlfilter.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op2_warc": warc.ORACLE_SQL, "op6_url_filter": urlfilter.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op11_sort_means": sortmeans.ORACLE_SQL, "op12_exact_dedup": quotient.ORACLE_SQL}
