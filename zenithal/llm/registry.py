@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from zenithal.llm import bpe, media, mixing, pfor, pii, pq, quality, quotient, simhash, sortmeans, urlfilter, warc
+from zenithal.llm import align, bpe, media, mixing, pfor, pii, pq, quality, quotient, simhash, sortmeans, urlfilter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_sort_means": sortmeans.op11_sort_means,
     "op12_exact_dedup": quotient.op12_exact_dedup,
+    "op13_alignment": align.op13_alignment,
 }
 ORACLES = {"op2_warc": warc.ORACLE_SQL, "op6_url_filter": urlfilter.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op11_sort_means": sortmeans.ORACLE_SQL, "op12_exact_dedup": quotient.ORACLE_SQL}
