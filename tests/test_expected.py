@@ -148,10 +148,71 @@ def test_g11(spark, tables):
     assert min(got.values()) >= np.sort(rank)[-25] - 1e-3
 
 
-def test_g12(spark):
-    found = rows(spark, "g12_communities")
-    sizes = [r["members"] for r in found]
-    assert sizes == sorted(sizes, reverse=True) and len(found) <= 10 and len({r["community"] for r in found}) == len(found)
+def plain_louvain(edges):
+    """Modularity and communities by one node at a time, level by level."""
+    import random
+    from collections import defaultdict
+
+    graph = defaultdict(lambda: defaultdict(float))
+    for a, b in edges:
+        graph[a][b] += 1
+        graph[b][a] += 1
+    m2 = sum(sum(v.values()) for v in graph.values())
+    home, current, moved = {n: n for n in graph}, graph, True
+    while moved:
+        label, k, moved, again = {n: n for n in current}, {n: sum(current[n].values()) for n in current}, False, True
+        total = dict(k)
+        while again:
+            again = False
+            for n in random.Random(len(current)).sample(sorted(current), len(current)):
+                near = defaultdict(float)
+                for j, w in current[n].items():
+                    near[label[j]] += w if j != n else 0
+                total[label[n]] -= k[n]
+                gains = {c: w - k[n] * total[c] / m2 for c, w in near.items()} | {label[n]: near[label[n]] - k[n] * total[label[n]] / m2}
+                best = max(sorted(gains), key=gains.get)
+                if gains[best] > gains[label[n]] + 1e-9:
+                    label[n], again, moved = best, True, True
+                total[label[n]] += k[n]
+        home = {n: label[c] for n, c in home.items()}
+        folded = defaultdict(lambda: defaultdict(float))
+        for i, row in current.items():
+            for j, w in row.items():
+                folded[label[i]][label[j]] += w
+        current = folded
+    return modularity(graph, home), home
+
+
+def modularity(graph, label):
+    m2 = sum(sum(v.values()) for v in graph.values())
+    total, inner = {}, 0.0
+    for i, row in graph.items():
+        total[label[i]] = total.get(label[i], 0) + sum(row.values())
+        inner += sum(w for j, w in row.items() if label[i] == label[j])
+    return inner / m2 - sum(t * t for t in total.values()) / m2**2
+
+
+def test_g12(spark, tables):
+    from collections import Counter, defaultdict
+
+    from zenithal.operators import communities
+
+    edges = [(r.primary_norad, r.secondary_norad) for r in tables.conjunctions.collect() if r.primary_norad != r.secondary_norad]
+    frame = tables.conjunctions.selectExpr("primary_norad AS src", "secondary_norad AS dst").where("src <> dst")
+    members, levels = communities.louvain(frame)
+    label = {r.id: r.community for r in members.collect()}
+    graph = defaultdict(lambda: defaultdict(float))
+    for a, b in edges:
+        graph[a][b] += 1
+        graph[b][a] += 1
+    q, told = modularity(graph, label), levels.orderBy("level").collect()
+    assert label.keys() == graph.keys() and q >= plain_louvain(edges)[0] - 0.02
+    assert abs(told[-1].modularity - q) < 1e-9 and told[-1].communities == len(set(label.values())) and [r.modularity for r in told] == sorted(r.modularity for r in told)
+    assert abs(communities.modularity(communities.weighted(frame), members) - q) < 1e-9
+    assert all(min(i for i in label if label[i] == c) == c for c in set(label.values()))
+    found = {r["community"]: (r["members"], r["sample"]) for r in rows(spark, "g12_communities")}
+    want = sorted(Counter(label.values()).items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert found == {c: (n, sorted(i for i in label if label[i] == c)[:5]) for c, n in want}
 
 
 def test_b28(spark, tables):

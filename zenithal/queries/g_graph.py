@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zenithal.functions import orbit
-from zenithal.operators import filters, graph
+from zenithal.operators import communities, filters, graph
 from zenithal.plans.registry import query
 
 RISK = "CASE WHEN pc >= 1e-3 THEN 'red' WHEN pc >= 1e-4 THEN 'yellow' WHEN pc >= 1e-5 THEN 'green' ELSE 'white' END"
@@ -118,9 +118,13 @@ def g11(t):
 
 @query("g12_communities")
 def g12(t):
-    """The ten largest communities (a top list)."""
-    found = graph.communities(_structure(t))
-    return found.groupBy("community").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("sample")).orderBy(F.desc("members"), "community").limit(10)
+    """The ten largest communities of the conjunction graph (a top list), and five of the members of each."""
+    members, _ = communities.louvain(_risk_edges(t))
+    sized = members.groupBy("community").agg(F.count(F.lit(1)).alias("members"))
+    best = sized.orderBy(F.desc("members"), "community").limit(10)
+    w = W.partitionBy("community").orderBy("id")
+    some = members.join(F.broadcast(best.select("community")), "community").withColumn("k", F.row_number().over(w)).where(F.col("k") <= 5)
+    return best.join(some.groupBy("community").agg(F.array_sort(F.collect_list("id")).alias("sample")), "community")
 
 
 @query("g13_projection", "SELECT e.src, e.dst, e.type FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.type IN ('SUBSIDIARY_OF', 'HEADQUARTERED_IN') AND a.label IN ('Organization', 'Country') AND b.label IN ('Organization', 'Country')")

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zenithal.functions import text as T
-from zenithal.operators import retrieval
+from zenithal.functions.stem import stem_sql
+from zenithal.operators import fulltext, retrieval, trigrams
 from zenithal.plans.registry import query
 from zenithal.session import materialize
 
@@ -56,15 +57,48 @@ def t5(t):
     return t.part.select("p_partkey", "p_name", s.alias("s")).where("s > 0.3").select("p_partkey", "p_name", F.round("s", 6).alias("similarity"))
 
 
-@query("t6_full_text", f"""
-WITH d AS (SELECT doc_id, {_W.format('lower(text)')} AS w FROM documents)
-SELECT doc_id, round((len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'and'))) / len(w), 6) AS rank FROM d WHERE list_contains(w, 'the') AND list_contains(w, 'and')""")
+def _alike(table: str, key: str, name: str) -> str:
+    return f"n AS (SELECT {name} AS name, count(*) AS members, {_TRI.format(name)} AS g FROM {table} GROUP BY 1), q AS (SELECT DISTINCT {name} AS query, {_TRI.format(name)} AS h FROM {table} WHERE {key} % 100 = 0), s AS (SELECT query, name, members, len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) AS s FROM n, q)"
+
+
+@query("t5_trigram_join", f"WITH {_alike('part', 'p_partkey', 'p_name')} SELECT query, name, members, round(s, 6) AS similarity FROM s WHERE s >= 0.3")
+def t5_join(t):
+    """The names of all parts whose id is divisible by 100 against the names of all parts, by the index; and how many parts have each."""
+    index = trigrams.build(t.part, "p_name", 0.3)
+    found = trigrams.search(index, t.part.where("p_partkey % 100 = 0").select(F.col("p_name").alias("query")))
+    sizes = t.part.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("members"))
+    return found.join(sizes, "name").select("query", "name", "members", F.round("similarity", 6).alias("similarity"))
+
+
+@query("t5_fuzzy_names", f"WITH {_alike('customer', 'c_custkey', 'c_name')} SELECT query, name, round(s, 6) AS similarity FROM s WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, name) <= 20")
+def t5_fuzzy(t):
+    """The 20 most similar names for the customers whose id is divisible by 100; half of their trigrams are in all names."""
+    index = trigrams.build(t.customer, "c_name", 0.8)
+    found = trigrams.best_matches(index, t.customer.where("c_custkey % 100 = 0").select(F.col("c_name").alias("query")))
+    return found.select("query", "name", F.round("similarity", 6).alias("similarity"))
+
+
+_TOK = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_FULL = f"""
+WITH stop(word) AS (SELECT unnest([{", ".join(repr(w) for w in fulltext.STOP)}])), d AS (SELECT doc_id AS key, {_TOK.format('text')} AS w FROM documents), p AS (SELECT key, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+o AS (SELECT item_id AS query, {_TOK.format('text')} AS w FROM benchmark), q0 AS (SELECT query * 2 AS query, unnest(w[1:3]) AS word FROM o UNION ALL SELECT query * 2 + 1, w[4] FROM o),
+q1 AS (SELECT DISTINCT query, word FROM q0 WHERE word IS NOT NULL AND word NOT IN (SELECT word FROM stop)), lex AS MATERIALIZED ({stem_sql("SELECT DISTINCT word FROM p WHERE word NOT IN (SELECT word FROM stop) UNION SELECT word FROM q1")}),
+q AS (SELECT DISTINCT query, stem FROM q1 JOIN lex USING (word)), n AS (SELECT query, count(*) AS terms FROM q GROUP BY 1), h AS (SELECT DISTINCT q.query, key, stem, pos FROM p JOIN lex USING (word) JOIN q USING (stem)),
+m AS (SELECT query, key, terms FROM h JOIN n USING (query) GROUP BY ALL HAVING count(DISTINCT stem) = terms), g AS (SELECT h.*, terms FROM h JOIN m USING (query, key)),
+a AS (SELECT query, key, 0.1e0 * list_sum(list_transform(range(1, count(*) + 1), lambda i: 1 / (i * i))) / 1.64493406685e0 AS score FROM g WHERE terms = 1 GROUP BY 1, 2),
+b AS (SELECT x.query, x.key, abs(x.pos - y.pos) AS d, count(*) AS n FROM g x JOIN g y ON x.query = y.query AND x.key = y.key AND x.stem < y.stem AND abs(x.pos - y.pos) BETWEEN 1 AND 100 GROUP BY ALL),
+c AS (SELECT query, key, 1 - exp(CAST(sum(CAST(n * ln(1 - 0.1e0 * sqrt(1 / (1.005e0 + 0.05e0 * exp(d / 1.5e0 - 2)))) AS DECIMAL(30, 15))) AS DOUBLE)) AS score FROM b GROUP BY 1, 2),
+r AS (SELECT query, key, score FROM a UNION ALL SELECT query, key, coalesce(score, 1e-20) FROM m LEFT JOIN c USING (query, key) WHERE terms > 1)
+SELECT query, key AS doc_id, round(score, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, key) AS k FROM r) WHERE k <= 20"""
+
+
+@query("t6_full_text", _FULL)
 def t6(t):
-    """All terms must occur; the rank is the share of words that are terms."""
-    rows = t.documents.select("doc_id", T.words(F.lower("text")).alias("w"))
-    terms = ["the", "and"]
-    rows = rows.where(F.array_contains("w", terms[0]) & F.array_contains("w", terms[1]))
-    return rows.select("doc_id", F.round(F.size(F.filter("w", lambda x: x.isin(terms))) / F.size("w"), 6).alias("rank"))
+    """An index of all documents; of each benchmark item the first three words together, and the fourth alone, are queries."""
+    words = t.benchmark.select("item_id", fulltext.tokens(F.col("text")).alias("w"))
+    asked = words.select((F.col("item_id") * 2).alias("query"), F.array_join(F.slice("w", 1, 3), " ").alias("text")).unionByName(words.select((F.col("item_id") * 2 + 1).alias("query"), F.get("w", F.lit(3)).alias("text")))
+    found = fulltext.search(fulltext.build(t.documents, "doc_id", "text"), asked)
+    return found.select("query", F.col("key").alias("doc_id"), F.round("score", 6).alias("rank"))
 
 
 _BM = f"""
