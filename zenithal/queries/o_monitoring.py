@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from zenithal.operators import monitoring
 from zenithal.plans.registry import query
 from zenithal.plans.tables import EVENTS_AS_OF
+from zenithal.streaming import alerts, events
+from zenithal.streaming.inorder import ROCKS
 
 
 @query("o1_increase", "WITH w AS (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY event_time RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS increase FROM orbital_events) SELECT event_id, event_type, increase FROM w WHERE increase > 20")
@@ -48,3 +50,20 @@ r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER
 SELECT event_type, polls, outages, first_error, last_error, s[least(CAST(floor(len(s) * 0.95e0) AS BIGINT), len(s) - 1) + 1] AS p95, round(100e0 * (polls - outages) / polls, 2) AS uptime_pct FROM c JOIN p USING (event_type)""")
 def o6(t):
     return monitoring.burn_in(t.orbital_events, "event_type", "event_time", "value", F.col("event_id") % 23 != 0)
+
+
+#: The rule of o7: values over 40 held for three hours; rows may be an hour late.
+_HOLD, _LATE = 3 * 3_600_000, 3_600_000
+
+
+@query("o7_alert_states", f"""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS tm, coalesce(value > 40, false) AS bad FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), w AS (SELECT max(tm) - {_LATE} AS mark FROM e),
+s AS (SELECT e.*, bad AND NOT coalesce(lag(bad) OVER o, false) AS turned, NOT bad AND coalesce(lag(bad) OVER o, false) AS ended FROM e, w WHERE tm <= mark WINDOW o AS (PARTITION BY user_id ORDER BY tm, event_id)),
+r AS (SELECT user_id, tm AS since, kind, lead(tm) OVER (PARTITION BY user_id ORDER BY tm, event_id) AS until FROM (SELECT user_id, event_id, tm, turned AS kind FROM s WHERE turned OR ended)), i AS (SELECT r.*, since + {_HOLD} < coalesce(until, mark + 1) AS fires, mark FROM r, w WHERE kind),
+t AS (SELECT user_id, 'pending' AS state, since AS at_ms, since AS since_ms FROM i UNION ALL SELECT user_id, 'firing', since + {_HOLD}, since FROM i WHERE fires UNION ALL SELECT user_id, CASE WHEN fires THEN 'resolved' ELSE 'dropped' END, until, since FROM i WHERE until IS NOT NULL)
+SELECT * FROM t""")
+def o7(t):
+    """A stream of samples; the alerts of each user change their state as the watermark passes."""
+    typed = lambda df: df.selectExpr("user_id", "event_id", "value", "cast(ts AS timestamp) AS time")
+    states = lambda df: alerts.alert_states(df, "user_id", "time", "event_id", F.col("value") > 40, _HOLD, "1 hour")
+    return events.run_once(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema, states, prepare=typed, conf=ROCKS)

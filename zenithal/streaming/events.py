@@ -81,16 +81,25 @@ def rising_streaks(events: DataFrame) -> DataFrame:
     return events.groupBy("norad_id").applyInPandasWithState(_streak, ALERT_STATE, "last double, run int", "append", "NoTimeout")
 
 
-def run_once(spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame], mode: str = "append", prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Read the files of ``path`` as a stream, transform them, and give what was written when all files are through."""
+def run_once(spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame], mode: str = "append", prepare: Callable[[DataFrame], DataFrame] | None = None, conf: dict[str, str] | None = None, files: int | None = None) -> DataFrame:
+    """Read the files of ``path`` as a stream, transform them, and give what was written when all files are through.
+
+    ``conf``: settings of the session while the query starts; ``files``: at most so many in a micro-batch."""
     out, marks = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-checkpoint")
-    stream = spark.readStream.schema(schema).parquet(path)
+    stream = (spark.readStream.schema(schema) if files is None else spark.readStream.schema(schema).option("maxFilesPerTrigger", files)).parquet(path)
     done = transform(prepare(stream) if prepare else stream)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = done.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start()
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = done.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     if mode == "complete":
         last = max(q["batchId"] for q in query.recentProgress)
