@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from zenithal.functions import tle
 from zenithal.plans.registry import query
-from zenithal.sources import catalogues, documents, registry
+from zenithal.session import shared_dir
+from zenithal.sources import catalogues, documents, journal, registry
 from zenithal.sources import tle as tle_source
 
 _CHECK = "list_sum(list_transform(string_split(regexp_replace(substr({0}, 1, 68), '[^0-9-]', '', 'g'), ''), lambda c: CASE WHEN c = '-' THEN 1 ELSE CAST(c AS INTEGER) END)) % 10"
@@ -162,6 +163,27 @@ def a22(t):
     return t.benchmark.select("item_id", F.to_json(F.struct(F.col("item_id").alias("id"), F.lit("benchmark").alias("domain"), F.size(words(F.col("text"))).alias("words"))).alias("line"))
 
 
+@query("a23_journal_reads", "SELECT event_id, user_id, event_type, value FROM events WHERE event_id >= 100 AND event_type IN ('error', 'signup') AND user_id < 100")
+def a23(t):
+    """Events in a journal of four commits, read with filters that the source takes over."""
+    journal.add_journal(t.spark)
+    path, rows = shared_dir(t.spark, "journal"), t.events.select("event_id", "user_id", "event_type", "value")
+    for i in range(4):
+        rows.where(F.pmod(F.floor(F.col("event_id") / 250), F.lit(4)) == i).write.format("journal").mode("append").save(path)
+    return journal.read(t.spark, path, "event_id >= 100 and event_type in ('error', 'signup') and user_id < 100")
+
+
+@query("p1_journal_stream", "SELECT event_id, event_type, value * 2 AS value FROM events WHERE value > 20")
+def p1(t):
+    """A journal streamed into another one, commit by commit."""
+    journal.add_journal(t.spark)
+    source, goal, marks = (shared_dir(t.spark, f"journal-{n}") for n in ("source", "goal", "marks"))
+    t.events.select("event_id", "event_type", "value").repartition(4).write.format("journal").mode("append").save(source)
+    rows = t.spark.readStream.format("journal").load(source).where("value > 20").select("event_id", "event_type", (F.col("value") * 2).alias("value"))
+    rows.writeStream.format("journal").option("checkpointLocation", marks).trigger(availableNow=True).start(goal).awaitTermination()
+    return t.spark.read.format("journal").load(goal)
+
+
 @query("a24_geojson_track", """SELECT norad_id, '{"type":"LineString","coordinates":[' || string_agg('[' || CAST(event_id AS VARCHAR) || ',' || CAST(value AS VARCHAR) || ']', ',' ORDER BY event_time) || ']}' AS track FROM orbital_events GROUP BY 1""")
 def a24(t):
     """A track is the points of one object in a window of time, in order."""

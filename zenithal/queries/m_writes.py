@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from zenithal.functions import orbit
-from zenithal.operators import joins, writes
+from zenithal.operators import chunks, joins, writes
 from zenithal.plans.registry import query
 from zenithal.plans.tables import AS_OF, EVENTS_AS_OF
+from zenithal.session import shared_dir
 
 RISK = "CASE WHEN pc >= 1e-3 THEN 'red' WHEN pc >= 1e-4 THEN 'yellow' WHEN pc >= 1e-5 THEN 'green' ELSE 'white' END"
 _ts = lambda text: F.expr(f"TIMESTAMP_NTZ'{text}'")
@@ -99,6 +102,24 @@ def m12(t):
     return t.tle_records.groupBy(F.date_format("epoch", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), old.alias("dropped"))
 
 
+@query("m12_time_chunks", f"""
+WITH r AS (SELECT norad_id, epoch, element_set_num, rev_number, record_id, bstar, CAST(floor(date_diff('day', DATE '1970-01-01', CAST(epoch AS DATE)) / 30) AS INTEGER) AS chunk FROM tle_records),
+n AS (SELECT norad_id, epoch, element_set_num, rev_number, record_id, max(bstar) + 1000 AS bstar, chunk FROM r WHERE rev_number % 50 = 0 GROUP BY ALL)
+SELECT *, bstar >= 1000 AS changed FROM (SELECT * FROM n UNION ALL SELECT * FROM r ANTI JOIN n USING (norad_id, epoch, element_set_num, rev_number, record_id)) WHERE (chunk + 1) * 30 > date_diff('day', DATE '1970-01-01', DATE '{AS_OF[:10]}' - INTERVAL 730 DAY)""")
+def m12_chunks(t):
+    """Chunks of 30 days: two loads, changes that rewrite their own chunks, compaction of what is older than 30 days, and two years kept."""
+    path, now = shared_dir(t.spark, "chunks"), datetime.datetime.fromisoformat(AS_OF)
+    table = chunks.TimeChunks(t.spark, path, "epoch", 30)
+    rows = t.tle_records.select("norad_id", "epoch", "element_set_num", "rev_number", "record_id", "bstar")
+    table.append(rows.where("record_id % 2 = 0"))
+    table.append(rows.where("record_id % 2 = 1"))
+    keys = ["norad_id", "epoch", "element_set_num", "rev_number", "record_id"]
+    table.upsert(rows.where("rev_number % 50 = 0").groupBy(*keys).agg((F.max("bstar") + 1000).alias("bstar")), keys)
+    table.compact(now - datetime.timedelta(days=30))
+    table.retain(now - datetime.timedelta(days=730))
+    return table.read().select(*keys, "bstar", "chunk", (F.col("bstar") >= 1000).alias("changed"))
+
+
 @query("m13_transitions", "SELECT mission_id, status AS before, CASE WHEN satellite_count > 40 THEN 'active' ELSE status END AS after FROM missions WHERE satellite_count > 40 AND status <> 'active'")
 def m13(t):
     old = t.missions.select("mission_id", "status", "satellite_count")
