@@ -3,6 +3,8 @@ import gzip
 import io
 import struct
 import time
+
+import pytest
 import zipfile
 import zlib
 
@@ -102,6 +104,22 @@ def test_repeated_magic_bytes_take_linear_time():
         assert time.perf_counter() - began < 6, m
 
 
+@pytest.mark.parametrize("unit", [b"GIF89aaaaaaaa!a", b"GIF89a" + b"\1\0\1\0\0\0\0!\xff\2ab", b"GIF87aaaaaaaa,aaaaaaaaaaa", b"OggS\0\0" + bytes(20) + b"\1\5abcde"])
+def test_walks_from_many_valid_starts_take_linear_time(unit):
+    began = time.perf_counter()
+    assert media.inspect(unit * (3_000_000 // len(unit))) == []
+    assert time.perf_counter() - began < 12
+
+
+def test_pictures_and_streams_that_share_their_end():
+    head, body = b"GIF89a" + b"\1\0\1\0\0\0\0", b"!\xff\2ab\0;"
+    assert media._gif(head + body, 0, media.Marks(head + body)) == len(head + body)
+    page = lambda flag: b"OggS\0" + bytes([flag]) + bytes(20) + b"\1\5abcde"
+    data = page(2) + page(0) + page(4) + page(2) + page(4)
+    marks, n = media.Marks(data), len(page(0))
+    assert [media._ogg(data, i * n, marks) for i in (1, 0, 2, 3, 4)] == [2 * n, 3 * n, n, 2 * n, n]
+
+
 def test_pdf_and_gzip_and_zip_in_a_row():
     pdf, z, g = b"%PDF-1.4 x startxref 1 %%EOF more %%EOF", _zip(), gzip.compress(b"data" * 99)
     found = media.inspect(pdf + b" " + z + z + g + b"x" + pdf)

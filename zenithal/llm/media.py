@@ -13,6 +13,7 @@ import bisect
 import functools
 import struct
 import zlib
+from array import array
 
 import ahocorasick
 import pyarrow as pa
@@ -82,19 +83,25 @@ def _gif(d: bytes, at: int, marks: Marks) -> int:
         return 0
     flags = d[at + 10]
     a = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-    while a < len(d):
+    walked, path = marks.blocks, []
+    while a < len(d) and not walked[a]:
+        path.append(a)
         if d[a] == 0x3B:
-            return a + 1 - at
+            found = a + 2
+            break
         if d[a] == 0x2C and a + 10 < len(d):
-            a += 11 + (3 << (d[a + 9] & 7) + 1 if d[a + 9] & 0x80 else 0)
+            start = a + 11 + (3 << (d[a + 9] & 7) + 1 if d[a + 9] & 0x80 else 0)
         elif d[a] == 0x21:
-            a += 2
+            start = a + 2
         else:
-            return 0
-        while a < len(d) and d[a]:
-            a += 1 + d[a]
-        a += 1
-    return 0
+            found = 1
+            break
+        a = marks.after_sub_blocks(start)
+    else:
+        found = walked[a] if a < len(d) else 1
+    for p in path:
+        walked[p] = found
+    return found - 1 - at if found > 1 else 0
 
 
 def _bmp(d: bytes, at: int, marks: Marks) -> int:
@@ -134,6 +141,32 @@ class Marks(dict):
         i = bisect.bisect_left(self[mark], at)
         return self[mark][i] if i < len(self[mark]) else -1
 
+    @functools.cached_property
+    def blocks(self) -> array:
+        """For each place where a walk over GIF blocks has been what it found: 1 nothing, else the end of the picture and 1."""
+        return array("q", bytes(8 * (len(self.data) + 1)))
+
+    @functools.cached_property
+    def chains(self) -> array:
+        """For each place where a walk over sub-blocks has been the place of their end, and 1."""
+        return array("q", bytes(8 * (len(self.data) + 1)))
+
+    def after_sub_blocks(self, a: int) -> int:
+        """The place behind a chain of sub-blocks that begins at ``a``; no place is walked twice, whatever chains meet there."""
+        d, ends, path = self.data, self.chains, []
+        while a < len(d) and d[a] and not ends[a]:
+            path.append(a)
+            a += 1 + d[a]
+        end = ends[a] - 1 if a < len(d) and ends[a] else min(a, len(d))
+        for p in path:
+            ends[p] = end + 1
+        return end + 1
+
+    @functools.cached_property
+    def pages(self) -> dict[int, int]:
+        """For each Ogg page that a walk has been at the end of its stream, 0 if it has none."""
+        return {}
+
     @functools.cached_property
     def archives(self) -> dict[int, int]:
         """Where each ZIP archive begins and ends, by the end records that fit."""
@@ -195,16 +228,23 @@ def _flac(d: bytes, at: int, marks: Marks) -> int:
 
 
 def _ogg(d: bytes, at: int, marks: Marks) -> int:
-    a, last = at, 0
+    a, path, found = at, [], 0
     while d[a : a + 4] == b"OggS" and a + 27 <= len(d):
+        if a in marks.pages:
+            found = marks.pages[a]
+            break
+        path.append(a)
         table = d[a + 27 : a + 27 + d[a + 26]]
         end = a + 27 + len(table) + sum(table)
         if len(table) < d[a + 26] or end > len(d) or d[a + 4]:
             break
-        last, a = end if d[a + 5] & 4 else last, end
-        if last == end:
-            return end - at
-    return 0
+        if d[a + 5] & 4:  # the last page of a stream
+            found = end
+            break
+        a = end
+    for p in path:
+        marks.pages[p] = found
+    return found - at if found else 0
 
 
 def _mp4(d: bytes, at: int, marks: Marks) -> int:

@@ -25,10 +25,10 @@ broadcast (a bounded number of hot keys), so no key is one task.
 
 from __future__ import annotations
 
+import warnings
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zenithal.llm.skew import join_counted
@@ -50,7 +50,7 @@ GIVEN = {
     ("greek", "n"): ["Άγγελος", "Αλεξία", "Βίκυ", "Γιούλη", "Ευτυχία", "Ζήνων", "Κλειώ", "Λίνος", "Μίλτος", "Νεφέλη", "Ορέστης", "Ρήγας", "Σταύρος", "Τίτος", "Φώτης", "Χάρις"],
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён", "Юрий"],
     ("cyrillic", "f"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья", "Юлия"],
-    ("cyrillic", "n"): ["Саша", "Женя", "Валя", "Слава", "Паша", "Миша", "Никита", "Вася", "Шура", "Тоня", "Лёля", "Гена", "Кира", "Муся", "Рина", "Сима"],
+    ("cyrillic", "n"): ["Саша", "Женя", "Валя", "Слава", "Паша", "Миша", "Лера", "Вася", "Шура", "Тоня", "Лёля", "Гена", "Кира", "Муся", "Рина", "Сима"],
 }
 #: Syllables of invented family names by script.
 SYLLABLES = {
@@ -60,20 +60,37 @@ SYLLABLES = {
 }
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join(sorted((t.replace(".", r"\.") for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_TITLES = rf"(?:{_TITLE})(?: (?:{_TITLE}))*"
+_CARD = r"(?:4[0-9]{3}|5[1-5][0-9]{2}|2[2-7][0-9]{2}|35[0-9]{2}|6(?:011|[245][0-9]{2}))(?:[ -]?[0-9]{4}){3}(?![\w-])|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![\w-])"
+_IP = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![\w]|\.[0-9])"
+_IPV6 = r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![\w:])"
+_SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
+_CALL = r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])"
+_SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)(?:=|: ?| = )"
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBANS = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"\b" for n, c in IBAN_LENGTHS.items())
+#: What a phone number or an account number must not run on into: whatever else of digits begins there.
+_OTHER = rf"(?! (?:{_CARD}|{_IP}|{_IPV6}|{_SSN}|{_CALL}|[0-9A-Za-z._%+-]+@))"
+#: What is no second name: a title, a word with a digit behind it, a key, a mailbox, the name of a secret.
+_NO_NAME = rf"(?!(?:{_TITLE})(?![\p{{L}}\p{{N}}])|(?:AKIA|ASIA)[0-9A-Z]{{16}}|[A-Za-z0-9._%+-]+@|{_SECRET})"
 #: Type and pattern; earlier ones win where two begin at one place.
 PATTERNS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
     ("access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("password", r"\b(?i:password|passwd|pwd)(?:=|: ?| = )[^\s\"',;]{4,}"),
     ("token", r"\b(?i:token|secret|api[_-]?key)(?:=|: ?| = )\"?[A-Za-z0-9_\-]{16,}\"?"),
-    ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w.+-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])"),
-    ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
-    ("card", r"(?<![\w-])(?:4[0-9]{3}|5[1-5][0-9]{2}|2[2-7][0-9]{2}|35[0-9]{2}|6(?:011|[245][0-9]{2}))(?:[ -]?[0-9]{4}){3}(?![\w-])|(?<![\w-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![\w-])"),
-    ("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![\w:])"),
-    ("ip", r"(?<![\w.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![\w]|\.[0-9])"),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w.+-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w+])\+[0-9]{1,3}(?:" + _OTHER + r"[ .-]?[0-9]{2,4}){3,4}(?![0-9])"),
+    ("ssn", r"(?<![\w-])" + _SSN),
+    ("card", rf"(?<![\w-])(?:{_CARD})"),
+    ("ipv6", rf"(?<![\w:.])(?:{_IPV6})"),
+    ("ip", r"(?<![\w.])" + _IP),
+    ("iban", r"\b(?:" + _IBANS + r")|\b[A-Z]{2}[0-9]{2}(?:" + _OTHER + r" ?[A-Z0-9]{4}(?![a-z])){3,7}(?:" + _OTHER + r" ?[A-Z0-9]{1,3}(?![.:-]?[0-9]|[@+\w]))?\b"),
     ("hex_key", r"\b[0-9a-f]{40}\b"),
-    ("person", rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}) {_NAME}(?: {_NAME})?"),
+    ("person", rf"(?<![\p{{L}}\p{{N}}]){_TITLES} {_NO_NAME}{_NAME}(?![\p{{L}}\p{{N}}])(?: {_NO_NAME}{_NAME}(?![\p{{L}}\p{{N}}]))?"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A cheap test that every text with an entity passes.
@@ -104,7 +121,7 @@ def canonical(kind: Column, match: Column) -> Column:
     secret = F.regexp_replace(match, r"^[A-Za-z_-]+(?:=|: ?| = )\"?|\"$", "")
     national = F.when(F.length(digits) == 11, F.regexp_replace(digits, "^1", "")).otherwise(digits)  # +1 is often left out
     out = F.when(kind == "phone", national).when(kind.isin("card", "ssn"), digits).when(kind == "email", F.lower(match)).when(kind == "iban", F.replace(match, F.lit(" "), F.lit("")))
-    return out.when(kind.isin("password", "token"), secret).when(kind == "person", F.regexp_replace(match, rf"^(?:{_TITLE}) ", "")).otherwise(match)
+    return out.when(kind.isin("password", "token"), secret).when(kind == "person", F.regexp_replace(match, rf"^{_TITLES} ", "")).otherwise(match)
 
 
 def _stream(seed: Column, i: Column) -> Column:
@@ -213,25 +230,29 @@ def draw(entities: DataFrame, round_no: int, secret: str) -> DataFrame:
     return rows.withColumn("surrogate", out.otherwise(rest)).select(*entities.columns, "surrogate")
 
 
+def _space(kind: Column) -> Column:
+    """Where surrogates must differ: all given names are one space, whatever their list."""
+    return F.when(kind.startswith("given-"), "given").otherwise(kind)
+
+
 def surrogates(entities: DataFrame, secret: str) -> DataFrame:
-    """(kind, value, surrogate) for the distinct (kind, value, script): none is drawn twice for a kind, none is a value found.
+    """(kind, value, surrogate) for the distinct (kind, value) with their script: none is drawn twice for a kind (given names
+    of all lists count as one kind), none is a value found.
 
-    Who keeps a surrogate that several drew is the one with the least value; the others draw again."""
-    todo = materialize(entities.select("kind", "value", "script").distinct(), "pii-entities")
-    real = todo.select("kind", F.col("value").alias("surrogate"))
+    Who keeps a surrogate that several drew is the one with the least value; the others draw again. The least value is an
+    aggregate that each task begins, so very many that draw from a short list are no one task's."""
+    todo = materialize(entities.groupBy("kind", "value").agg(F.min("script").alias("script")), "pii-entities")
+    taken = todo.select(_space(F.col("kind")).alias("space"), F.col("value").alias("surrogate")).distinct()
     done: list[DataFrame] = []
     for i in count():
-        drawn = draw(todo, i, secret)
-        first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("value"))
-        taken = real if not done else real.unionByName(done[-1].select("kind", "surrogate"))
-        for d in done[:-1]:
-            taken = taken.unionByName(d.select("kind", "surrogate"))
-        free = drawn.join(taken.distinct().withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left")
-        free = materialize(free.withColumn("ok", F.col("taken").isNull() & (first == 1)).drop("taken"), "pii-round")
-        done.append(free.where("ok").select("kind", "value", "surrogate"))
-        todo = free.where("not ok").select("kind", "value", "script")
+        drawn = materialize(draw(todo, i, secret).withColumn("space", _space(F.col("kind"))), "pii-round")
+        first = drawn.groupBy("space", "surrogate").agg(F.min(F.struct("value", "kind")).alias("k")).join(taken, ["space", "surrogate"], "left_anti")
+        ok = materialize(first.select(F.col("k.kind").alias("kind"), F.col("k.value").alias("value"), "surrogate"), "pii-drawn")
+        done.append(ok)
+        todo = drawn.join(ok.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "script")
         if todo.isEmpty():
             break
+        taken = taken.unionByName(ok.select(_space(F.col("kind")).alias("space"), "surrogate"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -292,16 +313,18 @@ def replace(docs: DataFrame, text: str = "text", *, secret: str, count_column: s
     distinct = matches.groupBy("match").agg(F.count(F.lit(1)).alias("copies"))
     distinct = distinct.withColumn("kind", F.when((kind == "card") & (with_check_digit(digits) != digits), "number").otherwise(kind)).withColumn("value", canonical(F.col("kind"), F.col("match")))
     distinct = materialize(distinct, "pii-matches")
-    title = F.regexp_extract("match", rf"^({_TITLE}) ", 1)
-    gender = F.when(title.isin(TITLES["m"]), "m").when(title.isin(TITLES["f"]), "f").otherwise("n")
+    title = F.regexp_extract("match", rf"^({_TITLES}) ", 1)
+    told_by = lambda g: title.rlike("(?:^| )(?:" + "|".join(x.replace(".", r"\.") for x in TITLES[g]) + ")(?: |$)")
+    gender = F.when(told_by("m"), "m").when(told_by("f"), "f").otherwise("n")
     named = distinct.where("kind = 'person'").withColumn("family", F.regexp_extract("value", rf"({_NAME})$", 1)).withColumn("given", F.when(F.col("value").contains(" "), F.regexp_extract("value", rf"^({_NAME}) ", 1)))
-    named = named.withColumn("title", title).withColumn("gender", gender).withColumn("script", _script(F.col("value")))
+    # Each part has its own script; so an entity, a kind and a value, has one.
+    named = named.withColumn("title", title).withColumn("gender", gender).withColumn("script", _script(F.col("family"))).withColumn("given_script", _script(F.col("given")))
     told = named.groupBy("value").agg(F.min(F.when(F.col("gender") != "n", F.col("gender"))).alias("told"))
-    named = named.join(told, "value").withColumn("list", F.concat_ws("-", F.lit("given"), "script", F.coalesce("told", F.lit("n"))))
-    named = materialize(named.select("match", "copies", "value", "title", "family", "given", "script", "list"), "pii-people")
+    named = named.join(told, "value").withColumn("list", F.concat_ws("-", F.lit("given"), "given_script", F.coalesce("told", F.lit("n"))))
+    named = materialize(named.select("match", "copies", "value", "title", "family", "given", "script", "given_script", "list"), "pii-people")
     entities = distinct.where("kind not in ('person', 'number')").select("kind", "value", F.lit("latin").alias("script"))
     entities = entities.unionByName(named.select(F.lit("family").alias("kind"), F.col("family").alias("value"), "script"))
-    entities = entities.unionByName(named.where("given is not null").select(F.col("list").alias("kind"), F.col("given").alias("value"), "script"))
+    entities = entities.unionByName(named.where("given is not null").select(F.col("list").alias("kind"), F.col("given").alias("value"), F.col("given_script").alias("script")))
     drawn = materialize(surrogates(entities, secret), "pii-surrogates")
     plain = distinct.where("kind not in ('person', 'number')").join(drawn, ["kind", "value"])
     new = F.when(F.col("kind").isin("phone", "card", "ssn"), _write_like(F.col("match"), F.col("value"), F.col("surrogate")))
@@ -338,8 +361,11 @@ def replace(docs: DataFrame, text: str = "text", *, secret: str, count_column: s
 
 
 def secret_of(spark: SparkSession) -> str:
-    """The secret of the session's settings, or that for test tables."""
-    return spark.conf.get(SETTING, None) or TEST_SECRET
+    """The secret of the session's settings, or, with a warning, that for test tables."""
+    own = spark.conf.get(SETTING, None)
+    if not own:
+        warnings.warn(f"{SETTING} is not set: surrogates are drawn with a public secret, for test tables only", stacklevel=2)
+    return own or TEST_SECRET
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
