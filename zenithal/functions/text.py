@@ -35,13 +35,13 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
-#: Abbreviations after which a sentence goes on.
-ABBREVIATIONS = ["Eq", "Fig", "Sec", "Ref", "Tab", "Ch", "Vol", "No", "pp", "vs", "cf", "alt", "inc", "et al", r"i\.e", r"e\.g", "approx"]
+#: Abbreviations after which a sentence goes on, in capitals or not.
+ABBREVIATIONS = ["Eq", "Fig", "Sec", "Ref", "Tab", "Ch", "Vol", "No", "pp", "et al", r"i\.e", r"e\.g", "vs", "cf", "approx", "alt", "inc"]
 
 
 def protected_sentences(text: Column) -> Column:
     """Sentences that don't end at abbreviations or within decimals: cut only before a capital; trimmed, none empty."""
-    guard = r"(?<=[.!?])" + "".join(rf"(?<!\b{a}\.)" for a in ABBREVIATIONS) + r"\s+(?=[A-Z])"
+    guard = r"(?<=[.!?])" + "".join(rf"(?<!\b(?i:{a})\.)" for a in ABBREVIATIONS) + r"\s+(?=[A-Z])"
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), guard), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: s != "")
 

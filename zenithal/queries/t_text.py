@@ -115,15 +115,37 @@ def t7(t):
     return retrieval.bm25(t.documents, queries, "doc_id", "text", 20).select("query", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query("t8_acronym_expansion", "SELECT doc_id, 'LEO (Low Earth Orbit) and LEO, Pc (Collision Probability) by SGP4 (Simplified General Perturbations 4) for ' || lang || ' TCA (Time of Closest Approach)' AS text FROM documents")
+def _expanded(text: str) -> str:
+    for k, v in T.ACRONYMS.items():
+        text = f"regexp_replace({text}, '\\b{k}\\b', '{k} ({v})')"  # the first one only
+    return text
+
+
+_TALK = "text || ' LEO and LEO, Pc by SGP4 for ' || lang || ' TCA'"
+
+
+@query("t8_acronym_expansion", f"SELECT doc_id, {_expanded(_TALK)} AS text FROM documents")
 def t8(t):
-    return t.documents.select("doc_id", T.expand_acronyms(F.concat(F.lit("LEO and LEO, Pc by SGP4 for "), "lang", F.lit(" TCA"))).alias("text"))
+    """Whole texts, with a remark behind each that has acronyms."""
+    return t.documents.select("doc_id", T.expand_acronyms(F.concat("text", F.lit(" LEO and LEO, Pc by SGP4 for "), "lang", F.lit(" TCA"))).alias("text"))
+
+
+_SEEN = "text || ' NASA saw Starlink-' || CAST(doc_id AS VARCHAR) || ' near ISS at 550 km LEO after Falcon 9 and Apollo 11, says SpaceX. NASA.'"
+
+
+def _entities(kind: str) -> str:
+    pattern, most = T.ENTITIES[kind]
+    return f"array_to_string(list_sort(list_distinct(regexp_extract_all({_SEEN}, '{pattern}')))[1:{most}], ',')"
 
 
-@query("t9_entities", "SELECT doc_id, 'ISS,Starlink-' || CAST(doc_id AS VARCHAR) AS satellites, 'Apollo 11' AS missions, 'Falcon 9' AS vehicles, '550 km LEO' AS orbits, 'NASA,SpaceX' AS organisations FROM documents")
+def _seen():
+    return F.concat("text", F.lit(" NASA saw Starlink-"), "doc_id", F.lit(" near ISS at 550 km LEO after Falcon 9 and Apollo 11, says SpaceX. NASA."))
+
+
+@query("t9_entities", "SELECT doc_id, " + ", ".join(f"{_entities(k)} AS {k}" for k in T.ENTITIES) + " FROM documents")
 def t9(t):
-    text = F.concat(F.lit("NASA saw Starlink-"), "doc_id", F.lit(" near ISS at 550 km LEO after Falcon 9 and Apollo 11, says SpaceX. NASA."))
-    return t.documents.select("doc_id", *[F.array_join(T.entities(text, k), ",").alias(k) for k in ("satellites", "missions", "vehicles", "orbits", "organisations")])
+    """Whole texts, with a remark behind each that names some entities."""
+    return t.documents.select("doc_id", *[F.array_join(T.entities(_seen(), k), ",").alias(k) for k in T.ENTITIES])
 
 
 @query("t10_topic_tags", "WITH d AS (SELECT doc_id, lower(text) AS x FROM documents) SELECT doc_id, concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(x, '{k}')" for k in keys if k == k.lower()) + f" THEN '{n}' END" for n, keys in T.TOPICS.items()) + ") AS topics FROM d")
@@ -131,14 +153,19 @@ def t10(t):
     return t.documents.select("doc_id", F.array_join(T.topics(F.col("text")), ",").alias("topics"))
 
 
-@query("t11_agency_and_kind", """
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'NASA' WHEN 1 THEN 'ESA' WHEN 2 THEN 'ISRO' WHEN 3 THEN 'JAXA' WHEN 4 THEN 'CNSA' ELSE 'OTHER' END AS agency, CASE doc_id % 4 WHEN 0 THEN 'mission_report' WHEN 1 THEN 'technical_report' WHEN 2 THEN 'standards_doc' ELSE 'unknown' END AS kind FROM documents""")
+def _first(text: str, rules: dict[str, list[str]], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '(?i)" + "|".join(f"(?:{p})" for p in ps) + f"') THEN '{n}'" for n, ps in rules.items()) + f" ELSE '{otherwise}' END"
+
+
+_BY = "CASE doc_id % 9 WHEN 0 THEN 'by nasa flight report ' WHEN 1 THEN 'of the European Space Agency technical  memorandum ' WHEN 2 THEN 'VSSC lab ISO 27852 ' WHEN 3 THEN 'Japan Aerospace letter ' WHEN 4 THEN 'CNSA ' ELSE '' END || text"
+
+
+@query("t11_agency_and_kind", f"SELECT doc_id, {_first(f'substr({_BY}, 1, 2000)', T.AGENCIES, 'OTHER')} AS agency, {_first(f'substr({_BY}, 1, 3000)', T.KINDS, 'unknown')} AS kind FROM documents WHERE text IS NOT NULL")
 def t11(t):
-    i = F.col("doc_id")
-    who = F.element_at(F.array(*[F.lit(x) for x in ("by nasa", "of the European Space Agency", "VSSC lab", "Japan Aerospace", "CNSA", "nobody")]), (i % 6 + 1).cast("int"))
-    what = F.element_at(F.array(*[F.lit(x) for x in (" flight report", " technical  memorandum", " ISO 27852", " letter")]), (i % 4 + 1).cast("int"))
-    text = F.concat(who, what)
-    return t.documents.select("doc_id", T.agency(text).alias("agency"), T.document_kind(text).alias("kind"))
+    """Whole documents, some with a head that names an agency and a kind."""
+    heads = F.array(*[F.lit(x) for x in ("by nasa flight report ", "of the European Space Agency technical  memorandum ", "VSSC lab ISO 27852 ", "Japan Aerospace letter ", "CNSA ", "", "", "", "")])
+    text = F.concat(F.element_at(heads, (F.col("doc_id") % 9 + 1).cast("int")), "text")
+    return t.documents.where("text is not null").select("doc_id", T.agency(text).alias("agency"), T.document_kind(text).alias("kind"))
 
 
 #: Words of intents, in order.
@@ -160,11 +187,11 @@ def t12(t):
     return t.conversations.select("conv_id", "turn", out.alias("intent"))
 
 
-@query("t13_relationship_type", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'OPERATED_BY' WHEN 1 THEN 'LOCATED_IN' END AS type FROM part")
+@query("t13_relationship_type", "SELECT src, dst, CASE WHEN type IN ('OPERATED_BY', 'LOCATED_IN', 'SUBSIDIARY_OF') THEN type END AS type FROM edges")
 def t13(t):
-    i = F.col("p_partkey") % 3
-    raw = F.when(i == 0, "Operated  by ").when(i == 1, "located_in").otherwise("friend of")
-    return t.part.select("p_partkey", T.relationship_type(raw, ["OPERATED_BY", "LOCATED_IN"]).alias("type"))
+    """The types of all edges as a text may say them; those that are not known give null."""
+    raw = F.concat(F.lit(" "), F.initcap(F.replace("type", F.lit("_"), F.lit("  "))), F.lit(" "))
+    return t.edges.select("src", "dst", T.relationship_type(raw, ["OPERATED_BY", "LOCATED_IN", "SUBSIDIARY_OF"]).alias("type"))
 
 
 @query("t14_citations", """
@@ -213,10 +240,14 @@ def r2(t):
     return retrieval.word_windows(t.documents, "doc_id", "text").select(F.col("key").alias("doc_id"), "chunk", F.sha2("body", 256).alias("digest"))
 
 
-@query("r3_enrichment", "SELECT doc_id, 'ISS' AS satellites, 'reentry,' || lang AS tags FROM documents")
+_TAGS = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{k}')" for k in keys if k == k.lower()) + f" THEN '{n}' END" for n, keys in T.TOPICS.items())
+
+
+@query("r3_enrichment", f"SELECT doc_id, {_entities('satellites')} AS satellites, {_entities('numbers')} AS numbers, array_to_string(list_sort(list_distinct(list_filter([{_TAGS}, lang, source], lambda x: x IS NOT NULL))), ',') AS tags FROM documents")
 def r3(t):
-    text = F.lit("The ISS and its orbital decay")
-    return t.documents.select("doc_id", F.array_join(T.entities(text, "satellites"), ",").alias("satellites"), F.array_join(F.array_union(T.topics(text), F.array("lang")), ",").alias("tags"))
+    """Entities of each whole text, and its topics joined with the tags it has already."""
+    tags = F.array_sort(F.array_union(T.topics(F.col("text")), F.array_compact(F.array("lang", "source"))))
+    return t.documents.select("doc_id", *[F.array_join(T.entities(_seen(), k), ",").alias(k) for k in ("satellites", "numbers")], F.array_join(tags, ",").alias("tags"))
 
 
 @query("r4_sparse_weights", f"""
@@ -256,8 +287,10 @@ def r6(t):
 
 def _ranked(t, order):
     """Two top lists of 50 for each language, as a dense and a sparse search would give them."""
+    # A plain limit on row_number is applied in each task before the shuffle.
     w = W.partitionBy("lang").orderBy(*order)
-    return t.documents.select(F.col("lang").alias("query"), F.col("doc_id").alias("key"), (F.row_number().over(w) - 1).alias("rank")).where("rank < 50")
+    best = t.documents.select(F.col("lang").alias("query"), F.col("doc_id").alias("key"), F.row_number().over(w).alias("k")).where("k <= 50")
+    return best.select("query", "key", (F.col("k") - 1).alias("rank"))
 
 
 @query("r7_rank_fusion", """
