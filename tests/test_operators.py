@@ -267,7 +267,7 @@ def test_docx(spark):
         z.writestr("word/document.xml", xml)
     df = spark.createDataFrame([("a.docx", out.getvalue()), ("bad.docx", b"no zip"), ("null", None)], "path string, content binary")
     got = {r.path: [(s.heading, s.body) for s in r.sections] for r in documents.load_docx(df).collect()}
-    assert got == {"a.docx": [("Introduction", "first"), ("Title", "text\na | b")], "bad.docx": [], "null": []}
+    assert got == {"a.docx": [("Document", "first"), ("Title", "text"), ("[TABLE]", "a | b")], "bad.docx": [], "null": []}
 
 
 def test_entities_and_acronyms(spark):

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from zenithal.functions import tle
 from zenithal.plans.registry import query
-from zenithal.session import shared_dir
-from zenithal.sources import catalogues, documents, journal, registry
+from zenithal.session import materialize, shared_dir
+from zenithal.sources import catalogues, documents, journal, loaders, registry
 from zenithal.sources import tle as tle_source
 
 _CHECK = "list_sum(list_transform(string_split(regexp_replace(substr({0}, 1, 68), '[^0-9-]', '', 'g'), ''), lambda c: CASE WHEN c = '-' THEN 1 ELSE CAST(c AS INTEGER) END)) % 10"
@@ -139,6 +139,19 @@ def a17(t):
     return t.documents.select("doc_id", documents.latex_text(raw).alias("text"), F.array_join(documents.latex_headings(raw), ",").alias("headings"))
 
 
+@query("a18_documents_as_files", r"""
+WITH k AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 AND NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]') THEN 'docx' WHEN doc_id % 3 = 1 AND NOT regexp_matches(text, '[\\{}$]') THEN 'latex' ELSE 'html' END AS loader, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), ' ') AS words FROM documents)
+SELECT doc_id, loader, sha256(CASE WHEN loader = 'html' AND length(trim(text)) <= 20 THEN '' ELSE words END) AS digest FROM k""")
+def a18(t):
+    """Every document written as DOCX, LaTeX or HTML, read back from a folder of files whose names don't tell which, and its words."""
+    kind = F.when((F.col("doc_id") % 3 == 0) & ~F.col("text").rlike(loaders.REFUSED["docx"]), "docx").when((F.col("doc_id") % 3 == 1) & ~F.col("text").rlike(r"[\\{}$]"), "latex").otherwise("html")
+    folder = shared_dir(t.spark, "files")
+    written = materialize(loaders.export(t.documents, "doc_id", "text", kind, folder), "files-manifest")
+    got = loaders.load_folder(t.spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "loader", F.array_join(F.transform("sections", lambda s: s["body"]), " ").alias("body"))
+    words = F.array_join(F.filter(F.split("body", r"\s+"), lambda w: w != ""), " ")
+    return written.join(got, "name").select(F.col("key").alias("doc_id"), "loader", F.sha2(words, 256).alias("digest"))
+
+
 @query("a19_loader_routing", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'latex' WHEN 3 THEN 'docx' END AS loader FROM documents")
 def a19(t):
     i = F.col("doc_id") % 5

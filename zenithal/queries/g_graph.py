@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zenithal.functions import orbit
-from zenithal.operators import communities, filters, graph
+from zenithal.operators import communities, filters, graph, intervals
 from zenithal.plans.registry import query
 
 RISK = "CASE WHEN pc >= 1e-3 THEN 'red' WHEN pc >= 1e-4 THEN 'yellow' WHEN pc >= 1e-5 THEN 'green' ELSE 'white' END"
@@ -100,6 +100,33 @@ def g9(t):
     return now.groupBy("type").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"))
 
 
+_VALID = "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), e AS (SELECT *, make_date(since, 1, 1) AS a, make_date(until, 12, 31) AS b FROM edges)"
+
+
+def _dated(edges):
+    """Validity in days since 1970: from the first day of ``since`` to the last one of ``until``."""
+    number = lambda year, rest: F.when(F.col(year).isNotNull(), F.unix_date(F.make_date(F.col(year), *rest)))
+    return edges.withColumn("first_day", number("since", (F.lit(1), F.lit(1)))).withColumn("last_day", number("until", (F.lit(12), F.lit(31))))
+
+
+def _days(t):
+    return t.orders.select(F.unix_date(F.to_date("o_orderdate")).alias("number")).distinct()
+
+
+@query("g9_snapshots_at_all_dates", f"{_VALID} SELECT day, type, count(*) AS edges FROM d JOIN e ON (a IS NULL OR a <= day) AND (b IS NULL OR b >= day) GROUP BY 1, 2")
+def g9_all(t):
+    """How many edges of each type are valid at each date at which there is an order."""
+    found = intervals.counts_at(_dated(t.edges), _days(t), "first_day", "last_day", "number", ["type"])
+    return found.select(F.date_from_unix_date("number").alias("day"), "type", F.col("n").alias("edges"))
+
+
+@query("c10_valid_at_all_dates", f"{_VALID} SELECT day, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM d JOIN e ON (a IS NULL OR a <= day) AND (b IS NULL OR b >= day) WHERE type IN ('SUBSIDIARY_OF', 'HEADQUARTERED_IN') GROUP BY 1")
+def c10_all(t):
+    """The organisational graph at each date at which there is an order: every edge with every date that it is valid at."""
+    met = intervals.holding(_dated(_structure(t)), _days(t), "first_day", "last_day", "number")
+    return met.groupBy(F.date_from_unix_date("number").alias("day")).agg(F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+
+
 @query("g10_path_chain", "SELECT a.src AS satellite, a.dst AS operator, b.dst AS country, c.dst AS region FROM edges a JOIN edges b ON b.src = a.dst AND b.type = 'HEADQUARTERED_IN' JOIN edges c ON c.src = b.dst AND c.type = 'LOCATED_IN' WHERE a.type = 'OPERATED_BY'")
 def g10(t):
     return graph.chain(t.edges, "OPERATED_BY", "HEADQUARTERED_IN", "LOCATED_IN").toDF("satellite", "operator", "country", "region")

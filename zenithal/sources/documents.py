@@ -102,22 +102,24 @@ def latex_headings(raw: Column) -> Column:
 
 
 def docx_sections(data: bytes) -> list[dict]:
-    """Sections of a DOCX file by its heading styles; rows of tables as cells with bars between them."""
+    """Sections of a DOCX file by its heading styles, then its tables: each a section ``[TABLE]`` of rows of cells with bars
+    between them."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
-    out, heading, lines = [], "Introduction", []
+    out, tables, heading, lines = [], [], "Document", []
     text = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t")).strip()
     for e in body if body is not None else []:
         style = e.find(f"{w}pPr/{w}pStyle")
         if e.tag == f"{w}tbl":
-            lines += [" | ".join(text(c) for c in r.iter(f"{w}tc")) for r in e.iter(f"{w}tr")]
+            rows = "\n".join(" | ".join(text(c) for c in r.iter(f"{w}tc")) for r in e.iter(f"{w}tr"))
+            tables += [{"heading": "[TABLE]", "body": rows}] if rows.strip() else []
         elif style is not None and re.match("Heading", style.get(f"{w}val", "")):
-            out += [{"heading": heading, "body": "\n".join(lines)}] if lines else []
+            out += [{"heading": heading, "body": " ".join(lines)}] if lines else []
             heading, lines = text(e), []
         elif text(e):
             lines.append(text(e))
-    return out + ([{"heading": heading, "body": "\n".join(lines)}] if lines else [])
+    return [*out, *([{"heading": heading, "body": " ".join(lines)}] if lines else []), *tables]
 
 
 def load_docx(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
