@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,8 +79,3 @@ class Table:
     def delete(self, value) -> DataFrame:
         """The table without the row."""
         return self.df.where(~F.col(self.key).eqNullSafe(value))
-
-
-def score_with(df: DataFrame, question: str, expected: str, infer: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``df`` plus ``answer``: what ``infer`` makes of the question; without one the expected answer stands in."""
-    return df.withColumn("answer", F.col(expected) if infer is None else infer(F.col(question)))
