@@ -88,6 +88,14 @@ def alike(pairs: DataFrame) -> DataFrame:
     return pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)")
 
 
+def early(n: Column) -> Column:
+    """How many shingles of the prefix of a set of ``n`` are early: a pair at 4/5 shares one that is early in its smaller set.
+
+    A pair shares at least 4 / 9 of both sizes, so 8 / 9 of the smaller one; of these one is among its first n - ceil(8 n / 9) + 1,
+    and in the larger set among the first that the prefix has."""
+    return n - F.floor((8 * n + 8) / 9) + 1
+
+
 def count_shared(pairs: DataFrame) -> DataFrame:
     """(a, b, na, nb) of pairs that come with numbers ``w`` of shingles that their prefixes share, if these leave 4/5 possible.
 
@@ -97,6 +105,13 @@ def count_shared(pairs: DataFrame) -> DataFrame:
     return counted.where((F.col("c") + F.greatest(rest("na"), rest("nb"))) * 9 >= (F.col("na") + F.col("nb")) * 4).drop("c")
 
 
+def shared_prefixes(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) whose prefixes (of ``texts``: id, prefix) share as many shingles as 4/5 asks for."""
+    own = [texts.select(F.col("id").alias(x), F.col("prefix").alias(f"p{x}")) for x in "ab"]
+    met = pairs.join(own[0], "a").join(own[1], "b")
+    return count_shared(met.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("w")))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, docs: DataFrame, digest: Column, text: Column, width: int) -> DataFrame:
     """The pairs (a, b) of ids with a similarity of at least 4/5, decided by the whole sets.
 

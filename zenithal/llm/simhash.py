@@ -273,8 +273,8 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius:
 
     Fingerprints at ``radius`` or fewer differing bits are candidates, found by the trees; so are texts that share a shingle
     of the index of prefixes (see ``jaccard``), as a pair at 0.8 may differ in more bits than trees can look for. Every link is
-    decided by whole sets. Candidates of one group are first compared with its least and its greatest member, and only pairs of
-    different components are compared after that.
+    decided by whole sets. Candidates of one group are first compared with its least and its greatest member; after that only
+    pairs of different components whose smaller text has a shingle of the group in its early prefix.
 
     ``digest`` is SHA-256 of the text, ``copies`` the number of rows that have it; null counts as empty, and texts without
     words are alike. Other columns are not read. An empty table gives an empty result.
@@ -308,12 +308,12 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius:
 
     # Candidates by the index of prefixes: with the least and the greatest member of each of its groups.
     group = W.partitionBy("h")
-    met = texts.select(F.explode("prefix").alias("h"), "id", "n")
+    met = texts.select(F.posexplode("prefix").alias("at", "h"), "id", "n").withColumn("early", F.col("at") < jaccard.early(F.col("n")))
     member = F.struct("id", "n")
     met = met.withColumn("size", F.count(F.lit(1)).over(group)).withColumn("least", F.min(member).over(group)).withColumn("greatest", F.max(member).over(group))
     met = met.withColumn("of", F.bit_xor(F.xxhash64("id")).over(group)).where("size > 1")
     # Shingles of one passage have the same members: such groups are one, which counts for as many shingles.
-    met = met.groupBy("of", "size", "id", "n", "least", "greatest").agg(F.count(F.lit(1)).alias("w"))
+    met = met.groupBy("of", "size", "id", "n", "least", "greatest").agg(F.count(F.lit(1)).alias("w"), F.max("early").alias("early"))
     met = materialize(met, "jaccard-index")
     star = lambda end: met.select(F.col(f"{end}.id").alias("a"), F.col("id").alias("b"), F.col(f"{end}.n").alias("na"), F.col("n").alias("nb"), "w").where("a <> b")
     stars = jaccard.count_shared(star("least")).unionByName(jaccard.count_shared(star("greatest")))
@@ -323,14 +323,16 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius:
     none = blank.agg(F.min("id")).first()[0]
     links = links if none is None else links.unionByName(blank.where(F.col("id") != none).select(F.lit(none).alias("a"), F.col("id").alias("b")))
 
-    # What is left: groups of the index with members of several components.
+    # What is left: groups of the index with members of several components. The smaller text of a pair must have a shingle of
+    # the group in its early prefix, which few texts that only share a passage have.
     root = connected_components(links).withColumnRenamed("node", "id")
     group = W.partitionBy("of", "size")
-    roots = met.join(root, "id", "left").select("of", "size", "w", "id", "n", F.coalesce("component", "id").alias("root"))
+    roots = met.join(root, "id", "left").select("of", "size", "early", "id", "n", F.coalesce("component", "id").alias("root"))
     mixed = roots.withColumn("mixed", F.min("root").over(group) != F.max("root").over(group)).where("mixed").drop("mixed")
     mixed = materialize(mixed, "jaccard-mixed")
-    left, right = (mixed.select("of", "size", *(["w"] if x == "a" else []), F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    links = links.unionByName(confirm(jaccard.count_shared(left.join(right, ["of", "size"]).where("a < b and ra <> rb"))))
+    left, right = (mixed.where("early" if x == "a" else "true").select("of", "size", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+    pairs = left.join(right, ["of", "size"]).where("(na < nb or na = nb and a < b) and ra <> rb")
+    links = links.unionByName(confirm(jaccard.shared_prefixes(jaccard.alike(pairs).select("a", "b", "na", "nb").distinct(), texts)))
     root = connected_components(links).withColumnRenamed("node", "id")
     return materialize(texts.select("id", "digest", "copies").join(root, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("root")), "simhash-roots")
 
