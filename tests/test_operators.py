@@ -160,7 +160,7 @@ def test_near_pairs_are_exact(spark):
 
 def test_asof_ties_and_gaps(spark):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 9)], "id int, k string, t int")
-    right = spark.createDataFrame([("a", 2, 1, "old"), ("a", 5, 1, "one"), ("a", 5, 2, "two"), ("c", 1, 1, "other")], "k string, s int, n int, v string")
+    right = spark.createDataFrame([("a", 2, 1, "old"), ("a", 5, 1, "one"), ("a", 5, 2, "two"), ("c", 1, 1, "other"), (None, 1, 1, "nobody's")], "k string, s int, n int, v string")
     for bucket in (30, 3, 1):
         got = joins.asof(left, right, "k", "t", "s", ["n"], ["v"], bucket)
         assert {r.id: r.v for r in got.collect()} == {1: "two", 2: None, 3: None, 4: None}

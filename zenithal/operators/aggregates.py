@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zenithal.functions.orbit import EARTH_RADIUS_KM
@@ -23,10 +24,12 @@ def counts_by(df: DataFrame, key: str, unknown: str = "unknown") -> DataFrame:
     return df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit(unknown)).alias(key)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def sample_of(column: str | Column, n: int) -> Column:
-    """The first ``n`` distinct values in order: the sample that a profile shows. Only distinct values are gathered, so it
-    is meant for columns with few of them."""
-    return F.slice(F.array_sort(F.collect_set(column)), 1, n)
+def samples(df: DataFrame, group: str, column: str, n: int) -> DataFrame:
+    """(group, sample): the first ``n`` distinct values of a column in order, for each group that has any. Tasks cut their own
+    distinct values to ``n`` before the shuffle, so no set of all values is ever gathered."""
+    distinct = df.where(F.col(column).isNotNull()).select(group, column).distinct()
+    first = distinct.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy(column))).where(F.col("_k") <= n)
+    return first.groupBy(group).agg(F.array_sort(F.collect_list(column)).alias("sample"))
 
 
 def density_map(states: DataFrame, altitude: str, kind: str, shells: DataFrame) -> DataFrame:

@@ -35,19 +35,22 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, since: str, ties:
     number = isinstance(left.schema[at].dataType, NumericType)
     day = lambda c: F.floor((F.col(c) if number else F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))) / bucket)
     n = range(len(ties))
-    a = left.select(F.struct(*left.columns).alias("_l"), F.col(key).alias("_k"), F.col(at).alias("_t"), day(at).alias("_b"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[t].dataType).alias(f"_tie{i}") for i, t in enumerate(ties)])
-    b = right.where(F.col(since).isNotNull()).select(F.struct(*values).alias("_v"), F.col(key).alias("_k"), F.col(since).alias("_t"), day(since).alias("_b"), F.lit(0).alias("_side"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(ties)])
+    # Rows that can find nothing are set aside: null keys must neither meet each other nor share a task.
+    can = F.col(key).isNotNull() & F.col(at).isNotNull()
+    rest = left.where(~can).select(*left.columns, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
+    a = left.where(can).select(F.struct(*left.columns).alias("_l"), F.col(key).alias("_k"), F.col(at).alias("_t"), day(at).alias("_b"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[t].dataType).alias(f"_tie{i}") for i, t in enumerate(ties)])
+    b = right.where(F.col(since).isNotNull() & F.col(key).isNotNull()).select(F.struct(*values).alias("_v"), F.col(key).alias("_k"), F.col(since).alias("_t"), day(since).alias("_b"), F.lit(0).alias("_side"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(ties)])
     order = ["_t", *[f"_tie{i}" for i in n]]
     w = W.partitionBy("_k", "_b").orderBy("_t", "_side", *order[1:]).rowsBetween(W.unboundedPreceding, 0)
     near = a.unionByName(b, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
     # The last row of each bucket, and for each bucket what was last before it.
     last = b.groupBy("_k", "_b").agg(F.max_by("_v", F.struct(*order)).alias("_v"))
-    asked = a.where(F.col("_k").isNotNull() & F.col("_b").isNotNull()).select("_k", "_b").distinct()
+    asked = a.select("_k", "_b").distinct()
     over = W.partitionBy("_k").orderBy("_b", "_side").rowsBetween(W.unboundedPreceding, 0)
     both = last.withColumn("_side", F.lit(1)).unionByName(asked.withColumn("_side", F.lit(0)), allowMissingColumns=True)  # a bucket asks before it adds
     before = both.withColumn("_w", F.last("_v", ignorenulls=True).over(over)).where("_side = 0").select("_k", "_b", "_w")
     out = near.join(before, ["_k", "_b"], "left").withColumn("_v", F.coalesce("_v", "_w"))
-    return out.select("_l.*", *[F.col(f"_v.{v}").alias(v) for v in values])
+    return out.select("_l.*", *[F.col(f"_v.{v}").alias(v) for v in values]).unionByName(rest)
 
 
 def band_join(df: DataFrame, column: str, bands: DataFrame, low: str, high: str) -> DataFrame:

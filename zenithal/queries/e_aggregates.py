@@ -63,7 +63,8 @@ def e6(t):
 
 @query("e7_distinct_samples", "SELECT country, count(*) AS satellites, array_to_string(list_sort(list(DISTINCT mission_type))[:3], ',') AS sample, min(mission_type) AS first FROM catalog GROUP BY 1")
 def e7(t):
-    return t.catalog.groupBy("country").agg(F.count(F.lit(1)).alias("satellites"), F.array_join(agg.sample_of("mission_type", 3), ",").alias("sample"), F.min("mission_type").alias("first"))
+    counts = t.catalog.groupBy("country").agg(F.count(F.lit(1)).alias("satellites"), F.min("mission_type").alias("first"))
+    return counts.join(agg.samples(t.catalog, "country", "mission_type", 3), "country", "left").select("country", "satellites", F.array_join("sample", ",").alias("sample"), "first")
 
 
 @query("e8_top_in_group", """
