@@ -42,12 +42,12 @@ def screen(sets: DataFrame, start: str, hours: float = 1.5, step_seconds: int =
     speed, probability by the short series, and risk. Only objects of such pairs are propagated over the grid."""
     spark = sets.sparkSession
     now = states(sets, epochs(spark, start, 1, 1))
-    pairs = joins.near_pairs(now.select("norad_id", *XYZ), "norad_id", XYZ, distance_km).select("id_a", "id_b")
-    pairs = materialize(pairs, "screen-pairs")
+    now = materialize(now.select("norad_id", *XYZ), "screen-now")
+    pairs = joins.near_pairs(now, "norad_id", XYZ, distance_km)
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("norad_id")).distinct()
     own = sets.withColumn("norad_id", F.trim(F.substring("line1", 3, 5)).try_cast("int")).join(ids, "norad_id", "left_semi").drop("norad_id")
     ephemeris = materialize(states(own, epochs(spark, start, int(hours * 3600 / step_seconds) + 1, step_seconds)), "screen-states")
-    best = joins.closest_approach(pairs, ephemeris, "norad_id", "epoch", XYZ)
+    best = joins.near_approaches(now, ephemeris, "norad_id", "epoch", XYZ, distance_km)
     at = lambda n: ephemeris.select(F.col("norad_id").alias(f"id_{n}"), F.col("epoch").alias("tca"), F.struct("vx", "vy", "vz").alias(f"v_{n}"))
     met = best.join(at("a"), ["id_a", "tca"]).join(at("b"), ["id_b", "tca"])
     speed = F.sqrt(sum((F.pow(F.col(f"v_a.{c}") - F.col(f"v_b.{c}"), 2.0) for c in ("vy", "vz")), F.pow(F.col("v_a.vx") - F.col("v_b.vx"), 2.0)))
