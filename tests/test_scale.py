@@ -36,3 +36,9 @@ def test_near_approaches_do_not_write_the_pairs(spark):
 def test_d10_broadcasts_no_exploded_table(spark):
     plan = QUERIES["d10_closest_approach"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" in plan and plan.count("map_from_entries") >= 1
+
+
+def test_element_sets_are_written_and_dealt_out(spark):
+    for name in ("b16_sgp4", "b17_batch_propagation"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "lpad" not in plan  # the expressions that make the lines are not repeated in each check of a line

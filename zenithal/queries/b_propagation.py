@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 from zenithal.functions import orbit, tle
 from zenithal.operators import joins, propagation
 from zenithal.plans.registry import query
+from zenithal.session import materialize
 
 _XYZ = ("x", "y", "z", "vx", "vy", "vz")
 
 
+def written_sets(t):
+    """The element sets, dealt out and written once: checks and fields name the two lines some hundred times, and Spark would
+    put the expressions that make them from the suppliers in place of each name when it moves filters down, in one task for a
+    small file."""
+    return materialize(t.tle_sets.repartition(max(t.partitions, t.spark.sparkContext.defaultParallelism), "set_id", "k"), "element-sets")
+
+
 def latest_sets(t):
     """The latest set of each object, of equal epochs that with the greatest id."""
-    f = tle.fields()
-    rows = t.tle_sets.select(*t.tle_sets.columns, f["norad_id"].alias("norad_id"), tle.epoch(f["epoch_year"], f["epoch_day"]).alias("set_epoch"))
+    f, sets = tle.fields(), written_sets(t)
+    rows = sets.select(*sets.columns, f["norad_id"].alias("norad_id"), tle.epoch(f["epoch_year"], f["epoch_day"]).alias("set_epoch"))
     return joins.latest_per_key(rows, ["norad_id"], [F.col("set_epoch"), F.col("set_id"), F.col("k")]).drop("norad_id", "set_epoch")
 
 
@@ -26,7 +34,7 @@ def _epochs(t, n: int, step: int):
 def b16(t):
     """Every valid element set at its own epoch plus 0 to 90 minutes."""
     f = tle.fields()
-    rows = t.tle_sets.where(F.size(tle.errors()) == 0).select("set_id", "k", *[f[c].alias(c) for c in propagation.ELEMENTS])
+    rows = written_sets(t).where(F.size(tle.errors()) == 0).select("set_id", "k", *[f[c].alias(c) for c in propagation.ELEMENTS])
     rows = propagation.propagate(rows.withColumn("minutes", F.explode(F.sequence(F.lit(0), F.lit(90), F.lit(30)))), "minutes")
     return rows.select("set_id", "k", "minutes", "state.error", *[F.round(f"state.{c}", 6).alias(c) for c in _XYZ])
 
@@ -34,7 +42,7 @@ def b16(t):
 @query("b17_batch_propagation")
 def b17(t):
     """All sets at a grid of epochs, and the success rate of each epoch."""
-    states = propagation.at_epochs(t.tle_sets, _epochs(t, 8, 15))
+    states = propagation.at_epochs(written_sets(t), _epochs(t, 8, 15))
     ok = F.count_if(F.col("state.error") == 0)
     return states.groupBy("epoch").agg(F.count(F.lit(1)).alias("total"), ok.alias("nominal"), F.round(ok / F.count(F.lit(1)), 6).alias("rate"))
 
