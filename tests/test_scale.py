@@ -42,3 +42,9 @@ def test_element_sets_are_written_and_dealt_out(spark):
     for name in ("b16_sgp4", "b17_batch_propagation"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "lpad" not in plan  # the expressions that make the lines are not repeated in each check of a line
+
+
+def test_b36_is_many_tasks_without_interpreted_steps(spark):
+    df = QUERIES["b36_two_body_forecast"](spark, SF)
+    assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.rdd.getNumPartitions() > 1
