@@ -1,10 +1,13 @@
 """What must not grow with the square of the input, or change with its size: each on small rows."""
 
+import duckdb
 import numpy as np
 from conftest import SF
 
+from zenithal.functions import text as T
 from zenithal.operators import joins
-from zenithal.plans.registry import QUERIES
+from zenithal.plans.registry import ORACLES, QUERIES
+from zenithal.queries.t_text import _first
 
 
 def test_bin_links_stand_for_all_pairs(spark):
@@ -48,3 +51,14 @@ def test_b36_is_many_tasks_without_interpreted_steps(spark):
     df = QUERIES["b36_two_body_forecast"](spark, SF)
     assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert df.rdd.getNumPartitions() > 1
+
+
+def test_either_case_means_the_same_to_both_engines(spark):
+    texts = ["éESA x", "x ESAé", "esa", "a ESA", "ESTEC", "EſTEC", "NAſA", "KNASA", "x_NASA", "日NASA", "(nasa)", "Technical\x0bNote", "Technical Note", "user  manual", "tm-5", "éESA"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    for fn, rules, other in ((T.agency, T.AGENCIES, "OTHER"), (T.document_kind, T.KINDS, "unknown")):
+        got = [r.v for r in df.orderBy("i").select(fn(df.x).alias("v")).collect()]
+        con = duckdb.connect()
+        want = [con.execute(f"SELECT {_first('x', rules, other)} FROM (SELECT ? AS x)", [x]).fetchall()[0][0] for x in texts]
+        assert got == want
+    assert "x4_job_leases" in ORACLES
