@@ -8,6 +8,7 @@ from zenithal.functions import text as T
 from zenithal.operators import joins
 from zenithal.plans.registry import ORACLES, QUERIES
 from zenithal.queries.t_text import _first
+from zenithal.streaming import leases
 
 
 def test_bin_links_stand_for_all_pairs(spark):
@@ -62,3 +63,9 @@ def test_either_case_means_the_same_to_both_engines(spark):
         want = [con.execute(f"SELECT {_first('x', rules, other)} FROM (SELECT ? AS x)", [x]).fetchall()[0][0] for x in texts]
         assert got == want
     assert "x4_job_leases" in ORACLES
+
+
+def test_a_run_that_takes_no_time_is_released():
+    step = leases.lease(2_700_000, 7_200_000)
+    out, _, _ = step([(5, 1, "a", False), (5, 1, "a", True), (5, 2, "b", False), (7_200_000, 3, "c", False), (7_200_500, 3, "c", True)], None, 10**9)
+    assert [(o[0], o[2], o[3]) for o in out] == [(1, "run", 5), (1, "released", 5), (2, "done", 5), (3, "run", 7_200_000), (3, "released", 7_200_500)]

@@ -19,7 +19,9 @@ def lease(ttl_ms: int, every_ms: int) -> Step:
     def step(due, state, now):
         holder, until, fence, last = state or (-1, 0, 0, None)
         out = []
-        for at, number, owner, ends in sorted(due, key=lambda x: (x[0], not x[3], x[1])):
+        # A run that takes no time ends behind its own attempt, not before it.
+        begun = {(at, number) for at, number, _, ends in due if not ends}
+        for at, number, owner, ends in sorted(due, key=lambda x: (x[0], not x[3] or x[:2] in begun, x[1], x[3])):
             if ends:
                 if holder == number and at < until:
                     until = at
@@ -43,7 +45,7 @@ def leases(attempts: DataFrame, job: str, time: str, number: str, owner: str, en
     """(job, id, owner, outcome, at_ms, fence, folded) for a stream of attempts with the time at which each would ``end``.
 
     ``outcome``: ``run`` (``folded``: so many due runs in one), ``busy``, ``done``, and ``released`` for ends that come before
-    the lease expires. An end at the same time as an attempt comes first. Rows with a null job or time are left out."""
+    the lease expires. An end at the same time as an attempt of another run comes first. Rows with a null job or time are left out."""
     rows = attempts.where(F.col(job).isNotNull() & F.col(time).isNotNull() & F.col(end).isNotNull())
     both = F.explode(F.array(F.struct(F.col(time).alias("time"), F.lit(False).alias("ends")), F.struct(F.col(end).alias("time"), F.lit(True).alias("ends")))).alias("x")
     rows = rows.select(job, F.col(number).cast("long").alias("number"), F.col(owner).alias("owner"), both).select(job, F.col("x.time").alias("time"), "number", "owner", F.col("x.ends").alias("ends")).withWatermark("time", late)
