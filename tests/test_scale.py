@@ -2,13 +2,14 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 from conftest import SF
 
 from zenithal.functions import text as T
 from zenithal.operators import joins
 from zenithal.plans.registry import ORACLES, QUERIES
 from zenithal.queries.t_text import _first
-from zenithal.streaming import leases
+from zenithal.streaming import events, leases
 
 
 def test_bin_links_stand_for_all_pairs(spark):
@@ -69,3 +70,16 @@ def test_a_run_that_takes_no_time_is_released():
     step = leases.lease(2_700_000, 7_200_000)
     out, _, _ = step([(5, 1, "a", False), (5, 1, "a", True), (5, 2, "b", False), (7_200_000, 3, "c", False), (7_200_500, 3, "c", True)], None, 10**9)
     assert [(o[0], o[2], o[3]) for o in out] == [(1, "run", 5), (1, "released", 5), (2, "done", 5), (3, "run", 7_200_000), (3, "released", 7_200_500)]
+
+
+def test_streaks_go_over_batches_in_any_order():
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.get = value
+
+    batches = [pd.DataFrame({"event_id": [5, 2], "value": [5.0, 2.0]}), pd.DataFrame({"event_id": [1, 4, 3], "value": [1.0, 1.5, 3.0]})]
+    state = State()
+    got = pd.concat(events._streak((7,), iter(batches), state))
+    assert list(zip(got.event_id, got.streak, strict=True)) == [(1, 1), (2, 2), (3, 3), (4, 1), (5, 2)] and state.get == (5.0, 2)

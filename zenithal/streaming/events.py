@@ -65,14 +65,15 @@ ALERT_STATE = "norad_id long, event_id long, value double, previous double, stre
 def _streak(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Rising values in a row: state is the last value and the length of the run."""
     last, run = state.get if state.exists else (None, 0)
-    for batch in batches:
-        out = []
-        for event_id, value in batch.sort_values("event_id")[["event_id", "value"]].itertuples(index=False):
-            run = run + 1 if last is not None and value > last else 1
-            out.append((key[0], event_id, value, last, run))
-            last = value
-        yield pd.DataFrame(out, columns=["norad_id", "event_id", "value", "previous", "streak"])
+    # Spark cuts a key's rows into batches anywhere and in any order, so they are put in order over all of them.
+    rows = pd.concat([b[["event_id", "value"]] for b in batches], ignore_index=True).sort_values("event_id")
+    out = []
+    for event_id, value in rows.itertuples(index=False):
+        run = run + 1 if last is not None and value > last else 1
+        out.append((key[0], event_id, value, last, run))
+        last = value
     state.update((last, run))
+    yield pd.DataFrame(out, columns=["norad_id", "event_id", "value", "previous", "streak"])
 
 
 def rising_streaks(events: DataFrame) -> DataFrame:
