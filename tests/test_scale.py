@@ -6,7 +6,7 @@ import pandas as pd
 from conftest import SF
 
 from zenithal.functions import text as T
-from zenithal.operators import joins
+from zenithal.operators import joins, monitoring
 from zenithal.plans.registry import ORACLES, QUERIES
 from zenithal.queries.t_text import _first
 from zenithal.streaming import events, leases
@@ -83,3 +83,14 @@ def test_streaks_go_over_batches_in_any_order():
     state = State()
     got = pd.concat(events._streak((7,), iter(batches), state))
     assert list(zip(got.event_id, got.streak, strict=True)) == [(1, 1), (2, 2), (3, 3), (4, 1), (5, 2)] and state.get == (5.0, 2)
+
+
+def test_increase_is_a_running_sum(spark):
+    rng = np.random.default_rng(5)
+    at = [int(x) for x in rng.integers(-40, 40, 300)]
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 50 else None, a) for i, a in enumerate(at)], "i int, k string, h int").selectExpr("i", "k", "timestamp_ntz'1970-01-01 00:00:00' + make_interval(0, 0, 0, 0, h, 0, if(i % 3 = 0, 0.000001, 0)) AS t")
+    rows = {r.i: r for r in df.collect()}
+    got = monitoring.increase(df, "k", "t", 6)
+    hours6 = pd.Timedelta(hours=6)
+    assert {r.i: r.increase for r in got.collect()} == {i: sum(o.k == r.k and r.t - hours6 <= o.t <= r.t for o in rows.values()) for i, r in rows.items()}
+    assert "_b" in got._jdf.queryExecution().optimizedPlan().toString()  # not one task for each key

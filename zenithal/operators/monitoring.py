@@ -10,9 +10,21 @@ from zenithal.functions.frames import micros
 
 
 def increase(df: DataFrame, key: str, time: str, hours: int) -> DataFrame:
-    """``df`` plus ``increase``: events of the same key in the trailing window of each row, itself included."""
-    w = W.partitionBy(key).orderBy(micros(F.col(time))).rangeBetween(-hours * 3_600_000_000, 0)
-    return df.withColumn("increase", F.count(F.lit(1)).over(w))
+    """``df`` plus ``increase``: events of the same key in the trailing window of each row, itself included.
+
+    Time is cut into buckets as long as the window, so that it reaches into the bucket before and no further. Each event also stands
+    in the next bucket, at the time at which it has left the window: a running sum counts those that have come in the own bucket,
+    and those of the bucket before that have not left. So the cost of a row does not depend on how many the window holds, and a
+    key with very many rows is many tasks."""
+    span = hours * 3_600_000_000
+    t = micros(F.col(time))
+    rows = df.select(F.struct(*df.columns).alias("_r"), F.col(key).alias("_k"), t.alias("_t"), ((t - F.pmod(t, F.lit(span))) / span).cast("long").alias("_b"), F.lit(0).alias("_left"))
+    leave = rows.select("_k", (F.col("_t") + span + 1).alias("_t"), (F.col("_b") + 1).alias("_b"), F.lit(1).alias("_left"))
+    w = W.partitionBy("_k", "_b")
+    upto = w.orderBy("_t").rangeBetween(W.unboundedPreceding, W.currentRow)
+    count = F.sum(1 - F.col("_left")).over(upto) + F.sum("_left").over(w) - F.sum("_left").over(upto)
+    both = rows.unionByName(leave, allowMissingColumns=True).withColumn("increase", count)
+    return both.where("_left = 0").select("_r.*", "increase")
 
 
 def staleness(df: DataFrame, key: str, time: str, as_of: Column, limits: dict[str, int], otherwise: int) -> DataFrame:
