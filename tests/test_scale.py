@@ -6,7 +6,7 @@ import pandas as pd
 from conftest import SF
 
 from zenithal.functions import text as T
-from zenithal.operators import joins, monitoring
+from zenithal.operators import joins, metrics, monitoring
 from zenithal.plans.registry import ORACLES, QUERIES
 from zenithal.queries.t_text import _first
 from zenithal.streaming import events, leases
@@ -55,6 +55,17 @@ def test_b36_is_many_tasks_without_interpreted_steps(spark):
     assert df.rdd.getNumPartitions() > 1
 
 
+def test_increase_is_a_running_sum(spark):
+    rng = np.random.default_rng(5)
+    at = [int(x) for x in rng.integers(-40, 40, 300)]
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 50 else None, a) for i, a in enumerate(at)], "i int, k string, h int").selectExpr("i", "k", "timestamp_ntz'1970-01-01 00:00:00' + make_interval(0, 0, 0, 0, h, 0, if(i % 3 = 0, 0.000001, 0)) AS t")
+    rows = {r.i: r for r in df.collect()}
+    got = monitoring.increase(df, "k", "t", 6)
+    hours6 = pd.Timedelta(hours=6)
+    assert {r.i: r.increase for r in got.collect()} == {i: sum(o.k == r.k and r.t - hours6 <= o.t <= r.t for o in rows.values()) for i, r in rows.items()}
+    assert "_b" in got._jdf.queryExecution().optimizedPlan().toString()  # not one task for each key
+
+
 def test_either_case_means_the_same_to_both_engines(spark):
     texts = ["éESA x", "x ESAé", "esa", "a ESA", "ESTEC", "EſTEC", "NAſA", "KNASA", "x_NASA", "日NASA", "(nasa)", "Technical\x0bNote", "Technical Note", "user  manual", "tm-5", "éESA"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
@@ -85,12 +96,13 @@ def test_streaks_go_over_batches_in_any_order():
     assert list(zip(got.event_id, got.streak, strict=True)) == [(1, 1), (2, 2), (3, 3), (4, 1), (5, 2)] and state.get == (5.0, 2)
 
 
-def test_increase_is_a_running_sum(spark):
-    rng = np.random.default_rng(5)
-    at = [int(x) for x in rng.integers(-40, 40, 300)]
-    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 50 else None, a) for i, a in enumerate(at)], "i int, k string, h int").selectExpr("i", "k", "timestamp_ntz'1970-01-01 00:00:00' + make_interval(0, 0, 0, 0, h, 0, if(i % 3 = 0, 0.000001, 0)) AS t")
-    rows = {r.i: r for r in df.collect()}
-    got = monitoring.increase(df, "k", "t", 6)
-    hours6 = pd.Timedelta(hours=6)
-    assert {r.i: r.increase for r in got.collect()} == {i: sum(o.k == r.k and r.t - hours6 <= o.t <= r.t for o in rows.values()) for i, r in rows.items()}
-    assert "_b" in got._jdf.queryExecution().optimizedPlan().toString()  # not one task for each key
+def test_exact_quantiles_beyond_the_size_of_sketches(spark):
+    rng = np.random.default_rng(6)
+    values = [*map(float, rng.normal(50, 20, 3000).round(1)), *[7.0] * 500]
+    df = spark.createDataFrame([("ab"[i % 2] if i % 9 else None, i % 5000, v) for i, v in enumerate(values)], "k string, m int, v double").selectExpr("k", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m, 0) AS t", "v")
+    qs = {"low": 0.0, "p50": 0.5, "p95": 0.95, "top": 1.0}
+    got = {r.key: r for r in metrics.exact_quantiles(df, metrics.hourly(df, "k", "t", "v", 8), "k", "t", "v", qs, "week", 8).collect()}
+    assert len(got) == 3
+    for key, r in got.items():
+        own = sorted(v for i, v in enumerate(values) if ("ab"[i % 2] if i % 9 else None) == key)
+        assert [r.n, r.low, r.p50, r.p95, r.top] == [len(own), *[own[max(1, int(np.ceil(q * len(own)))) - 1] for q in qs.values()]]

@@ -7,6 +7,7 @@ than 1.7 % (:func:`rank_error`); up to about ``k`` values in all, a quantile is
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zenithal.session import materialize
@@ -37,3 +38,29 @@ def quantiles(sketches: DataFrame, qs: dict[str, float], by: Column | None = Non
     groups = [F.col("key")] if by is None else [F.col("key"), by.alias("period")]
     merged = sketches.groupBy(*groups).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("_s"))
     return merged.select("key", *([] if by is None else ["period"]), "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias(name) for name, q in qs.items()])
+
+
+def exact_quantiles(events: DataFrame, sketches: DataFrame, key: str, time: str, value: str, qs: dict[str, float], unit: str, k: int = 200) -> DataFrame:
+    """(key, period, n, one column for each of ``qs``): the values at rank ``ceil(q n)`` of each period (a ``date_trunc`` unit), exactly.
+
+    The sketches of :func:`hourly` give a range of values that holds the rank but seldom not; values below it are counted, those
+    within are ranked. Where a range doesn't hold its rank, all values of that period are ranked."""
+    period = lambda c: F.date_trunc(unit, F.col(c)).cast("date")
+    slack = 4 * rank_error(k)
+    around = {f"{n}_{side}": min(max(q + sign * slack, 0.0), 1.0) for n, q in qs.items() for side, sign in (("low", -1), ("high", 1))}
+    guess = materialize(quantiles(sketches, around, period("hour"), k).withColumnsRenamed({"key": "_k", "period": "_p"}), "metric-ranges")
+    rows = events.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("key"), period(time).alias("period"), F.col(value).cast("double").alias("v"))
+    same = F.col("key").eqNullSafe(F.col("_k")) & (F.col("period") == F.col("_p"))
+    met = rows.join(guess, same)
+    counts = met.groupBy("_k", "_p").agg(F.first("n").alias("n"), *[c for n in qs for c in (F.first(f"{n}_low").alias(f"{n}_low"), F.first(f"{n}_high").alias(f"{n}_high"), F.count_if(F.col("v") < F.col(f"{n}_low")).alias(f"{n}_below"), F.count_if(F.col("v") <= F.col(f"{n}_high")).alias(f"{n}_upto"))])
+    asked = []
+    for n, q in qs.items():
+        rank = F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n")))
+        held = (F.col(f"{n}_below") < rank) & (rank <= F.col(f"{n}_upto"))
+        asked.append(F.struct(F.lit(n).alias("name"), F.when(held, F.col(f"{n}_low")).otherwise(float("-inf")).alias("low"), F.when(held, F.col(f"{n}_high")).otherwise(float("nan")).alias("high"), (rank - F.when(held, F.col(f"{n}_below")).otherwise(0)).alias("rank")))
+    ranges = materialize(counts.select("_k", "_p", "n", F.array(*asked).alias("asked")), "metric-ranges")
+    inside = F.filter("asked", lambda a: (F.col("v") >= a["low"]) & (F.col("v") <= a["high"]))
+    each = rows.join(ranges, same).select("_k", "_p", "n", "v", F.explode(inside).alias("a")).groupBy("_k", "_p", "n", "a.name", "a.rank", "v").agg(F.count(F.lit(1)).alias("_m"))
+    upto = F.sum("_m").over(W.partitionBy("_k", "_p", "name").orderBy("v"))
+    at = each.withColumn("_upto", upto).where("_upto >= rank and _upto - _m < rank")
+    return at.groupBy(F.col("_k").alias("key"), F.col("_p").alias("period"), "n").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in qs])
