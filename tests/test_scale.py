@@ -8,6 +8,7 @@ from conftest import SF
 from zenithal.functions import text as T
 from zenithal.operators import joins, metrics, monitoring
 from zenithal.plans.registry import ORACLES, QUERIES
+from zenithal.plans.tables import Tables
 from zenithal.queries.t_text import _first
 from zenithal.streaming import events, leases
 
@@ -106,3 +107,11 @@ def test_exact_quantiles_beyond_the_size_of_sketches(spark):
     for key, r in got.items():
         own = sorted(v for i, v in enumerate(values) if ("ab"[i % 2] if i % 9 else None) == key)
         assert [r.n, r.low, r.p50, r.p95, r.top] == [len(own), *[own[max(1, int(np.ceil(q * len(own)))) - 1] for q in qs.values()]]
+
+
+def test_g7_has_one_row_for_each_neighbour_and_loses_no_pair(spark):
+    rows = QUERIES["g7_shared_neighbour"](spark, SF).collect()
+    edges = [(r.src, r.dst) for r in Tables(spark, SF).edges.where("type = 'HEADQUARTERED_IN'").collect()]
+    pairs = {(a, b) for a, x in edges for b, y in edges if x == y and a != b}
+    assert len(rows) <= len(edges) and {(p.id, o.id) for p in rows for o in rows if p.id != o.id and p.shared == o.shared} == pairs
+    assert all(p.n_links == sum(a == p.id for a, _ in pairs) for p in rows)
