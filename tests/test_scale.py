@@ -6,7 +6,7 @@ import pandas as pd
 from conftest import SF
 
 from zenithal.functions import text as T
-from zenithal.operators import joins, metrics, monitoring
+from zenithal.operators import joins, metrics, monitoring, retrieval
 from zenithal.plans.registry import ORACLES, QUERIES
 from zenithal.plans.tables import Tables
 from zenithal.queries.t_text import _first
@@ -115,3 +115,11 @@ def test_g7_has_one_row_for_each_neighbour_and_loses_no_pair(spark):
     pairs = {(a, b) for a, x in edges for b, y in edges if x == y and a != b}
     assert len(rows) <= len(edges) and {(p.id, o.id) for p in rows for o in rows if p.id != o.id and p.shared == o.shared} == pairs
     assert all(p.n_links == sum(a == p.id for a, _ in pairs) for p in rows)
+
+
+def test_context_orders_no_texts(spark):
+    df = spark.createDataFrame([("q", i, "w " * n if n else None) for i, n in enumerate([0, 3000, 3000, 0, 3000, 9000, 9000, 1])], "q string, i int, x string")
+    out = retrieval.context(df, "q", "i", df.i.cast("string"), "x")
+    assert [(r.n_sources, r.context.split("\n")[0]) for r in out.collect()] == [(6, "1")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("x#" in line for line in plan.splitlines() if "Window" in line)
