@@ -6,7 +6,7 @@ import pandas as pd
 from conftest import SF
 
 from zenithal.functions import text as T
-from zenithal.operators import joins, metrics, monitoring, retrieval
+from zenithal.operators import intervals, joins, metrics, monitoring, retrieval
 from zenithal.plans.registry import ORACLES, QUERIES
 from zenithal.plans.tables import Tables
 from zenithal.queries.t_text import _first
@@ -123,3 +123,14 @@ def test_context_orders_no_texts(spark):
     assert [(r.n_sources, r.context.split("\n")[0]) for r in out.collect()] == [(6, "1")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any("x#" in line for line in plan.splitlines() if "Window" in line)
+
+
+def test_merged_intervals_hold_the_same_points_once(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(6)), *(None if rng.random() < 0.1 else int(x) for x in rng.integers(0, 60, 2))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "k int, a long, b long")
+    got = [(r.k, r.a, r.b) for r in intervals.merged(df, "k", "a", "b").collect()]
+    holds = lambda of, k, x: sum(i == k and (a is None or a <= x) and (b is None or x <= b) for i, a, b in of)
+    for k in range(6):
+        for x in range(-1, 61):
+            assert holds(got, k, x) == min(1, holds(rows, k, x))

@@ -7,6 +7,7 @@ interval are disjoint, so a point meets it once. The join is on (level, bucket).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _BUCKETS = "array<struct<level:int,bucket:bigint>>"
@@ -65,3 +66,14 @@ def counts_at(intervals: DataFrame, points: DataFrame, start: str, end: str, poi
     per = _covered(intervals.select(*groups, start, end), start, end, low, levels).groupBy("_level", "_bucket", *groups).agg(F.count(F.lit(1)).alias("n"))
     met = _in_buckets(distinct, point, low, levels).join(per, ["_level", "_bucket"])
     return met.groupBy(point, *groups).agg(F.sum("n").alias("n"))
+
+
+def merged(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, start, end): the intervals of each key, those that overlap as one, so that a point lies in one of a key at most. Null
+    ends are open; intervals that end before they start are left out."""
+    low, high = -(1 << 62), 1 << 62
+    rows = intervals.select(key, F.coalesce(F.col(start).cast("long"), F.lit(low)).alias("_a"), F.coalesce(F.col(end).cast("long"), F.lit(high)).alias("_b")).where("_a <= _b").distinct()
+    w = W.partitionBy(key).orderBy("_a", "_b")
+    rows = rows.withColumn("_new", (F.col("_a") > F.coalesce(F.max("_b").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(low - 1))).cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = rows.groupBy(key, "_run").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    return runs.select(key, F.when(F.col("_a") > low, F.col("_a")).alias(start), F.when(F.col("_b") < high, F.col("_b")).alias(end))
