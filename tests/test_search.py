@@ -2,7 +2,9 @@
 
 import itertools
 import math
+import random
 import re
+import struct
 from collections import defaultdict
 
 import duckdb
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zenithal.functions.stem import stem_sql, stems
-from zenithal.operators import communities, fulltext, trigrams
+from zenithal.operators import communities, fulltext, retrieval, trigrams
 
 #: The sample vocabulary published with the rules, and their examples.
 WORDS = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist consisting consist consists consist
@@ -115,3 +117,59 @@ def test_communities_of_a_hub_and_of_cliques(spark):
 def test_communities_without_edges(spark):
     members, levels = communities.louvain(spark.createDataFrame([], "src long, dst long"))
     assert members.collect() == [] and levels.collect() == []
+
+
+def brute_sparse(texts, queries, k):
+    """(query, key) to score: products of word weights to twelve digits, each query's k best."""
+
+    def weights(t):
+        n = defaultdict(int)
+        for w in (t or "").lower().split():
+            n[w] += 1
+        return {w: c / max(n.values()) for w, c in n.items()}
+
+    out = {}
+    for q, asked in queries:
+        asked, scores = weights(asked), []
+        for key, t in texts:
+            have = weights(t)
+            if both := set(asked) & set(have):
+                scores.append((-sum(math.floor(have[w] * asked[w] * 1e12 + 0.5) for w in both), key))
+        out |= {(q, key): -s / 1e12 for s, key in sorted(scores)[:k]}
+    return out
+
+
+def test_sparse_search_equals_all_pairs_and_shuffles_lists_only(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 7)  # several blocks
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"W{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(40)))) for i in range(300)]
+    texts += [(300 + i, "same words same") for i in range(40)] + [(400, None), (401, ""), (402, " \t ")]
+    queries = [*texts[::20], (900, "same"), (901, None), (902, "unheard of")]
+    df = spark.createDataFrame(texts, "id long, x string").repartition(3)
+    asked = retrieval.term_weights(spark.createDataFrame(queries, "id long, x string"), "id", "x").withColumnRenamed("key", "query")
+    found = retrieval.sparse_search(df, "id", "x", asked, 5)
+    assert {(r["query"], r.key): r.score for r in found.collect()} == brute_sparse(texts, queries, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan  # no row for each pair
+
+
+@pytest.mark.parametrize("least", [None, 0.2])
+def test_dense_search_equals_all_pairs(spark, least, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 7)
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(2 + i % 2)]) for i in range(300)] + [(300 + i, [1.0, 2.0]) for i in range(300)] + [(900, None), (901, []), (902, [0.0, 0.0]), (903, [1.0, None])]
+    queries = [*rows[::25], (950, [2.0, 4.0]), (951, [-1.0, -2.0]), (952, None), (953, [1.0] * 9)]
+    found = retrieval.dense_search(spark.createDataFrame(rows, "id int, v array<float>"), spark.createDataFrame(queries, "query int, v array<float>"), "id", "v", 5, least)
+    got = {(r["query"], r["rank"]): r.key for r in found.collect()}
+    f32 = lambda v: [struct.unpack("f", struct.pack("f", x))[0] for x in v]
+    unit = lambda v: [x / math.hypot(*v) for x in v] if v and None not in v and any(v) else None
+    want = {}
+    for q, a in queries:
+        a, scores = unit(a and None not in a and f32(a)), []
+        for key, b in rows:
+            b = unit(b and None not in b and f32(b))
+            if a and b and len(a) == len(b) and ((s := sum(x * y for x, y in zip(a, b, strict=True))) >= (least or -2)):
+                scores.append((-round(s, 9), key))
+        want |= {(q, i): key for i, (_, key) in enumerate(sorted(scores)[:5])}
+    assert got == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
