@@ -9,10 +9,12 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from zenithal.functions.stem import stem_sql, stems
 from zenithal.operators import communities, fulltext, retrieval, trigrams
+from zenithal.plans.registry import QUERIES
 
 #: The sample vocabulary published with the rules, and their examples.
 WORDS = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist consisting consist consists consist
@@ -173,3 +175,17 @@ def test_dense_search_equals_all_pairs(spark, least, monkeypatch):
         want |= {(q, i): key for i, (_, key) in enumerate(sorted(scores)[:5])}
     assert got == want
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_r13_meets_the_texts_once_and_sorts_none(spark):
+    plan = QUERIES["r13_retrieval_pipeline"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_chars" not in plan  # documents are not met again; what it reads are the texts of its lists
+
+
+def test_fuzzy_names_gather_no_candidates(spark):
+    index = trigrams.build(spark.createDataFrame([(f"Customer#{i:09d}",) for i in range(300)], "name string"), "name", 0.8)
+    found = trigrams.search(index, spark.createDataFrame([("Customer#000000100",)], "query string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
+    mine, names = grams("Customer#000000100"), [f"Customer#{i:09d}" for i in range(300)]
+    assert sorted(r.name for r in found.collect()) == [n for n in names if len(mine & grams(n)) / len(mine | grams(n)) >= 0.8]
