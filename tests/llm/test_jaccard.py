@@ -60,3 +60,32 @@ def test_one_row_of_each_group_stays_without_and_with_equal_ids(spark):
     got = sorted(((r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
     assert len(got) == 5 and {(None, a), (5, c), (5, d), (8, "")} <= set(got)
     assert sum(k is None and t.startswith(b) for k, t in got) == 1
+
+
+def test_near_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Hundreds of near copies, a third of whose pairs are links: a few comparisons for each text join them."""
+    rng, texts, compared, confirm = np.random.default_rng(10), [], [], jaccard.confirm
+
+    def counted(pairs, *others):
+        compared.append(pairs.select("a", "b").distinct().count())
+        return confirm(pairs, *others)
+
+    for i in range(300):
+        words = [f"w{j}" for j in range(149)]
+        for at in rng.choice(12, 2, replace=False).tolist():
+            words[6 + 12 * at] = f"x{at}"
+        texts.append(" ".join([*words, f"u{i}"]))
+    monkeypatch.setattr(jaccard, "confirm", counted)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == set(brute(texts)) and sum(compared) < 300 * 30, compared
+
+
+def test_marks_never_differ_in_more_bits_than_sets(spark):
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(-(2**63), 2**63 - 1, n)) for n in (0, 1, 40, 400, 3000)]
+    sets += [np.unique(np.concatenate([s[5:], rng.integers(-(2**63), 2**63 - 1, 7)])) for s in sets]
+    own = np.stack([c.to_numpy() for c in jaccard.marks(sets)]).view(np.uint64)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.bitwise_count(own[:, i] ^ own[:, j]).sum() <= len(np.setxor1d(a, b))

@@ -4,8 +4,8 @@ Two sets with a similarity of at least 4/5 share at least ceil(4 n / 5) of the n
 all shingles their first n - ceil(4 n / 5) + 1 have one in common. These prefixes are an index of candidates that misses no
 pair. The order puts shingles that are frequent in a sample last, which keeps the index's groups small and changes no result.
 
-Candidates are counted by the shingles that their prefixes share, which rules most of them out; what is left is decided by
-the whole sets, made anew from the whole texts of candidates only. No set of all texts is ever stored.
+Candidates are counted by the shingles that their prefixes share, or compared by marks (the parity of a set's shingles in each
+of 512 classes), which rules most of them out; what is left is decided by the whole sets, made anew from the whole texts of candidates only. No set of all texts is ever stored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from zenithal.session import materialize
 #: last; none of it changes a result.
 SAMPLE, EVERY, FREQUENT = 40_000, 50, 500_000
 BATCH = 1000
+#: Columns of 64 bits for the marks of a set.
+MARKS = [f"m{k}" for k in range(8)]
 
 
 def hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -105,11 +107,21 @@ def count_shared(pairs: DataFrame) -> DataFrame:
     return counted.where((F.col("c") + F.greatest(rest("na"), rest("nb"))) * 9 >= (F.col("na") + F.col("nb")) * 4).drop("c")
 
 
-def shared_prefixes(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) whose prefixes (of ``texts``: id, prefix) share as many shingles as 4/5 asks for."""
-    own = [texts.select(F.col("id").alias(x), F.col("prefix").alias(f"p{x}")) for x in "ab"]
-    met = pairs.join(own[0], "a").join(own[1], "b")
-    return count_shared(met.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("w")))
+def marks(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The columns ``MARKS`` of sets: each shingle turns over one of their bits, by its last bits."""
+    bits = 64 * len(MARKS)
+    out = np.array([np.bincount(s & (bits - 1), minlength=bits) & 1 for s in sets], np.uint8).reshape(-1, bits)
+    words = np.packbits(out, axis=1).view(np.int64)
+    return [pa.array(words[:, k].copy()) for k in range(len(MARKS))]
+
+
+def possible(a: str, b: str) -> Column:
+    """Whether sizes and marks (structs ``m`` and the end's name) of a pair leave a similarity of 4/5 possible.
+
+    Marks differ in no more bits than there are shingles in one set only, which are a ninth of both sizes at most."""
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    differ = sum((F.bit_count(F.col(f"m{a}.{m}").bitwiseXOR(F.col(f"m{b}.{m}"))) for m in MARKS), F.lit(0))
+    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * differ <= na + nb)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, docs: DataFrame, digest: Column, text: Column, width: int) -> DataFrame:

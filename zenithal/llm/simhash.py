@@ -43,6 +43,8 @@ SHARD_ROWS = 4096
 #: Rows that a tree stores in a shard, about; differing bits of a pair under the mask of its tree, at most; rows that trees
 #: are fitted on, at most; sample rows that a node needs for a vantage point of its own.
 LEAF_ROWS, SLACK, SAMPLE, FIT_ROWS = 2048, 1, 1 << 14, 32
+#: Members of a group of the index that all others are compared with before any pairs are; it changes no result.
+PIVOTS = 8
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -273,8 +275,9 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius:
 
     Fingerprints at ``radius`` or fewer differing bits are candidates, found by the trees; so are texts that share a shingle
     of the index of prefixes (see ``jaccard``), as a pair at 0.8 may differ in more bits than trees can look for. Every link is
-    decided by whole sets. Candidates of one group are first compared with its least and its greatest member; after that only
-    pairs of different components whose smaller text has a shingle of the group in its early prefix.
+    decided by whole sets. Candidates of one group are first compared with its least and its greatest member, then, where it has
+    members of several components, with ``PIVOTS`` more; after that only pairs that are still of different components, whose
+    smaller text has a shingle of the group in its early prefix, and whose marks leave 4/5 possible.
 
     ``digest`` is SHA-256 of the text, ``copies`` the number of rows that have it; null counts as empty, and texts without
     words are alike. Other columns are not read. An empty table gives an empty result.
@@ -291,10 +294,10 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius:
                 every = [jaccard.hashes(t, shingle) for t in b.column(1).to_pylist()]
                 sets = [np.unique(h.view(np.int64)) for h in every]
                 fps = np.array([fingerprint_of(h) for h in every], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), jaccard.lists([order.value.prefix(s) for s in sets])], ["digest", "fp", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), jaccard.lists([order.value.prefix(s) for s in sets]), *jaccard.marks(sets)], ["digest", "fp", "n", "prefix", *jaccard.MARKS])
 
-    rows = docs.select(digest.alias("digest"), body.alias("text")).mapInArrow(sketch, "digest string, fp long, n long, prefix array<long>")
-    once = rows.groupBy("digest").agg(F.first(F.struct("fp", "n", "prefix")).alias("s"), F.count(F.lit(1)).alias("copies"))
+    rows = docs.select(digest.alias("digest"), body.alias("text")).mapInArrow(sketch, "digest string, fp long, n long, prefix array<long>, " + ", ".join(f"{m} long" for m in jaccard.MARKS))
+    once = rows.groupBy("digest").agg(F.first(F.struct("fp", "n", "prefix", *jaccard.MARKS)).alias("s"), F.count(F.lit(1)).alias("copies"))
     texts = materialize(once.select(F.monotonically_increasing_id().alias("id"), "digest", "copies", "s.*"), "simhash-texts")
     confirm = lambda pairs: jaccard.confirm(pairs, texts, docs, digest, body, shingle)
 
@@ -323,16 +326,28 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius:
     none = blank.agg(F.min("id")).first()[0]
     links = links if none is None else links.unionByName(blank.where(F.col("id") != none).select(F.lit(none).alias("a"), F.col("id").alias("b")))
 
-    # What is left: groups of the index with members of several components. The smaller text of a pair must have a shingle of
-    # the group in its early prefix, which few texts that only share a passage have.
-    root = connected_components(links).withColumnRenamed("node", "id")
+    # What is left: groups of the index with members of several components. Those of near copies have most of their pairs linked,
+    # so comparing all members with a few, the same in each group that has them, leaves hardly any to be compared with all.
     group = W.partitionBy("of", "size")
-    roots = met.join(root, "id", "left").select("of", "size", "early", "id", "n", F.coalesce("component", "id").alias("root"))
-    mixed = roots.withColumn("mixed", F.min("root").over(group) != F.max("root").over(group)).where("mixed").drop("mixed")
-    mixed = materialize(mixed, "jaccard-mixed")
-    left, right = (mixed.where("early" if x == "a" else "true").select("of", "size", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    pairs = left.join(right, ["of", "size"]).where("(na < nb or na = nb and a < b) and ra <> rb")
-    links = links.unionByName(confirm(jaccard.shared_prefixes(jaccard.alike(pairs).select("a", "b", "na", "nb").distinct(), texts)))
+
+    def several(rows: DataFrame) -> DataFrame:
+        root = connected_components(links).withColumnRenamed("node", "id")
+        rows = rows.join(root, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
+        return rows.withColumn("mixed", F.min("root").over(group) != F.max("root").over(group)).where("mixed").drop("mixed")
+
+    def end(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("of", "size", F.col("early").alias(f"e{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.struct(*jaccard.MARKS).alias(f"m{x}"))
+
+    columns = ["of", "size", "early", "id", "n"]
+    mixed = materialize(several(met.select(*columns)).join(texts.select("id", *jaccard.MARKS), "id"), "jaccard-mixed")
+    pivots = mixed.withColumn("k", F.row_number().over(group.orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= PIVOTS)
+    pairs = end(pivots, "a").join(end(mixed, "b"), ["of", "size"]).where(jaccard.possible("a", "b")).where("ra <> rb")
+    links = links.unionByName(confirm(turned(pairs)))
+
+    # The smaller text of a pair must have a shingle of the group in its early prefix, which few texts that only share a passage have.
+    mixed = materialize(several(mixed.select(*columns, *jaccard.MARKS)), "jaccard-mixed")
+    pairs = end(mixed.where("early"), "a").join(end(mixed, "b"), ["of", "size"]).where(jaccard.possible("a", "b")).where("(na < nb or na = nb and a < b) and ra <> rb")
+    links = links.unionByName(confirm(pairs))
     root = connected_components(links).withColumnRenamed("node", "id")
     return materialize(texts.select("id", "digest", "copies").join(root, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("root")), "simhash-roots")
 
