@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from conftest import SF
 
 from zenithal.functions import text as T
@@ -10,6 +11,7 @@ from zenithal.operators import intervals, joins, metrics, monitoring, retrieval
 from zenithal.plans.registry import ORACLES, QUERIES
 from zenithal.plans.tables import Tables
 from zenithal.queries.t_text import _first
+from zenithal.session import by_slices
 from zenithal.streaming import events, leases
 
 
@@ -134,3 +136,11 @@ def test_merged_intervals_hold_the_same_points_once(spark):
     for k in range(6):
         for x in range(-1, 61):
             assert holds(got, k, x) == min(1, holds(rows, k, x))
+
+
+def test_pages_are_parsed_once_and_in_slices(spark):
+    plan = QUERIES["r24_document_ingest"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [sections(") == 1 and plan.count("ArrowEvalPython [cut(") == 1
+    seen = []
+    got = by_slices(lambda own: seen.append(len(own)) or own, pa.string(), pa.array([*"abcdefg", None]), rows=3)
+    assert got.to_pylist() == [*"abcdefg", None] and seen == [3, 3, 2] and by_slices(list, pa.string(), pa.array([], pa.string())).to_pylist() == []
