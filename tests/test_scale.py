@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from conftest import SF
+from pyspark.sql import functions as F
 
 from zenithal.functions import text as T
 from zenithal.operators import intervals, joins, metrics, monitoring, retrieval
@@ -12,6 +13,7 @@ from zenithal.plans.registry import ORACLES, QUERIES
 from zenithal.plans.tables import Tables
 from zenithal.queries.t_text import _first
 from zenithal.session import by_slices
+from zenithal.sources import loaders
 from zenithal.streaming import events, leases
 
 
@@ -144,3 +146,16 @@ def test_pages_are_parsed_once_and_in_slices(spark):
     seen = []
     got = by_slices(lambda own: seen.append(len(own)) or own, pa.string(), pa.array([*"abcdefg", None]), rows=3)
     assert got.to_pylist() == [*"abcdefg", None] and seen == [3, 3, 2] and by_slices(list, pa.string(), pa.array([], pa.string())).to_pylist() == []
+
+
+def test_documents_as_files_are_neither_listed_nor_opened_again(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words of number {i} that are long enough") for i in range(60)] + [(60, None)], "id long, body string").repartition(3)
+    kind = F.when(F.col("id") % 2 == 0, "docx").otherwise("html")
+    named = loaders.export(docs, "id", "body", kind, f"file://{tmp_path}/files").toPandas()
+    names = spark.createDataFrame(named)
+    read = lambda d: {r.path[-36:]: (r.loader, r.content) for r in d.collect()}
+    got = loaders.load(loaders.read_files(names, "name", f"file://{tmp_path}/files"))
+    assert read(got) == read(loaders.load_folder(spark, f"file://{tmp_path}/files")) and len(read(got)) == 61
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and plan.count("PartitionFilters: [isnotnull(loader") >= 3
+    assert "binaryFile" not in QUERIES["a18_documents_as_files"](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -147,9 +147,10 @@ def a18(t):
     kind = F.when((F.col("doc_id") % 3 == 0) & ~F.col("text").rlike(loaders.REFUSED["docx"]), "docx").when((F.col("doc_id") % 3 == 1) & ~F.col("text").rlike(r"[\\{}$]"), "latex").otherwise("html")
     folder = shared_dir(t.spark, "files")
     written = materialize(loaders.export(t.documents, "doc_id", "text", kind, folder), "files-manifest")
-    got = loaders.load_folder(t.spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "loader", F.array_join(F.transform("sections", lambda s: s["body"]), " ").alias("body"))
-    words = F.array_join(F.filter(F.split("body", r"\s+"), lambda w: w != ""), " ")
-    return written.join(got, "name").select(F.col("key").alias("doc_id"), "loader", F.sha2(words, 256).alias("digest"))
+    body = F.array_join(F.transform("sections", lambda s: s["body"]), " ")
+    words = F.array_join(F.filter(F.split(body, r"\s+"), lambda w: w != ""), " ")
+    got = loaders.load(loaders.read_files(written, "name", folder)).select(F.col("path").alias("name"), "loader", F.sha2(words, 256).alias("digest"))
+    return written.join(got, "name").select(F.col("key").alias("doc_id"), "loader", "digest")
 
 
 @query("a19_loader_routing", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'latex' WHEN 3 THEN 'docx' END AS loader FROM documents")

@@ -2,7 +2,8 @@
 
 A loader says by columns which files are its own, and turns rows (path, content binary) into (path, sections). The first
 loader that knows a file takes it; each format is one branch of the plan, so a file is opened by one parser. Files come from Spark's
-``binaryFile`` source; what no loader knows, or its loader can't read, is a row with an error."""
+``binaryFile`` source, or, where a table names them, from tasks that open those of their rows, so that nothing lists millions of
+files; what no loader knows, or its loader can't read, is a row with an error."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zenithal.session import ship
+from zenithal.session import shared_dir, ship
 from zenithal.sources import documents
 
 
@@ -33,6 +34,8 @@ class Loader:
 
 
 LOADERS: list[Loader] = []
+#: Bytes of contents that a task gathers before it hands them on.
+READ_BYTES = 1 << 24
 
 
 def register(name: str, knows: Callable[[Column, Column], Column]) -> Callable:
@@ -64,7 +67,9 @@ def _latex(files: DataFrame) -> DataFrame:
 
 
 def load(files: DataFrame, loaders: list[Loader] | None = None) -> DataFrame:
-    """(path, loader, sections, content, error) for each row of ``files`` (path, content). Null contents are errors."""
+    """(path, loader, sections, content, error) for each row of ``files`` (path, content). Null contents are errors.
+
+    Contents are written once by loader, so a file is opened once and a loader's branch reads its own files only."""
     ship(files.sparkSession)
     path, head = F.lower("path"), F.decode(F.substring("content", 1, 512), "ISO-8859-1")
     chosen = F.lit(None).cast("string")
@@ -72,6 +77,9 @@ def load(files: DataFrame, loaders: list[Loader] | None = None) -> DataFrame:
     for x in reversed(loaders):
         chosen = F.when(F.coalesce(x.knows(path, head), F.lit(False)), x.name).otherwise(chosen)
     rows = files.select("path", "content", F.when(F.col("content").isNotNull(), chosen).alias("loader"))
+    where = shared_dir(files.sparkSession, "files-by-loader")
+    rows.write.partitionBy("loader").option("compression", "zstd").parquet(where)
+    rows = files.sparkSession.read.schema(rows.schema).parquet(where)
     out = rows.where("loader is null").select("path", "loader", F.array().cast(documents.SECTIONS).alias("sections"), F.lit("no loader knows this file").alias("error"))
     for x in loaders:
         own = x.load(rows.where(F.col("loader") == x.name).select("path", "content"))
@@ -85,6 +93,30 @@ def load_folder(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content"))
 
 
+def read_files(paths: DataFrame, path: str, folder: str) -> DataFrame:
+    """(path, content) of the files of ``folder`` that rows of ``paths`` name; a file that isn't there is an error."""
+    ship(paths.sparkSession)
+
+    def run(batches):
+        where, root = fs.FileSystem.from_uri(re.sub("^file:/(?!//)", "file:///", folder))
+        for b in batches:
+            names, found, size = [], [], 0
+            for name in b.column(0).to_pylist():
+                with where.open_input_stream(f"{root}/{name}") as f:
+                    found.append(f.read())
+                names.append(name)
+                size += len(found[-1])
+                if size > READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found, pa.binary())], ["path", "content"])
+                    names, found, size = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found, pa.binary())], ["path", "content"])
+
+    spark = paths.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return paths.select(F.col(path).alias("path")).repartition(n, "path").mapInArrow(run, "path string, content binary")
+
+
 def _docx_bytes(text: str) -> bytes:
     word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     paragraphs = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
@@ -105,18 +137,19 @@ REFUSED = {"docx": r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", "latex": r"[\\{}
 
 
 def export(docs: DataFrame, key: str, text: str, kind: Column, folder: str) -> DataFrame:
-    """Write each text as a file of its ``kind`` (a column: docx, html, latex); returns (key, kind, path). Names tell nothing of the
-    format, so a reader must look at the content. Files of attempts that failed are in no row."""
+    """Write each text as a file of its ``kind`` (a column: docx, html, latex); returns (key, kind, name), with names as in
+    the folder, which deals files to 256 folders. Names tell nothing of the format, so a reader must look at the content. Files of attempts that failed are in no row."""
     ship(docs.sparkSession)
     names = docs.schema[key].dataType.simpleString()
 
     def write(batches):
         where, root = fs.FileSystem.from_uri(re.sub("^file:/(?!//)", "file:///", folder))
-        where.create_dir(root, recursive=True)
+        for k in range(256):
+            where.create_dir(f"{root}/{k:02x}", recursive=True)
         for b in batches:
             paths = []
             for t, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                paths.append(f"{uuid.uuid4().hex}.bin")
+                paths.append(f"{(name := uuid.uuid4().hex)[:2]}/{name}.bin")
                 with where.open_output_stream(f"{root}/{paths[-1]}") as f:
                     f.write(WRITERS[k](t or ""))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(paths)], ["key", "kind", "name"])
