@@ -189,3 +189,13 @@ def test_fuzzy_names_gather_no_candidates(spark):
     assert "Aggregate" not in plan and plan.count("Join") == 1
     mine, names = grams("Customer#000000100"), [f"Customer#{i:09d}" for i in range(300)]
     assert sorted(r.name for r in found.collect()) == [n for n in names if len(mine & grams(n)) / len(mine | grams(n)) >= 0.8]
+
+
+def test_words_are_dealt_out_and_places_meet_matches_only(spark, monkeypatch):
+    """The lexicon is as many files as a shuffle has tasks, whatever its size; no place of a text without all stems is a hit."""
+    made, keep = {}, fulltext.materialize
+    monkeypatch.setattr(fulltext, "materialize", lambda df, name: made.setdefault(name, keep(df, name)))
+    index = fulltext.build(spark.createDataFrame([(i, f"word{i} common") for i in range(200)], "id long, body string"), "id", "body")
+    assert len({r[0] for r in index.lexicon.select(F.input_file_name()).distinct().collect()}) > 1
+    found = fulltext.search(index, spark.createDataFrame([(1, "common"), (2, "common word7")], "query long, text string"), 3).collect()
+    assert sorted((r.query, r.key) for r in found) == [(1, 0), (1, 1), (1, 2), (2, 7)] and made["fulltext-hits"].count() == 2

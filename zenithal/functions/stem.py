@@ -73,9 +73,9 @@ STEPS: list[dict[str, str]] = [
 _COLUMNS = ("w", "fixed", "p1", "p2", "e", "x")
 
 
-def _projections(first: str, replaced: str, last: str) -> list[list[str]]:
+def _projections(first: str, replaced: str, last: str, others: tuple[str, ...] = ()) -> list[list[str]]:
     """For each step the columns that it gives; ``first``: the group's sign in replacements, ``last``: what ends a replacement of all."""
-    out, known = [], ["word", "w"]
+    out, known = [], ["word", "w", *others]
     for step in STEPS:
         made = {k: v.replace("{1}", first).replace(replaced, last) for k, v in step.items()}
         known += [c for c in _COLUMNS if c in made and c not in known]
@@ -83,12 +83,12 @@ def _projections(first: str, replaced: str, last: str) -> list[list[str]]:
     return out
 
 
-def stems(words: DataFrame, word: str = "word") -> DataFrame:
-    """(word, stem) of each row of a table of lower-case words; null for null."""
-    rows = words.selectExpr(f"`{word}` AS word", f"`{word}` AS w")
-    for columns in _projections("$1", ", 'g')", ")"):
+def stems(words: DataFrame, word: str = "word", others: tuple[str, ...] = ()) -> DataFrame:
+    """(word, stem) of each row of a table of lower-case words, and its columns ``others``; null for null."""
+    rows = words.selectExpr(f"`{word}` AS word", f"`{word}` AS w", *others)
+    for columns in _projections("$1", ", 'g')", ")", others):
         rows = rows.selectExpr(*columns)
-    return rows.selectExpr("word", "w AS stem")
+    return rows.selectExpr("word", "w AS stem", *others)
 
 
 def stem_sql(source: str) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zenithal.functions.stem import stems
-from zenithal.operators.retrieval import bounded, top
+from zenithal.operators.retrieval import bounded, parts, top
 from zenithal.session import materialize, shared_dir
 
 #: Words that are not looked for.
@@ -69,9 +69,10 @@ def build(docs: DataFrame, key: str, text: str, path: str | None = None) -> Inde
     words.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word", "key", "pos").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
     schema = words.select("word", "key", "pos", "bucket").schema
     made = Index(spark, path, schema)
-    lexicon = made.postings.groupBy("word").agg(F.count(F.lit(1)).alias("places"))
-    stemmed = stems(lexicon.select("word"))
-    lexicon.join(stemmed, "word").select("word", "stem", bucket(F.col("word")).alias("bucket"), "places").write.parquet(f"{path}/lexicon")
+    # Words are few bytes and much work each: dealt to a fixed number of tasks, which Spark doesn't join to few by their size (by
+    # a hash, as it takes a second shuffle by the same column out).
+    lexicon = made.postings.groupBy("word").agg(F.count(F.lit(1)).alias("places")).repartition(parts(docs), F.xxhash64("word"))
+    stems(lexicon, others=("places",)).select("word", "stem", bucket(F.col("word")).alias("bucket"), "places").write.parquet(f"{path}/lexicon")
     return made
 
 
@@ -86,24 +87,25 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     ranks in the order of keys. A query of stop words only finds nothing. Queries may be any number: what is joined with the
     places is broadcast only where it is small."""
     asked = materialize(parse(queries), "fulltext-asked")
-    wanted = asked.groupBy("query").agg(F.count(F.lit(1)).alias("terms"))
-    places = index.places(asked).join(bounded(asked, 100_000), "stem").distinct()
-    have = places.groupBy("query", "key").agg(F.count_distinct("stem").alias("found"))
-    whole = have.join(wanted, "query").where("found = terms").select("query", "key", "terms")
-    hits = materialize(places.join(whole, ["query", "key"]), "fulltext-hits")
+    asked = materialize(asked.join(asked.groupBy("query").agg(F.count(F.lit(1)).alias("terms")), "query"), "fulltext-terms")
+    single, several = asked.where("terms = 1").select("query", "stem"), asked.where("terms > 1")
+    # Places meet no query before it is known to match: texts do, by how often they have a stem.
+    places = materialize(index.places(asked).distinct(), "fulltext-places")
+    counts = materialize(places.groupBy("stem", "key").agg(F.count(F.lit(1)).alias("n")), "fulltext-counts")
+    whole = counts.join(bounded(several, 100_000), "stem").groupBy("query", "key", "terms").agg(F.count(F.lit(1)).alias("found")).where("found = terms").select("query", "key")
+    hits = materialize(whole.join(bounded(several.select("query", "stem"), 100_000), "query").join(places, ["stem", "key"]), "fulltext-hits")
 
-    one = hits.where("terms = 1").groupBy("query", "key").agg(F.count(F.lit(1)).alias("n"))
     series = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / (i * i))
-    one = one.select("query", "key", (WEIGHT * series / 1.64493406685).alias("score"))
+    one = counts.join(bounded(single, 100_000), "stem").select("query", "key", (WEIGHT * series / 1.64493406685).alias("score"))
 
     # Places of two stems are near only in the same or neighbouring stretches of NEAR words.
     stretch = F.floor(F.col("pos") / NEAR)
-    many = hits.where("terms > 1").select("query", "key", "stem", "pos", stretch.alias("at"))
+    many = hits.select("query", "key", "stem", "pos", stretch.alias("at"))
     other = many.select("query", "key", F.col("stem").alias("stem2"), F.col("pos").alias("pos2"), F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("at"))
     gap = F.abs(F.col("pos") - F.col("pos2"))
     pairs = many.join(other, ["query", "key", "at"]).where("stem < stem2").where(gap.between(1, NEAR)).groupBy("query", "key", gap.alias("d")).agg(F.count(F.lit(1)).alias("n"))
     c = WEIGHT * F.sqrt(1.0 / (1.005 + 0.05 * F.exp(F.col("d") / 1.5 - 2)))
     near = pairs.groupBy("query", "key").agg(F.sum((F.col("n") * F.log1p(-c)).cast("decimal(30,15)")).cast("double").alias("s")).select("query", "key", (1 - F.exp("s")).alias("score"))
-    many_keys = hits.where("terms > 1").select("query", "key").distinct()
+    many_keys = hits.select("query", "key").distinct()
     ranked = many_keys.join(near, ["query", "key"], "left").select("query", "key", F.coalesce("score", F.lit(1e-20)).alias("score"))
     return top(one.unionByName(ranked).withColumn("score", F.round("score", 9)), "query", "score", "key", k)
