@@ -7,6 +7,7 @@ import pyarrow as pa
 from conftest import SF
 from pyspark.sql import functions as F
 
+from zenithal.functions import manoeuvre
 from zenithal.functions import text as T
 from zenithal.operators import intervals, joins, metrics, monitoring, retrieval
 from zenithal.plans.registry import ORACLES, QUERIES
@@ -159,3 +160,9 @@ def test_documents_as_files_are_neither_listed_nor_opened_again(spark, tmp_path)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "binaryFile" not in plan and plan.count("PartitionFilters: [isnotnull(loader") >= 3
     assert "binaryFile" not in QUERIES["a18_documents_as_files"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_b36_covers_all_seven_days(spark):
+    steps = QUERIES["b36_two_body_forecast"](spark, SF).groupBy("norad_id").agg(F.count("*").alias("n"), F.min("step").alias("a"), F.max("step").alias("b"), F.count_distinct("step").alias("d"))
+    assert {(r.n, r.a, r.b, r.d) for r in steps.collect()} == {(336, 0, 335, 336)}
+    assert spark.range(1).select(F.size(manoeuvre.two_body_forecast(F.lit(7000.0), F.lit(0.01), F.lit(51.6), most=None))).first()[0] == 336

@@ -337,7 +337,8 @@ def b35(t):
 
 @query("b36_two_body_forecast")
 def b36(t):
-    """Objects are dealt out first, as a catalogue of one small file is one task, and each step is a row of its own."""
+    """Every step of all seven days. Objects are dealt out first, as a catalogue of one small file is one task, and each step is
+    a row of its own."""
     rows = t.catalog.select("norad_id", "semi_major_axis_km", "eccentricity", "inclination_deg").repartition(max(t.partitions, t.spark.sparkContext.defaultParallelism), "norad_id")
     p = manoeuvre.two_body_at(F.col("semi_major_axis_km"), F.col("eccentricity"), F.col("inclination_deg"), F.col("i"))
     return rows.withColumn("i", F.explode(manoeuvre.forecast_steps())).select("norad_id", p.alias("p")).select("norad_id", "p.*")
