@@ -28,8 +28,17 @@ def test_bin_links_stand_for_all_pairs(spark):
     assert {i: r.n_links for i, r in rows.items()} == {i: sum(i in p for p in pairs) for i in rows}
 
 
-def test_d8_has_one_row_for_each_object(spark):
-    assert QUERIES["d8_orbital_bins"](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+def test_d8_gives_every_pair_of_objects_in_neighbouring_bins(spark):
+    got = [(r.id_a, r.id_b) for r in QUERIES["d8_orbital_bins"](spark, SF).collect()]
+    cells = [(r.norad_id, r.perigee_km // 200, r.inclination_deg // 15) for r in Tables(spark, SF).catalog.collect()]
+    assert len(got) == len(set(got)) > 500 and set(got) == {(a, b) for a, h, i in cells for b, k, j in cells if a < b and abs(h - k) <= 1 and abs(i - j) <= 1}
+
+
+def test_cells_dealt_to_tasks_lose_no_pair_of_a_split_cell(spark):
+    df = spark.range(900).selectExpr("id", "id % 3 * 1.0 AS p", "id % 2 * 200.0 AS q")
+    got = joins.cell_pairs(df, "id", [F.floor("p"), F.floor("q")], cell_rows=40, columns=["id"], tasks=7).select("a.id", F.col("b.id").alias("o"))
+    assert got.count() == got.distinct().count() == sum(abs(a % 3 - b % 3) <= 1 and a % 2 == b % 2 for a in range(900) for b in range(a + 1, 900))
+    assert joins.orbital_bins(df, "id", "p", "q").rdd.getNumPartitions() > 1
 
 
 def test_near_approaches_do_not_write_the_pairs(spark):
