@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zenithal.functions import manoeuvre
 from zenithal.functions import text as T
-from zenithal.operators import intervals, joins, metrics, monitoring, retrieval
+from zenithal.operators import graph, intervals, joins, metrics, monitoring, retrieval
 from zenithal.plans.registry import ORACLES, QUERIES
 from zenithal.plans.tables import Tables
 from zenithal.queries.t_text import _first
@@ -123,12 +123,18 @@ def test_exact_quantiles_beyond_the_size_of_sketches(spark):
         assert [r.n, r.low, r.p50, r.p95, r.top] == [len(own), *[own[max(1, int(np.ceil(q * len(own)))) - 1] for q in qs.values()]]
 
 
-def test_g7_has_one_row_for_each_neighbour_and_loses_no_pair(spark):
-    rows = QUERIES["g7_shared_neighbour"](spark, SF).collect()
-    edges = [(r.src, r.dst) for r in Tables(spark, SF).edges.where("type = 'HEADQUARTERED_IN'").collect()]
-    pairs = {(a, b) for a, x in edges for b, y in edges if x == y and a != b}
-    assert len(rows) <= len(edges) and {(p.id, o.id) for p in rows for o in rows if p.id != o.id and p.shared == o.shared} == pairs
-    assert all(p.n_links == sum(a == p.id for a, _ in pairs) for p in rows)
+def test_g7_gives_every_pair_that_shares_a_neighbour(spark):
+    larger = SF.replace("0.001", "0.01")  # on the smallest tables no two nodes share one
+    got = [(r.id, r.other) for r in QUERIES["g7_shared_neighbour"](spark, larger).collect()]
+    edges = [(r.src, r.dst) for r in Tables(spark, larger).edges.where("type = 'HEADQUARTERED_IN'").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, x in edges for b, y in edges if x == y and a != b} != set()
+
+
+def test_shared_neighbours_of_split_hubs_and_of_several_hubs(spark):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in zip(rng.integers(0, 90, 150), rng.integers(0, 4, 150), strict=True)] + [(1000, 9), (None, 1), (5, None)]
+    got = [(r.id, r.other) for r in graph.shared_neighbours(spark.createDataFrame(edges, "src int, dst int"), part_rows=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, x in edges for b, y in edges if x is not None and x == y and None not in (a, b) and a != b}
 
 
 def test_context_orders_no_texts(spark):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zenithal.session import discard, materialize
+from zenithal.session import discard, materialize, tasks_of
 
 
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -33,6 +33,26 @@ def reachable(edges: DataFrame, starts: DataFrame, hops: int, directed: bool = T
     return seen
 
 
+def shared_neighbours(edges: DataFrame, part_rows: int = 500) -> DataFrame:
+    """(id, other): all ordered pairs of different nodes with an edge to the same node, each once.
+
+    The members of a hub meet in parts of about ``part_rows``. A pair can repeat only if both of its nodes have several
+    neighbours, so only such pairs are made distinct; all others are neither shuffled nor held."""
+    n = tasks_of(edges.sparkSession)
+    e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    parts = e.groupBy("dst").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("dst", F.ceil(F.col("_m") / part_rows).alias("_n"))
+    single = e.groupBy("src").agg((F.count(F.lit(1)) == 1).alias("_one"))
+    rows = materialize(e.join(single, "src").join(parts, "dst"), "shared-neighbours")
+    a = rows.select("dst", F.pmod(F.xxhash64("src"), "_n").alias("_s"), F.col("src").alias("id"), "_one")
+    b = rows.select("dst", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_s"), F.col("src").alias("other"), "_one")
+
+    def met(where_a: str, where_b: str) -> DataFrame:
+        left, right = (d.where(w).drop("_one").repartition(n, "dst", "_s") for d, w in ((a, where_a), (b, where_b)))
+        return left.join(right, ["dst", "_s"]).where("id <> other").select("id", "other")
+
+    return met("_one", "true").unionByName(met("not _one", "_one")).unionByName(met("not _one", "not _one").distinct())
+
+
 def shortest_paths(edges: DataFrame, starts: DataFrame, hops: int = 6) -> DataFrame:
     """(start, node, hops, path) over undirected edges; of the shortest paths the one whose last step comes from the least
     node, and so on back. Breadth first: a step only keeps pairs that were not there before."""
