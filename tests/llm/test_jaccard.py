@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from zenithal.llm import jaccard
+from zenithal.llm import jaccard, simhash
 
 
 def shingle_set(text):
@@ -89,3 +89,48 @@ def test_marks_never_differ_in_more_bits_than_sets(spark):
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert np.bitwise_count(own[:, i] ^ own[:, j]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_wide_marks_fold_and_never_differ_in_more_bits_than_sets():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(-(2**63), 2**63 - 1, n)) for n in (0, 40, 512, 513, 1024, 1025, 5000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 9 :], rng.integers(-(2**63), 2**63 - 1, len(s) // 40)])) for s in sets]
+    wide = jaccard.wide_marks(sets).to_pylist()
+    assert [w is None for w in wide] == [len(s) <= 512 for s in sets] and [len(w) for w in wide[3:7]] == [128, 128, 256, 1024]
+    known = [k for k, w in enumerate(wide) if w]
+    for i in known:
+        for j in known:
+            differ, apart = jaccard.differing(wide[i], wide[j]), len(np.setxor1d(sets[i], sets[j]))
+            assert differ <= apart and (abs(i - j) in (0, 7) or 9 * differ > len(sets[i]) + len(sets[j]) or 4 * max(len(wide[i]), len(wide[j])) > 5 * min(len(wide[i]), len(wide[j])))
+
+
+def near_duplicates_noted(spark, monkeypatch, module, name, texts):
+    """What the stage keeps, and how many rows each table ``name`` has that it writes."""
+    rows, write = [], module.materialize
+
+    def noted(df, its_name, *others):
+        out = write(df, its_name, *others)
+        if its_name == name:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "materialize", noted)
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)  # in so few texts what they share would be put last, beyond the prefixes
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    return {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect()}, rows
+
+
+def test_whole_sets_of_long_texts_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    """Two copies are; marks of 512 bits leave all other pairs possible, as texts have 1,500 shingles."""
+    rng, passage = np.random.default_rng(13), [f"p{i}" for i in range(60)]
+    texts = [" ".join([*passage, *(f"w{j}" for j in rng.integers(0, 10**6, 1500))]) for _ in range(40)]
+    texts += [texts[0] + " end", " ".join(texts[1].split()[:-200])]
+    kept, rows = near_duplicates_noted(spark, monkeypatch, jaccard, "jaccard-pairs", texts)
+    assert kept == set(brute(texts)) == set(range(40)) and 2 <= sum(rows) < 20, rows
+
+
+def test_texts_without_a_partner_of_their_size_are_not_in_the_index(spark, monkeypatch):
+    line = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join([line, *(f"w{k}-{j}" for j in range(k))]) for k in (20, 60, 150, 300)]
+    kept, rows = near_duplicates_noted(spark, monkeypatch, simhash, "jaccard-index", texts)
+    assert kept == set(brute(texts)) and rows == [0]

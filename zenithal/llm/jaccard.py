@@ -5,7 +5,9 @@ all shingles their first n - ceil(4 n / 5) + 1 have one in common. These prefixe
 pair. The order puts shingles that are frequent in a sample last, which keeps the index's groups small and changes no result.
 
 Candidates are counted by the shingles that their prefixes share, or compared by marks (the parity of a set's shingles in each
-of 512 classes), which rules most of them out; what is left is decided by the whole sets, made anew from the whole texts of candidates only. No set of all texts is ever stored.
+of 512 classes), which rules most of them out. Sets of more shingles than that differ in about half of such marks whatever they
+share, so their candidates are compared by marks with a class for each shingle. What is left is decided by the whole sets, made
+anew from the whole texts of candidates only. No set of all texts is ever stored.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zenithal.llm.skew import join_counted
-from zenithal.session import materialize
+from zenithal.session import discard, materialize
 
 #: Texts that frequent shingles are counted in (so many, or one in ``EVERY``, if that is more), and how many of these are put
 #: last; none of it changes a result.
@@ -115,6 +117,39 @@ def marks(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(words[:, k].copy()) for k in range(len(MARKS))]
 
 
+def wide_marks(sets: list[np.ndarray]) -> pa.Array:
+    """For each set of more shingles than the bits of ``MARKS`` as many bits as it has shingles, or more (a power of two times
+    those), as bytes: wider ones fold into narrower ones by XOR. Null for other sets."""
+    least, out = 64 * len(MARKS), []
+    for s in sets:
+        bits = least << max(0, (len(s) - 1) // least).bit_length()
+        out.append(None if bits == least else np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many bits two wide marks differ, when the wider one is folded."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def possible_wide(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) that wide marks (``wide`` of ``texts``) leave possible, see :func:`possible`; all those with a
+    text that has none."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                b = whole.slice(at, BATCH)
+                rows = zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)
+                keep = [x is None or y is None or 9 * differing(x, y) <= na + nb for na, nb, x, y in rows]
+                yield b.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    wide = texts.where("wide is not null")
+    met = pairs.join(wide.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a", "left").join(wide.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b", "left")
+    return met.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long, na long, nb long")
+
+
 def possible(a: str, b: str) -> Column:
     """Whether sizes and marks (structs ``m`` and the end's name) of a pair leave a similarity of 4/5 possible.
 
@@ -127,7 +162,7 @@ def possible(a: str, b: str) -> Column:
 def confirm(pairs: DataFrame, texts: DataFrame, docs: DataFrame, digest: Column, text: Column, width: int) -> DataFrame:
     """The pairs (a, b) of ids with a similarity of at least 4/5, decided by the whole sets.
 
-    ``texts``: (id, digest, copies) of all distinct texts; ``docs``: where their texts are, by ``digest`` and ``text``."""
+    ``texts``: (id, digest, copies, wide) of all distinct texts; ``docs``: where their texts are, by ``digest`` and ``text``."""
 
     def run(batches):
         for whole in batches:
@@ -135,7 +170,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, docs: DataFrame, digest: Column,
                 b = whole.slice(at, BATCH)
                 yield pa.RecordBatch.from_arrays([b.column(0), lists([shingles(t, width) for t in b.column(1).to_pylist()])], ["id", "hashes"])
 
-    pairs = materialize(pairs.select("a", "b", "na", "nb").distinct(), "jaccard-pairs")
+    pairs = materialize(possible_wide(pairs.select("a", "b", "na", "nb").distinct(), texts), "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialize(texts.join(ids, "id").select("id", "digest", "copies"), "jaccard-wanted")
     own = join_counted(docs.select(digest.alias("digest"), text.alias("text")), wanted, "digest", "copies")
@@ -143,4 +178,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, docs: DataFrame, digest: Column,
     sets = materialize(own.select("id", "text").mapInArrow(run, "id long, hashes array<long>"), "jaccard-sets")
     near = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
-    return materialize(near.where(both * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b"), "jaccard-links")
+    links = materialize(near.where(both * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b"), "jaccard-links")
+    for done in (sets, wanted, pairs):
+        discard(done)
+    return links

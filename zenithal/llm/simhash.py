@@ -294,10 +294,10 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius:
                 every = [jaccard.hashes(t, shingle) for t in b.column(1).to_pylist()]
                 sets = [np.unique(h.view(np.int64)) for h in every]
                 fps = np.array([fingerprint_of(h) for h in every], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), jaccard.lists([order.value.prefix(s) for s in sets]), *jaccard.marks(sets)], ["digest", "fp", "n", "prefix", *jaccard.MARKS])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), jaccard.lists([order.value.prefix(s) for s in sets]), jaccard.wide_marks(sets), *jaccard.marks(sets)], ["digest", "fp", "n", "prefix", "wide", *jaccard.MARKS])
 
-    rows = docs.select(digest.alias("digest"), body.alias("text")).mapInArrow(sketch, "digest string, fp long, n long, prefix array<long>, " + ", ".join(f"{m} long" for m in jaccard.MARKS))
-    once = rows.groupBy("digest").agg(F.first(F.struct("fp", "n", "prefix", *jaccard.MARKS)).alias("s"), F.count(F.lit(1)).alias("copies"))
+    rows = docs.select(digest.alias("digest"), body.alias("text")).mapInArrow(sketch, "digest string, fp long, n long, prefix array<long>, wide binary, " + ", ".join(f"{m} long" for m in jaccard.MARKS))
+    once = rows.groupBy("digest").agg(F.first(F.struct("fp", "n", "prefix", "wide", *jaccard.MARKS)).alias("s"), F.count(F.lit(1)).alias("copies"))
     texts = materialize(once.select(F.monotonically_increasing_id().alias("id"), "digest", "copies", "s.*"), "simhash-texts")
     confirm = lambda pairs: jaccard.confirm(pairs, texts, docs, digest, body, shingle)
 
@@ -317,7 +317,11 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius:
     met = met.withColumn("of", F.bit_xor(F.xxhash64("id")).over(group)).where("size > 1")
     # Shingles of one passage have the same members: such groups are one, which counts for as many shingles.
     met = met.groupBy("of", "size", "id", "n", "least", "greatest").agg(F.count(F.lit(1)).alias("w"), F.max("early").alias("early"))
-    met = materialize(met, "jaccard-index")
+    # A text without a member of a fitting size, which would be next to it by size, has no pair in the group.
+    group = W.partitionBy("of", "size")
+    sizes, n = group.orderBy("n"), F.col("n")
+    fits = F.coalesce(5 * F.lag("n").over(sizes) >= 4 * n, F.lit(False)) | F.coalesce(5 * n >= 4 * F.lead("n").over(sizes), F.lit(False))
+    met = materialize(met.withColumn("fits", fits).where("fits").drop("fits"), "jaccard-index")
     star = lambda end: met.select(F.col(f"{end}.id").alias("a"), F.col("id").alias("b"), F.col(f"{end}.n").alias("na"), F.col("n").alias("nb"), "w").where("a <> b")
     stars = jaccard.count_shared(star("least")).unionByName(jaccard.count_shared(star("greatest")))
     turned = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
@@ -328,7 +332,6 @@ def similar_texts(docs: DataFrame, text: str = "text", shingle: int = 5, radius:
 
     # What is left: groups of the index with members of several components. Those of near copies have most of their pairs linked,
     # so comparing all members with a few, the same in each group that has them, leaves hardly any to be compared with all.
-    group = W.partitionBy("of", "size")
 
     def several(rows: DataFrame) -> DataFrame:
         root = connected_components(links).withColumnRenamed("node", "id")
